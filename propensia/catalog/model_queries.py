@@ -1,0 +1,381 @@
+"""Assembly, encoding, models, evaluation and resampling."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F
+
+from propensia.catalog import roles
+from propensia.catalog.registry import query, table
+from propensia.functions import exact_mean, exact_sum
+from propensia.operators import encode, models, resample, rules
+from propensia.operators import evaluate as ev
+from propensia.operators.sets import hash_split
+from propensia.plans.dataset import build_dataset
+from propensia.plans.small_job import train_small
+from propensia.session import materialise, staging_path
+
+_DATASET_TEXT = "derniere_operation_gab"
+
+
+@query("build_dataset_final", roles.with_roles("dataset") + """
+    SELECT radical AS "RADICAL", banque AS "BANQUE", agence AS "AGENCE", strftime(birth, '%d/%m/%Y') AS "DATE_OF_BIRTH",
+      code_ville AS "CODE_VILLE", bpr AS "BPR", CAST(enfants AS VARCHAR) AS "NOMBRE_ENFANT", marital AS "MARITAL_STATUS", rating AS "CUSTOMER_RATING",
+      age_client, label_code, label_nom, pack_actuel, pack_etat, digital_date_activation, digital_toujours_abonne, anciennete_digitale_jours,
+      solde_moyen, solde_min, solde_max, nb_mois_observes_solde, depot_moyen, flux_cred_moyen, flux_cred_total, nb_mois_avec_flux,
+      nb_operations_gab, montant_total_gab, montant_moyen_gab, strftime(derniere_operation_gab, '%Y-%m-%d %H:%M:%S') AS derniere_operation_gab,
+      recence_gab_jours, nb_retraits, montant_total_retraits, nb_paiements_digitaux, montant_total_payfac, nb_vignettes_payees,
+      montant_total_vignette, label_eligibilite FROM dataset""")
+def build_dataset_final(spark, sf):
+    dataset = build_dataset(roles.raw_tables(spark, sf), codes=roles.CODES)
+    text = dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
+    return text.drop("GENDER", "LIBELLE_VILLE", "TAILLE_ENTREPRI")
+
+
+# ---- the table the models learn from -------------------------------------------
+
+SPEC = models.FeatureSpec(
+    label="label", numeric=("c_acctbal", "n_orders", "total", "mean", "smallest", "largest"),
+    low_cardinality=("c_mktsegment",), high_cardinality=("c_nationkey",), ids=("c_custkey",),
+)
+
+
+def training_rows(spark, sf):
+    """Customers with order statistics and label, tagged fit / val by key hash."""
+    stats = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").cast("double").alias("n_orders"), exact_sum("o_totalprice").alias("total"), exact_mean("o_totalprice").alias("mean"),
+        F.min("o_totalprice").alias("smallest"), F.max("o_totalprice").alias("largest"),
+    )
+    rows = roles.client_label(spark, sf).join(stats, "c_custkey", "left")
+    rows = rules.fill_zero(rows, ["n_orders", "total", "mean", "smallest", "largest"])
+    rows = rows.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    # Fitting passes over the rows many times: compute them once.
+    return hash_split(materialise(rows, "training"), "c_custkey")
+
+
+def _halves(spark, sf):
+    rows = training_rows(spark, sf)
+    return rows.filter("split = 'fit'").drop("split"), rows.filter("split = 'val'").drop("split")
+
+
+def _scored(model, df):
+    return models.class_one_probability(model.transform(df)).select("c_custkey", "label", "prediction", "probability_classe1")
+
+
+def _fit(spark, sf, algorithm, **params):
+    fit, val = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    return models.fit_model(fit, SPEC, models.ALGORITHMS[algorithm](bins, **params)), fit, val
+
+
+# ---- encoding ------------------------------------------------------------------
+
+_RANKED = """SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i FROM {t} GROUP BY 1"""
+
+
+@query("enc_string_index", f"""
+    WITH a AS ({_RANKED.format(c='o_orderpriority', t='orders')}), b AS ({_RANKED.format(c='o_orderstatus', t='orders')})
+    SELECT o_orderkey, a.i::DOUBLE AS o_orderpriority_idx, b.i::DOUBLE AS o_orderstatus_idx FROM orders JOIN a ON a.v = o_orderpriority JOIN b ON b.v = o_orderstatus""")
+def enc_string_index(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    for c in ("o_orderpriority", "o_orderstatus"):
+        orders = encode.index_stage(c).fit(orders).transform(orders)
+    return orders.select("o_orderkey", "o_orderpriority_idx", "o_orderstatus_idx")
+
+
+@query("enc_one_hot")
+def enc_one_hot(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    encoded = Pipeline(stages=encode.encoding_stages(["o_orderpriority"])).fit(orders).transform(orders)
+    return encode.unpack_vector(encoded, "o_orderpriority_ohe").select("o_orderkey", "o_orderpriority", "values")
+
+
+@query("enc_index_to_string", "SELECT o_orderkey, o_orderpriority AS label_predit FROM orders")
+def enc_index_to_string(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    indexer = encode.label_stage("o_orderpriority").fit(orders)
+    return encode.index_to_label(indexer.transform(orders), "label_idx", "label_predit", indexer).select("o_orderkey", "label_predit")
+
+
+@query("enc_assemble")
+def enc_assemble(spark, sf):
+    fit, _ = _halves(spark, sf)
+    assembled = SPEC.encoder().fit(fit).transform(fit)
+    return encode.unpack_vector(assembled, "features").select("c_custkey", "label_idx", "values")
+
+
+@query("ml_feature_names")
+def ml_feature_names(spark, sf):
+    fit, _ = _halves(spark, sf)
+    assembled = SPEC.encoder().fit(fit).transform(fit)
+    names = encode.feature_names(assembled)
+    nonzero = F.expr("transform(values, x -> cast(x != 0 as int))")
+    counts = encode.unpack_vector(assembled, "features").select(nonzero.alias("n")).agg(
+        *[F.sum(F.col("n")[i]).alias(f"f{i}") for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(n).alias("feature"), F.col(f"f{i}").alias("n_nonzero")) for i, n in enumerate(names)])
+    return counts.select(F.inline(rows))
+
+
+# ---- models --------------------------------------------------------------------
+
+@query("ml_random_forest")
+def ml_random_forest(spark, sf):
+    model, _, val = _fit(spark, sf, "RandomForest")
+    return _scored(model, val)
+
+
+@query("ml_logistic")
+def ml_logistic(spark, sf):
+    model, _, val = _fit(spark, sf, "LogisticRegression", maxIter=20)
+    return _scored(model, val)
+
+
+@query("ml_decision_tree")
+def ml_decision_tree(spark, sf):
+    model, _, val = _fit(spark, sf, "DecisionTree")
+    return _scored(model, val)
+
+
+@query("ml_naive_bayes")
+def ml_naive_bayes(spark, sf):
+    model, _, val = _fit(spark, sf, "NaiveBayes_Gaussian")
+    return _scored(model, val)
+
+
+@query("ml_gbt")
+def ml_gbt(spark, sf):
+    model, _, val = _fit(spark, sf, "BoostedTrees", rounds=5, depth=3)
+    return _scored(model, val)
+
+
+@query("ml_imbalance_weight")
+def ml_imbalance_weight(spark, sf):
+    fit, val = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    return models.search_imbalance_weight(fit, val, SPEC, models.boosted_trees(bins, rounds=3, depth=3), shares=(0.5, 1.0))
+
+
+def _cv_rows(spark, fitted):
+    rows = [
+        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(f1))
+        for i, (m, f1) in enumerate(zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics))
+    ]
+    return spark.createDataFrame(rows, "candidate int, parameters string, f1_cv_moyen double")
+
+
+@query("ml_cross_validate")
+def ml_cross_validate(spark, sf):
+    fit, _ = _halves(spark, sf)
+    classifier = models.logistic(maxIter=5)
+    fitted = models.cross_validate(fit, SPEC, classifier, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0]}, parallelism=4)
+    return _cv_rows(spark, fitted)
+
+
+@query("ml_random_search")
+def ml_random_search(spark, sf):
+    fit, _ = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    grid = models.GRIDS["DecisionTree"]
+    return _cv_rows(spark, models.random_search(fit, SPEC, models.decision_tree(bins), grid, iterations=2, parallelism=4))
+
+
+@query("ml_encode_classify")
+def ml_encode_classify(spark, sf):
+    model, fit, val = _fit(spark, sf, "DecisionTree")
+    shared = models.encoder_of(model)
+    other = models.logistic(maxIter=5).fit(shared.transform(models.with_class_weights(fit, SPEC.label)))
+    return _scored(PipelineModel(stages=[*shared.stages, other]), val)
+
+
+@query("ml_importance")
+def ml_importance(spark, sf):
+    model, _, val = _fit(spark, sf, "RandomForest", trees=10)
+    return models.importances(model, model.transform(val))
+
+
+def _candidates(spark, sf):
+    fit, val = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    small = {"RandomForest": {"trees": 10}, "LogisticRegression": {"maxIter": 10}, "BoostedTrees": {"rounds": 3, "depth": 3}}
+    fitted = {n: models.fit_model(fit, SPEC, make(bins, **small.get(n, {}))) for n, make in models.ALGORITHMS.items()}
+    return fitted, fit, val
+
+
+@query("ml_leaderboard")
+def ml_leaderboard(spark, sf):
+    fitted, _, val = _candidates(spark, sf)
+    return models.leaderboard(fitted, val)
+
+
+@query("ml_params_report")
+def ml_params_report(spark, sf):
+    fit, _ = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    fitted = {n: models.fit_model(fit, SPEC, models.ALGORITHMS[n](bins)) for n in ("DecisionTree", "NaiveBayes_Gaussian")}
+    return models.params_report(spark, fitted)
+
+
+@query("ml_refit_full")
+def ml_refit_full(spark, sf):
+    everyone = training_rows(spark, sf).drop("split")
+    model = models.refit_on_everything(everyone, SPEC, "RandomForest", trees=10)
+    path = staging_path(spark, "model")
+    models.save_model(model, 0.5, path)
+    return models.importances(models.load_model(spark, path)[0], model.transform(everyone))
+
+
+@query("ml_batch_score")
+def ml_batch_score(spark, sf):
+    model, _, val = _fit(spark, sf, "DecisionTree")
+    path = staging_path(spark, "model")
+    models.save_model(model, models.learn_threshold(model, val), path)
+    loaded, threshold = models.load_model(spark, path)
+    return models.batch_score(val.drop("label"), loaded, threshold, SPEC)
+
+
+@query("job_train_small")
+def job_train_small(spark, sf):
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.min("o_orderdate").cast("date").alias("date_ouverture_compte"), exact_mean("o_totalprice").alias("revenu_mensuel"),
+        F.count_distinct("o_orderpriority").cast("double").alias("nb_produits_detenus"),
+    )
+    clients = roles.client_label(spark, sf).join(orders, "c_custkey").select(
+        "c_custkey", "date_ouverture_compte", F.col("c_acctbal").alias("solde_moyen"), "revenu_mensuel", "nb_produits_detenus",
+        F.col("c_nationkey").cast("double").alias("score_risque"), F.col("label").cast("double").alias("eligible"),
+    )
+    return train_small(materialise(clients, "small-job"), dt.date(2001, 12, 31), "c_custkey", rounds=5, depth=3)
+
+
+# ---- evaluation ----------------------------------------------------------------
+
+_CONF = roles.with_roles("scored") + """,
+    cells AS (SELECT label, prediction, count(*) AS n FROM scored GROUP BY 1, 2),
+    cls AS (SELECT c AS class, (SELECT coalesce(sum(n), 0) FROM cells WHERE label = c AND prediction = c)::DOUBLE AS tp,
+      (SELECT coalesce(sum(n), 0) FROM cells WHERE label = c)::DOUBLE AS support, (SELECT coalesce(sum(n), 0) FROM cells WHERE prediction = c)::DOUBLE AS predicted
+      FROM (SELECT 0 AS c UNION ALL SELECT 1)),
+    m AS (SELECT class, support, tp, coalesce(tp / nullif(predicted, 0), 0) AS "precision", coalesce(tp / nullif(support, 0), 0) AS recall,
+      coalesce(2 * tp / nullif(support + predicted, 0), 0) AS f1 FROM cls)"""
+
+
+@query("eval_weighted_metrics", _CONF + """
+    SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum("precision" * support) / sum(support), 6) AS weighted_precision,
+      round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1,
+      round(avg(f1), 6) AS macro_f1, round(max(f1) FILTER (class = 1), 6) AS f1_classe1 FROM m""")
+def eval_weighted_metrics(spark, sf):
+    return ev.weighted_metrics(roles.scored_clients(spark, sf), "label", "prediction")
+
+
+@query("eval_f1_by_class", _CONF + " SELECT class, round(f1, 6) AS f1 FROM m")
+def eval_f1_by_class(spark, sf):
+    return ev.f1_by_class(roles.scored_clients(spark, sf), "label", "prediction")
+
+
+@query("eval_classification_report", _CONF + """
+    SELECT CAST(class AS VARCHAR) AS class, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m
+    UNION ALL SELECT 'macro avg', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m
+    UNION ALL SELECT 'weighted avg', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+      round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m""")
+def eval_classification_report(spark, sf):
+    return ev.classification_report(roles.scored_clients(spark, sf), "label", "prediction")
+
+
+@query("eval_confusion", roles.with_roles("scored") + """
+    SELECT CASE WHEN grouping(label) = 1 THEN 'All' ELSE CAST(label AS VARCHAR) END AS label,
+      CASE WHEN grouping(prediction) = 1 THEN 'All' ELSE CAST(prediction AS VARCHAR) END AS prediction, count(*) AS n
+    FROM scored GROUP BY CUBE (scored.label, scored.prediction)""")
+def eval_confusion(spark, sf):
+    return ev.confusion_with_margins(roles.scored_clients(spark, sf), "label", "prediction")
+
+
+# One-vs-rest over the two classes: the score of class 0 is 1 - score.
+_OVR = roles.with_roles("scored") + """,
+    ovr AS (SELECT '1' AS class, label AS y, score FROM scored UNION ALL SELECT '0', 1 - label, 1.0 - score FROM scored),
+    lv AS (SELECT class, score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM ovr GROUP BY 1, 2),
+    cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS np, sum(neg) OVER (PARTITION BY class) AS nn
+      FROM lv WINDOW w AS (PARTITION BY class ORDER BY score DESC))"""
+
+
+def _one_vs_rest(spark, sf):
+    scored = roles.scored_clients(spark, sf).withColumn("probability", F.array(1.0 - F.col("score"), F.col("score")))
+    return ev.one_vs_rest(scored, "label", "probability", [0, 1])
+
+
+@query("eval_roc_points", _OVR + """
+    SELECT class, score AS threshold, round(fp::DOUBLE / nn, 6) AS fpr, round(tp::DOUBLE / np, 6) AS tpr FROM cum
+    UNION ALL SELECT DISTINCT class, NULL, 0.0, 0.0 FROM cum""")
+def eval_roc_points(spark, sf):
+    return ev.roc_points(_one_vs_rest(spark, sf), "is_class", "score", by=["class"])
+
+
+@query("eval_roc_auc", _OVR + """
+    SELECT class, round(sum(neg::DOUBLE * (tp::DOUBLE - pos / 2.0)) / (max(np)::DOUBLE * max(nn)::DOUBLE), 6) AS auc FROM cum GROUP BY 1""")
+def eval_roc_auc(spark, sf):
+    return ev.roc_auc(_one_vs_rest(spark, sf), "is_class", "score", by=["class"])
+
+
+@query("eval_best_threshold_pr", roles.with_roles("scored") + """,
+    lv AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM scored GROUP BY 1),
+    cum AS (SELECT score, sum(pos) OVER (ORDER BY score DESC)::DOUBLE AS tp, sum(n) OVER (ORDER BY score DESC)::DOUBLE AS k, sum(pos) OVER ()::DOUBLE AS p FROM lv)
+    SELECT score AS threshold, round(2 * tp / (k + p), 6) AS f1 FROM cum ORDER BY 2 * tp / (k + p) DESC, score LIMIT 1""")
+def eval_best_threshold_pr(spark, sf):
+    return ev.best_threshold(roles.scored_clients(spark, sf), "label", "score")
+
+
+def _grid_sql(first: float, step: float, points: int) -> str:
+    return roles.with_roles("scored") + f""",
+    g AS (SELECT i + 1 AS grid_index, {first}::DOUBLE + i * {step}::DOUBLE AS t FROM range({points}) r(i)),
+    c AS (SELECT grid_index, t, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp,
+      count(*) FILTER (label = 1 AND score < t) AS fn FROM g, scored GROUP BY 1, 2)
+    SELECT grid_index, round(t, 6) AS threshold, tp, fp, fn, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c"""
+
+
+@query("eval_threshold_grid", _grid_sql(*ev.FINE_GRID))
+def eval_threshold_grid(spark, sf):
+    return ev.threshold_grid(roles.scored_clients(spark, sf), "label", "score")
+
+
+@query("eval_threshold_grid_coarse", _grid_sql(*ev.COARSE_GRID))
+def eval_threshold_grid_coarse(spark, sf):
+    return ev.threshold_grid(roles.scored_clients(spark, sf), "label", "score", ev.COARSE_GRID)
+
+
+@query("eval_apply_threshold", roles.with_roles("scored") + """
+    SELECT c_custkey, label, CAST(score >= 0.7 AS INTEGER) AS prediction FROM scored""")
+def eval_apply_threshold(spark, sf):
+    return ev.apply_threshold(roles.scored_clients(spark, sf), "score", 0.7).select("c_custkey", "label", "prediction")
+
+
+# ---- resampling ----------------------------------------------------------------
+
+_LINKS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    nn AS (SELECT a.vec_id AS id, any_value(a.label) AS label, arg_min(b.vec_id, {'d': list_distance(a.v, b.v), 'i': b.vec_id}) AS near
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1),
+    links AS (SELECT x.id AS id_a, y.id AS id_b FROM nn x JOIN nn y ON x.near = y.id AND y.near = x.id WHERE x.label <> y.label AND x.id < y.id)"""
+
+
+@query("resample_tomek_links", _LINKS + " SELECT id_a, id_b FROM links")
+def resample_tomek_links(spark, sf):
+    return resample.tomek_links(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").select("id_a", "id_b")
+
+
+@query("resample_tomek_lsh")
+def resample_tomek_lsh(spark, sf):
+    return resample.tomek_links_lsh(table(spark, sf, "embeddings"), "vec_id", "label", "embedding", bucket_length=4.0)
+
+
+@query("resample_tomek_clean", _LINKS + """,
+    ends AS (SELECT id_a AS id FROM links UNION SELECT id_b FROM links),
+    minority AS (SELECT label FROM embeddings GROUP BY 1 ORDER BY count(*), label LIMIT 1)
+    SELECT vec_id, label FROM embeddings WHERE NOT (vec_id IN (SELECT id FROM ends) AND label <> (SELECT label FROM minority))""")
+def resample_tomek_clean(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    links = resample.tomek_links(vectors, "vec_id", "label", "embedding")
+    return resample.tomek_clean(vectors, links, "vec_id", "label").select("vec_id", "label")
+
+
+@query("resample_smotenc")
+def resample_smotenc(spark, sf):
+    rows = training_rows(spark, sf).filter("split = 'fit'")
+    return resample.smotenc(rows, "c_custkey", "label", ["c_acctbal", "n_orders", "total"], ["c_mktsegment", "c_nationkey"])

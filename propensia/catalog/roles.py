@@ -61,7 +61,8 @@ def _client(c: str) -> Column:
 
 def assi(spark: SparkSession, sf: str) -> DataFrame:
     """Product snapshots: settled orders of the observed year."""
-    o = table(spark, sf, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit(TARGET_SINCE).cast("timestamp")))
+    o = table(spark, sf, "orders")
+    o = o.filter(F.col("o_orderstatus") == "F").filter(_between(o, "o_orderdate", TARGET_SINCE, None))
     return o.select(
         _client("o_custkey"),
         F.substring("o_orderpriority", 1, 1).alias("CODE_PRODUIT"),
@@ -70,12 +71,14 @@ def assi(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _between(c: str, start: str | None, end: str | None) -> Column:
+def _between(df: DataFrame, c: str, start: str | None, end: str | None) -> Column:
+    """start <= c < end; the bounds take the column's type, so the scan can use them."""
+    kind = df.schema[c].dataType
     keep = F.lit(True)
     if start:
-        keep = keep & (F.col(c) >= F.lit(start).cast("timestamp"))
+        keep = keep & (F.col(c) >= F.lit(start).cast(kind))
     if end:
-        keep = keep & (F.col(c) < F.lit(end).cast("timestamp"))
+        keep = keep & (F.col(c) < F.lit(end).cast(kind))
     return keep
 
 
@@ -87,20 +90,20 @@ def opk_files(spark: SparkSession, sf: str) -> list[DataFrame]:
         _date_text("o_orderdate").alias("DATE_CHARG"), F.col("o_orderstatus").alias("ETATC"),
     ]
     cuts = [(None, "1998-01-01"), ("1998-01-01", "2000-01-01"), ("2000-01-01", None)]
-    files = [o.filter(_between("o_orderdate", *cut)).select(*columns) for cut in cuts]
+    files = [o.filter(_between(o, "o_orderdate", *cut)).select(*columns) for cut in cuts]
     return [files[0].drop("ETATC"), *files[1:]]
 
 
 def solde_files(spark: SparkSession, sf: str) -> list[DataFrame]:
     o = table(spark, sf, "orders")
     columns = [_client("o_custkey"), to_fr_text(F.col("o_totalprice") - 200000).alias("SOLDEVERIF")]
-    return [o.filter(_between("o_orderdate", *cut)).select(*columns) for cut in [(None, "2000-01-01"), ("2000-01-01", None)]]
+    return [o.filter(_between(o, "o_orderdate", *cut)).select(*columns) for cut in [(None, "2000-01-01"), ("2000-01-01", None)]]
 
 
 def depot_files(spark: SparkSession, sf: str) -> list[DataFrame]:
     o = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
     columns = [_client("o_custkey"), to_fr_text("o_totalprice").alias("MONTANT_DEPOT")]
-    return [o.filter(_between("o_orderdate", *cut)).select(*columns) for cut in [(None, "1999-01-01"), ("1999-01-01", None)]]
+    return [o.filter(_between(o, "o_orderdate", *cut)).select(*columns) for cut in [(None, "1999-01-01"), ("1999-01-01", None)]]
 
 
 def flux_files(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -110,7 +113,7 @@ def flux_files(spark: SparkSession, sf: str) -> list[DataFrame]:
     joined = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     amount = F.when(F.col("l_returnflag") != "R", to_fr_text("l_extendedprice")).alias("FLUX_CRED")
     return [
-        joined.filter(_between("l_shipdate", *cut)).select(_client("o_custkey"), amount)
+        joined.filter(_between(joined, "l_shipdate", *cut)).select(_client("o_custkey"), amount)
         for cut in [(None, "1999-01-01"), ("1999-01-01", None)]
     ]
 
@@ -118,7 +121,7 @@ def flux_files(spark: SparkSession, sf: str) -> list[DataFrame]:
 def _event_files(spark: SparkSession, sf: str, kind: str, cuts: Sequence[str], columns: Sequence[Column]) -> list[DataFrame]:
     e = table(spark, sf, "events").filter(F.col("event_type") == kind)
     edges = [None, *cuts, None]
-    return [e.filter(_between("ts", a, b)).select(_client("user_id"), *columns) for a, b in zip(edges, edges[1:])]
+    return [e.filter(_between(e, "ts", a, b)).select(_client("user_id"), *columns) for a, b in zip(edges, edges[1:])]
 
 
 def gab_files(spark: SparkSession, sf: str) -> list[DataFrame]:

@@ -86,7 +86,7 @@ def schema_parity(train: DataFrame, score: DataFrame, ignore: Sequence[str] = ()
 def freshness(df: DataFrame, when: str, deadline: dt.datetime, max_age_hours: float) -> DataFrame:
     """Newest record, its age at the deadline and whether the batch is ready."""
     age = (F.unix_micros(F.lit(deadline)) - F.unix_micros("latest")) / 3_600_000_000.0
-    return df.agg(F.max(when).alias("latest")).select(
+    return df.agg(F.max(when).cast("timestamp").alias("latest")).select(
         F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"),
         F.round(age, 4).alias("age_hours"),
         F.coalesce((age <= max_age_hours).cast("int"), F.lit(0)).alias("ready"),

@@ -66,7 +66,8 @@ def nearest_neighbours(
     """
     spark = points.sparkSession
     points = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    centres = _pivots(points, "id", "vec", pivots)
+    # About one block per cell until the pivots run out; more cells than blocks only add pairs.
+    centres = _pivots(points, "id", "vec", max(1, min(pivots, points.count() // block_rows)))
     if not len(centres):
         return spark.createDataFrame([], "id bigint, neighbour bigint, distance double, rank int")
     width = centres.shape[1]

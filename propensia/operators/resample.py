@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensia.operators.neighbours import nearest_neighbours
@@ -92,6 +92,18 @@ def tomek_clean(df: DataFrame, links: DataFrame, id_col: str, label: str) -> Dat
     return df.join(linked, id_col, "left_anti")
 
 
+def _field(name: str):
+    return lambda entry: entry[name]
+
+
+def _most_frequent(values: Column) -> Column:
+    """Most frequent element of a short array, lowest value on ties."""
+    def vote(value: Column) -> Column:
+        return F.struct((-F.size(F.filter(values, lambda other: other == value))).alias("n"), value.alias("v"))
+
+    return F.array_min(F.transform(F.array_distinct(values), vote))["v"]
+
+
 def smotenc(
     df: DataFrame,
     id_col: str,
@@ -137,7 +149,8 @@ def smotenc(
     around = near.join(rows.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *numeric, *categorical))).alias("around")
     )
-    def unit(salt: int):
+
+    def unit(salt: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed + salt), "id", "slot"), F.lit(1_000_003)) / 1_000_003.0
 
     base = slots.join(rows.select("id", *numeric), "id").join(around, "id")
@@ -148,12 +161,5 @@ def smotenc(
         (F.col(c).cast("double") + F.col("__gap") * (F.col(f"__other.{c}").cast("double") - F.col(c).cast("double"))).alias(c)
         for c in numeric
     ]
-    modes = []
-    for c in categorical:
-        entries = F.transform("around", lambda e, c=c: e[c])
-        votes = F.transform(
-            F.array_distinct(entries),
-            lambda v, entries=entries: F.struct(-F.size(F.filter(entries, lambda e: e == v)), v.alias("v")),
-        )
-        modes.append(F.array_min(votes)["v"].alias(c))
+    modes = [_most_frequent(F.transform("around", _field(c))).alias(c) for c in categorical]
     return synthetic.select(F.lit(minority).alias(label), *moved, *modes)

@@ -61,23 +61,41 @@ def src_csv_typed_code(spark, sf):
     return delimited.load_dataset(spark, path, schema=df.schema, code_columns=["c_nationkey"])
 
 
-@query("src_file_inventory")
+# Spark chooses the number and names of the files it writes, so the three queries
+# below report per kind of file (its columns), not per file.
+
+@query("src_file_inventory", roles.with_roles("perimetre") + """
+    SELECT 'RADICAL,BANQUE,AGENCE,DATE_OF_BIRTH,GENDER,CODE_VILLE,LIBELLE_VILLE,BPR,NOMBRE_ENFANT,MARITAL_STATUS,CUSTOMER_RATING' AS "columns",
+      count(*) AS n_rows, 1 AS has_preview FROM perimetre
+    UNION ALL SELECT 'RADICAL,MONTANT,DATE_OP,CODE_FONCT', count(*), 1 FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-16'
+    UNION ALL SELECT 'RADICAL,MONTANT,DATE_OP', count(*), 1 FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-16'""")
 def src_file_inventory(spark, sf):
     inventory = delimited.file_inventory(spark, _client_files(spark, sf), "*.csv")
-    return inventory.select("file", F.size("columns").alias("n_columns"), "n_rows", F.concat_ws(" | ", "preview").alias("preview"))
+    return inventory.groupBy(F.array_join("columns", ",").alias("columns")).agg(
+        F.sum("n_rows").alias("n_rows"), F.min((F.size("preview") > 0).cast("int")).alias("has_preview"))
 
 
-@query("src_column_search")
+@query("src_column_search", """
+    SELECT 'DATE_OF_BIRTH' AS "column", (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_rows
+    UNION ALL SELECT 'DATE_OP', count(*) FROM events WHERE event_type = 'view'""")
 def src_column_search(spark, sf):
-    return delimited.search_columns(spark, _client_files(spark, sf), "date", "*.csv")
+    folder = _client_files(spark, sf)
+    found = delimited.search_columns(spark, folder, "date", "*.csv")
+    sizes = delimited.file_inventory(spark, folder, "*.csv").select("file", "n_rows")
+    return found.join(sizes, "file").groupBy("column").agg(F.sum("n_rows").alias("n_rows"))
 
 
-@query("src_sniff_separator")
+@query("src_sniff_separator", """
+    SELECT ';' AS separator, 11 AS n_columns, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_rows
+    UNION ALL SELECT ';', 4, count(*) FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-16'
+    UNION ALL SELECT ';', 3, count(*) FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-16'
+    UNION ALL SELECT '|', 6, count(*) FROM part""")
 def src_sniff_separator(spark, sf):
     folder = _client_files(spark, sf)
-    pipe = table(spark, sf, "supplier")
-    pipe.write.mode("append").option("header", "true").option("sep", "|").csv(folder)
-    return delimited.sniff_separator(spark, folder, "*.csv")
+    table(spark, sf, "part").write.mode("append").option("header", "true").option("sep", "|").csv(folder)
+    sizes = delimited.file_inventory(spark, folder, "*.csv").select("file", "n_rows")
+    sniffed = delimited.sniff_separator(spark, folder, "*.csv").join(sizes, "file")
+    return sniffed.groupBy("separator", "n_columns").agg(F.sum("n_rows").alias("n_rows"))
 
 
 @query("src_granularity", """
@@ -96,10 +114,14 @@ def src_granularity(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("src_schema_diff")
+@query("src_schema_diff", """
+    SELECT 'CODE_FONCT' AS "column", 'string' AS left_type, CAST(NULL AS VARCHAR) AS right_type,
+      count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS n_left, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS n_right
+    FROM events WHERE event_type = 'view'""")
 def src_schema_diff(spark, sf):
     first, second = roles.gab_files(spark, sf)
-    return delimited.schema_diff(first, second)
+    sizes = {"n_left": first.agg(F.count("*")).scalar(), "n_right": second.agg(F.count("*")).scalar()}
+    return delimited.schema_diff(first, second).withColumns(sizes)
 
 
 @query("sink_parquet_roundtrip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -124,11 +146,12 @@ def sink_csv_sample(spark, sf):
     return store.export_csv_sample(table(spark, sf, "orders"), staging_path(spark, "sample"))
 
 
-@query("sink_coalesced_scores")
+@query("sink_coalesced_scores", "SELECT count(*) AS n, 1 AS few_files FROM customer")
 def sink_coalesced_scores(spark, sf):
     scored = roles.scored_clients(spark, sf).select("c_custkey", "score", "prediction")
     written = store.write_parquet(scored, staging_path(spark, "scores"), files=8)
-    return written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    per_file = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    return per_file.agg(F.sum("n").alias("n"), (F.count("*") <= 8).cast("int").alias("few_files"))
 
 
 @query("ml_persist_roundtrip")

@@ -369,15 +369,24 @@ def profile_cardinality(spark, sf):
     return assoc.cardinality_profile(roles.perimetre(spark, sf), ["CODE_VILLE", "MARITAL_STATUS"])
 
 
-@query("profile_pair_sample")
+@query("profile_pair_sample", _USAGE + """
+    SELECT c_acctbal, n_orders, montant_total_gab, label FROM usage ORDER BY md5(CAST(c_custkey AS VARCHAR)) LIMIT 1000""")
 def profile_pair_sample(spark, sf):
     return assoc.pair_sample(client_usage(spark, sf), ["c_acctbal", "n_orders", "montant_total_gab"], "label", 1000, key="c_custkey")
 
 
-@query("profile_column_roles")
+@query("profile_column_roles", _USAGE + """
+    SELECT 'c_acctbal' AS "column", 'continuous' AS role, count(c_acctbal) AS n_known FROM usage
+    UNION ALL SELECT 'n_orders', 'continuous', count(n_orders) FROM usage
+    UNION ALL SELECT 'recence_gab_jours', 'continuous', count(recence_gab_jours) FROM usage
+    UNION ALL SELECT 'c_nationkey', 'categorical', count(c_nationkey) FROM usage
+    UNION ALL SELECT 'c_mktsegment', 'categorical', count(c_mktsegment) FROM usage
+    UNION ALL SELECT 'label', 'target', count(label) FROM usage
+    UNION ALL SELECT 'jamais_utilise_gab', 'flag', count(*) FROM usage""")
 def profile_column_roles(spark, sf):
     df = rules.missing_flags(client_usage(spark, sf), {"jamais_utilise_gab": "derniere_operation_gab"})
-    roles_of = assoc.column_roles(df, targets=["label"], codes=["c_nationkey", "c_custkey"])
+    df = df.select("c_acctbal", "n_orders", "recence_gab_jours", "c_nationkey", "c_mktsegment", "label", "jamais_utilise_gab")
+    roles_of = assoc.column_roles(df, targets=["label"], codes=["c_nationkey"])
     known = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_known")
     return roles_of.join(known, "column")
 
@@ -426,10 +435,13 @@ def dq_residual_nulls(spark, sf):
     return quality.residual_problems(roles.perimetre(spark, sf).select("RADICAL", "BANQUE", "BPR", "MARITAL_STATUS", "TAILLE_ENTREPRI"))
 
 
-@query("dq_schema_parity")
+@query("dq_schema_parity", """
+    SELECT 'CODE_FONCT' AS "column", 'string' AS left_type, CAST(NULL AS VARCHAR) AS right_type,
+      (SELECT count(*) FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-16') AS n_not_scorable""")
 def dq_schema_parity(spark, sf):
     first, second = roles.gab_files(spark, sf)
-    return quality.schema_parity(first, second, ignore=["RADICAL"])
+    differences = quality.schema_parity(first, second, ignore=["RADICAL"])
+    return differences.withColumn("n_not_scorable", second.agg(F.count("*")).scalar())
 
 
 @query("dq_freshness", """

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from propensia.catalog import roles
 from propensia.catalog.registry import query, table
-from propensia.functions import exact_sum, fr_date, minor_units
+from propensia.functions import exact_sum, fr_date
 from propensia.operators import aggregates as ag
 from propensia.operators import joins, sets, windows
 from propensia.operators.association import correlation_pairs, strong_pairs
+from propensia.operators.evaluate import cumulative_confusion
 from propensia.operators.learned import class_weights
 from propensia.operators.quantiles import approx_quantiles, exact_quantiles
-from propensia.plans.dataset import REFERENCE_DATE
+from propensia.plans.dataset import REFERENCE_DATE, current_pack, savings_target
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -60,8 +61,6 @@ def join_duplicate_rows(spark, sf):
 @query("join_inner_target", roles.with_roles("cible") + """
     SELECT radical AS "RADICAL", label_nom, count(*) AS n_orders FROM cible JOIN orders ON radical = CAST(o_custkey AS VARCHAR) GROUP BY 1, 2""")
 def join_inner_target(spark, sf):
-    from propensia.plans.dataset import savings_target
-
     features = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("RADICAL")).agg(F.count("*").alias("n_orders"))
     target = savings_target(roles.assi(spark, sf), roles.CODES).select("RADICAL", "label_nom")
     return joins.join_target(features, target, "RADICAL")
@@ -98,9 +97,6 @@ def join_left_semi(spark, sf):
 
 # ---- keyed aggregates ----------------------------------------------------------
 
-_CENTS = "CAST(round({c} * 100) AS BIGINT)"
-
-
 @query("agg_balance", """
     SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS solde_moyen,
       min(o_totalprice) AS solde_min, max(o_totalprice) AS solde_max, count(*) AS nb_mois_observes_solde FROM orders GROUP BY 1""")
@@ -379,8 +375,6 @@ def win_first_per_key(spark, sf):
 @query("win_latest_snapshot", roles.with_roles("pack") + """
     SELECT radical AS "RADICAL", pack_actuel, pack_etat FROM pack""")
 def win_latest_snapshot(spark, sf):
-    from propensia.plans.dataset import current_pack
-
     return current_pack(sets.union_by_name(roles.opk_files(spark, sf)))
 
 
@@ -404,8 +398,6 @@ def win_rank_average_ties(spark, sf):
     FROM (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM scored GROUP BY 1)
     WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def win_cumulative_confusion(spark, sf):
-    from propensia.operators.evaluate import cumulative_confusion
-
     return cumulative_confusion(roles.scored_clients(spark, sf), "label", "score")
 
 

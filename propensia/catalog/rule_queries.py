@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from propensia.catalog import roles
 from propensia.catalog.registry import query, table
-from propensia.functions import age_years, fr_date, fr_decimal, fr_timestamp, months_since, recency_days, to_fr_text
+from propensia.functions import age_years, fr_date, fr_decimal, fr_timestamp, months_since, recency_days, to_fr_text, year_from_name
 from propensia.operators import rules
 from propensia.operators.aggregates import balance_summary, channel_summary, operations_summary
 from propensia.operators.encode import unpack_vector
 from propensia.operators.sets import union_by_name
 from propensia.plans.cleaning import GENDER_SPELLINGS, reduce_and_derive
-from propensia.plans.dataset import REFERENCE_DATE
-from propensia.sources import delimited
+from propensia.plans.dataset import REFERENCE_DATE, savings_target
 from propensia.session import staging_path
+from propensia.sources import delimited
 
 ORDERS_REFERENCE = dt.date(2001, 12, 31)
 
@@ -163,8 +163,6 @@ def age_filter_score(spark, sf):
     SELECT c_custkey, CAST(label_nom IS NOT NULL AS INTEGER) AS label_eligibilite
     FROM customer LEFT JOIN cible ON radical = CAST(c_custkey AS VARCHAR)""")
 def label_from_presence(spark, sf):
-    from propensia.plans.dataset import savings_target
-
     target = savings_target(roles.assi(spark, sf), roles.CODES)
     joined = table(spark, sf, "customer").withColumn("RADICAL", F.col("c_custkey").cast("string")).join(target, "RADICAL", "left")
     return rules.presence_label(joined, "label_nom", "label_eligibilite").select("c_custkey", "label_eligibilite")
@@ -181,7 +179,8 @@ def population_split(spark, sf):
     return size(everyone, "dataset_eligibilite").unionByName(size(holders, "dataset_produit"))
 
 
-@query("numeric_feature_list")
+@query("numeric_feature_list", """
+    SELECT 'c_custkey' AS feature, count(c_custkey) AS n_known FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer""")
 def numeric_feature_list(spark, sf):
     df = roles.client_label(spark, sf)
     features = rules.numeric_features(df, ["label", "c_nationkey"])
@@ -247,7 +246,9 @@ def fn_recency_days(spark, sf):
     return last.select("o_custkey", recency_days("last", ORDERS_REFERENCE).alias("recency"))
 
 
-@query("fn_year_from_filename")
+@query("fn_year_from_filename", """
+    SELECT CASE WHEN o_orderdate < DATE '1998-01-01' THEN 2023 WHEN o_orderdate < DATE '2000-01-01' THEN 2024 ELSE 2025 END AS file_year, count(*) AS n
+    FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1""")
 def fn_year_from_filename(spark, sf):
     columns = ["RADICAL", "CODE_PACK", "DATE_CHARG", "ETATC"]
     root = staging_path(spark, "yearly")
@@ -257,8 +258,6 @@ def fn_year_from_filename(spark, sf):
         full.select(*columns).write.option("header", "true").option("sep", ";").csv(f"{root}/OPK{year}")
     rows = delimited.read_delimited(spark, f"{root}/*", columns)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    from propensia.functions import year_from_name
-
     return rows.select(year_from_name(folder).alias("file_year")).groupBy("file_year").agg(F.count("*").alias("n"))
 
 
@@ -284,7 +283,8 @@ def fn_conditional(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", state.alias("state"), priority.alias("priority"))
 
 
-@query("fn_vector_unpack")
+@query("fn_vector_unpack", """
+    SELECT vec_id, len(embedding)::INTEGER AS width, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS norm2 FROM embeddings""")
 def fn_vector_unpack(spark, sf):
     vectors = table(spark, sf, "embeddings").withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
     unpacked = unpack_vector(vectors, "v")

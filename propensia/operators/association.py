@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propensia.functions.dates import age_years, fr_date
-from propensia.operators.aggregates import distinct_counts, outlier_counts, per_column
+from propensia.operators.aggregates import distinct_counts, per_column
 from propensia.operators.learned import IQR_K, flag_lift
 from propensia.operators.quantiles import exact_quantiles
 from propensia.operators.rules import flag_columns, numeric_features
@@ -21,6 +21,15 @@ from propensia.operators.sets import union_tagged
 
 # ---- correlation ---------------------------------------------------------------
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are known; NULL when one never varies.
+
+    ``F.corr`` raises a division by zero on a constant column in ANSI mode.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], digits: int = 6, pairwise: bool = True
 ) -> DataFrame:
@@ -33,11 +42,11 @@ def correlation_pairs(
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if not pairwise:
         data = data.na.drop()
-    wide = data.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = data.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(
             F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"),
-            F.round(F.nanvl(F.col(f"r{i}"), F.lit(None)), digits).alias("correlation"),
+            F.round(F.col(f"r{i}"), digits).alias("correlation"),
         )
         for i, (a, b) in enumerate(pairs)
     ]
@@ -86,7 +95,7 @@ def point_biserial(df: DataFrame, columns: Sequence[str], label: str, min_rows:
     """
     y = F.col(label).cast("double")
     stats = per_column(df.withColumn("__y", y), columns, {
-        "r": lambda c: F.corr(c.cast("double"), F.col("__y")),
+        "r": lambda c: safe_corr(c.cast("double"), F.col("__y")),
         "n": lambda c: F.count(F.when(F.col("__y").isNotNull(), c)),
         "varies": lambda c: F.min(c.cast("double")) < F.max(c.cast("double")),
     })
@@ -204,18 +213,22 @@ def outlier_profile(df: DataFrame, columns: Sequence[str], k: float = IQR_K, dig
     quantiles = exact_quantiles(
         df, columns, {"p1": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
     ).drop("n")
-    basics = per_column(df, columns, {
-        "min": lambda c: F.min(c.cast("double")),
-        "max": lambda c: F.max(c.cast("double")),
-        "mean": lambda c: F.round(F.avg(c), digits),
-    })
     spread = F.col("q3") - F.col("q1")
     fenced = quantiles.withColumns({"fence_low": F.col("q1") - spread * k, "fence_high": F.col("q3") + spread * k})
     rows = fenced.collect()  # one row per profiled column
     fenced = df.sparkSession.createDataFrame(rows, fenced.schema)
-    bounds = {r["column"]: (r["fence_low"], r["fence_high"]) for r in rows}
-    outside = outlier_counts(df, bounds)
-    return basics.join(fenced, "column").join(outside, "column").select(
+    low = {r["column"]: F.lit(r["fence_low"]) for r in rows}
+    high = {r["column"]: F.lit(r["fence_high"]) for r in rows}
+    known = [c for c in columns if c in low]
+    counts, cells = [], []
+    for i, c in enumerate(known):
+        v = F.col(c).cast("double")
+        stats = {"min": F.min(v), "max": F.max(v), "mean": F.round(F.avg(v), digits), "n_negative": F.count_if(v < 0),
+                 "n_outside": F.count_if((v < low[c]) | (v > high[c]))}
+        counts += [e.alias(f"{i}_{name}") for name, e in stats.items()]
+        cells.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{name}").alias(name) for name in stats]))
+    basics = df.agg(*counts).select(F.inline(F.array(*cells)))
+    return basics.join(F.broadcast(fenced), "column").select(
         "column", "min", "max", "mean", "median", "p1", "p99",
         F.round("fence_low", digits).alias("fence_low"), F.round("fence_high", digits).alias("fence_high"),
         "n_negative", "n_outside",
@@ -247,7 +260,7 @@ def cardinality_profile(df: DataFrame, columns: Sequence[str], digits: int = 6)
 
 def pair_sample(df: DataFrame, columns: Sequence[str], label: str, rows: int = 1000, key: str | None = None) -> DataFrame:
     """At most ``rows`` rows for a pair plot, chosen by hash so reruns agree."""
-    seeded = F.xxhash64(F.lit(42), *[F.col(c) for c in ([key] if key else [*columns, label])])
+    seeded = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ([key] if key else [*columns, label])]))
     return df.select(*columns, label, seeded.alias("__h")).orderBy("__h").limit(rows).drop("__h")
 
 

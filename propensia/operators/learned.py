@@ -72,26 +72,28 @@ def fit_iqr_bounds(
     columns = present(df, columns)
     if not columns:
         return params_frame(df.sparkSession, [], BOUNDS_SCHEMA)
-    inflated = {r["column"] for r in detect_zero_inflated(df, columns, share).collect()}
+    counts = per_column(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, {
+        "n_rows": lambda c: F.count("*"), "n_zero": lambda c: F.count_if(c == 0), "n_positive": lambda c: F.count_if(c > 0),
+    }).collect()  # one row per column
+    inflated = {r["column"] for r in counts if r["n_rows"] and r["n_zero"] / r["n_rows"] >= share}
+    bounded = [
+        (r["column"], r["column"] in inflated) for r in counts
+        if (r["n_positive"] if r["column"] in inflated else r["n_rows"]) >= min_rows
+    ]
+    columns = [c for c, _ in bounded]
+    if not columns:
+        return params_frame(df.sparkSession, [], BOUNDS_SCHEMA)
     values = df.select(*[
         (F.when(F.col(c) > 0, F.col(c)) if c in inflated else F.col(c)).cast("double").alias(c) for c in columns
     ])
-    support = per_column(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, {
-        "n_rows": lambda c: F.count("*"), "n_positive": lambda c: F.count_if(c > 0),
-    })
-    quartiles = _quantiles(values, columns, {"q1": 0.25, "q3": 0.75}, exact).drop("n")
-    is_inflated = F.col("column").isin(sorted(inflated)) if inflated else F.lit(False)
-    rows = F.when(is_inflated, F.col("n_positive")).otherwise(F.col("n_rows"))
+    quartiles = _quantiles(values, columns, {"q1": 0.25, "q3": 0.75}, exact)
+    is_inflated = F.col("column").isin([c for c, z in bounded if z])
     spread = F.col("q3") - F.col("q1")
     low = F.col("q1") - spread * k
-    return (
-        support.join(quartiles, "column")
-        .filter((rows >= min_rows) & (spread != 0))
-        .select(
-            F.col("column").alias("colonne"),
-            F.when(is_inflated, F.least(low, F.lit(0.0))).otherwise(low).alias("borne_min"),
-            (F.col("q3") + spread * k).alias("borne_max"),
-        )
+    return quartiles.filter(spread != 0).select(
+        F.col("column").alias("colonne"),
+        F.when(is_inflated, F.least(low, F.lit(0.0))).otherwise(low).alias("borne_min"),
+        (F.col("q3") + spread * k).alias("borne_max"),
     )
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propensia.session import materialise
+
 BLOCK_ROWS = 512
 MAX_PIVOTS = 256
 ROUNDING = 1e-9
@@ -66,6 +68,8 @@ def nearest_neighbours(
     """
     spark = points.sparkSession
     points = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    # Read several times below (count, pivots, cells, blocks): written once instead.
+    points = materialise(points, "points")
     # About one block per cell until the pivots run out; more cells than blocks only add pairs.
     centres = _pivots(points, "id", "vec", max(1, min(pivots, points.count() // block_rows)))
     if not len(centres):
@@ -91,12 +95,12 @@ def nearest_neighbours(
     rings = {r["cell"]: (r["inner"], r["outer"]) for r in cells}
     blocks_of = F.create_map(*[x for c, b in n_blocks.items() for x in (F.lit(c), F.lit(b))])
     blocked = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks_of, F.col("cell"))).cast("int"))
-    # Blocks travel as single rows of packed coordinates.
-    packed = blocked.groupBy("cell", "block").agg(
+    # Blocks travel as single rows of packed coordinates; both passes read the same table.
+    packed = materialise(blocked.groupBy("cell", "block").agg(
         F.sort_array(F.collect_list(F.struct("id", "blob"))).alias("rows")
     ).select(
         "cell", "block", F.col("rows.id").alias("ids"), F.col("rows.blob").alias("blobs"),
-    )
+    ), "blocks")
 
     known = np.array(sorted(rings), dtype="int32")
     inner = np.array([rings[c][0] for c in known])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from propensia.operators.neighbours import nearest_neighbours
 from propensia.operators.windows import row_numbers
+from propensia.session import materialise
 
 
 def numeric_vector(df: DataFrame, columns: Sequence[str], out: str = "vec") -> DataFrame:
@@ -29,7 +30,7 @@ def tomek_links(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("label"),
                      F.col(vec).cast("array<double>").alias("vec"))
     first = F.min(F.struct("id", "label"))
-    spots = rows.groupBy("vec").agg(first.alias("a"), F.count("*").alias("n"))
+    spots = materialise(rows.groupBy("vec").agg(first.alias("a"), F.count("*").alias("n")), "positions")
     # Second lowest id of each position with copies: lowest id that is not the lowest.
     lowest = spots.filter("n > 1").select("vec", F.col("a.id").alias("low"))
     second = (
@@ -120,10 +121,10 @@ def smotenc(
     distance: differing ones add the squared median deviation of the numeric columns.
     Returns (label, numeric..., categorical...) of the new rows only.
     """
-    minority = smallest_class(df, label)
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    minority = min(counts, key=lambda c: (counts[c], c))
     rows = df.filter(F.col(label) == F.lit(minority)).na.drop(subset=[*numeric, *categorical])
-    rows = rows.select(F.col(id_col).cast("bigint").alias("id"), *numeric, *categorical)
+    rows = materialise(rows.select(F.col(id_col).cast("bigint").alias("id"), *numeric, *categorical), "minority")
     deviations = rows.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in numeric]).first()
     spread = sorted(float(deviations[c] or 0.0) for c in numeric)
     middle = len(spread) // 2

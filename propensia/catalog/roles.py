@@ -106,16 +106,19 @@ def depot_files(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [o.filter(_between(o, "o_orderdate", *cut)).select(*columns) for cut in [(None, "1999-01-01"), ("1999-01-01", None)]]
 
 
-def flux_files(spark: SparkSession, sf: str) -> list[DataFrame]:
+def flux(spark: SparkSession, sf: str) -> DataFrame:
     """Credit flows from order lines; a returned line is a month without movement."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_extendedprice", "l_shipdate")
     owners = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     amount = F.when(F.col("l_returnflag") != "R", to_fr_text("l_extendedprice")).alias("FLUX_CRED")
-    return [
-        joined.filter(_between(joined, "l_shipdate", *cut)).select(_client("o_custkey"), amount)
-        for cut in [(None, "1999-01-01"), ("1999-01-01", None)]
-    ]
+    return joined.select(_client("o_custkey"), amount, "l_shipdate")
+
+
+def flux_files(spark: SparkSession, sf: str) -> list[DataFrame]:
+    flows = flux(spark, sf)
+    cuts = [(None, "1999-01-01"), ("1999-01-01", None)]
+    return [flows.filter(_between(flows, "l_shipdate", *cut)).drop("l_shipdate") for cut in cuts]
 
 
 def _event_files(spark: SparkSession, sf: str, kind: str, cuts: Sequence[str], columns: Sequence[Column]) -> list[DataFrame]:
@@ -165,7 +168,7 @@ def raw_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "digitaux": digitaux(spark, sf),
         "solde": union_by_name(solde_files(spark, sf)),
         "depot": union_by_name(depot_files(spark, sf)),
-        "flux": union_by_name(flux_files(spark, sf)),
+        "flux": flux(spark, sf).drop("l_shipdate"),  # both files at once: one join with the owners
         "gab": union_by_name(gab_files(spark, sf)),
         "retrait": union_by_name(retrait_files(spark, sf)),
         "payfac": union_by_name(payfac_files(spark, sf)),

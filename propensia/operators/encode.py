@@ -17,14 +17,20 @@ def index_stage(column: str, out: str | None = None, invalid: str = "keep") -> S
 
 
 def encoding_stages(low_cardinality: Sequence[str], high_cardinality: Sequence[str] = ()) -> list:
-    """Index + one-hot for short category lists, index alone for long ones."""
-    indexers = [index_stage(c) for c in [*low_cardinality, *high_cardinality]]
+    """Index + one-hot for short category lists, index alone for long ones.
+
+    One indexer counts the values of all columns in a single pass over the data.
+    """
+    columns = [*low_cardinality, *high_cardinality]
+    if not columns:
+        return []
+    indexer = StringIndexer(inputCols=columns, outputCols=[f"{c}_idx" for c in columns], handleInvalid="keep")
     if not low_cardinality:
-        return indexers
+        return [indexer]
     one_hot = OneHotEncoder(
         inputCols=[f"{c}_idx" for c in low_cardinality], outputCols=[f"{c}_ohe" for c in low_cardinality]
     )
-    return [*indexers, one_hot]
+    return [indexer, one_hot]
 
 
 def feature_columns(numeric: Sequence[str], low_cardinality: Sequence[str], high_cardinality: Sequence[str] = ()) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from propensia.functions import exact_mean, exact_sum
 from propensia.operators import encode, models, resample, rules
 from propensia.operators import evaluate as ev
 from propensia.operators.sets import hash_split
-from propensia.plans.dataset import build_dataset
+from propensia.plans.dataset import build_dataset, savings_target
 from propensia.plans.small_job import train_small
+from propensia.plans.training import score_table, train_select_save
 from propensia.session import materialise, staging_path
 
 _DATASET_TEXT = "derniere_operation_gab"
@@ -150,6 +152,33 @@ def ml_gbt(spark, sf):
     return _scored(model, val)
 
 
+@query("ml_boosted_oversampled")
+def ml_boosted_oversampled(spark, sf):
+    fit, val = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    return _scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins, rounds=3, depth=3), "c_custkey"), val)
+
+
+@query("ml_product_score")
+def ml_product_score(spark, sf):
+    """Which product: three classes, clients that hold one."""
+    target = savings_target(roles.assi(spark, sf), roles.CODES).select(F.col("RADICAL").cast("bigint").alias("c_custkey"), "label_nom")
+    holders = materialise(training_rows(spark, sf).drop("label", "split").join(target, "c_custkey"), "holders")
+    spec = replace(SPEC, label="label_nom")
+    bins = encode.tree_bins(holders, SPEC.high_cardinality)
+    model = models.fit_model(holders, spec, models.random_forest(bins, trees=10), softened=False)
+    return models.batch_score_classes(holders.drop("label_nom"), model, spec)
+
+
+@query("ml_train_select_score")
+def ml_train_select_score(spark, sf):
+    rows = training_rows(spark, sf).drop("split")
+    path = staging_path(spark, "winner")
+    params = {"DecisionTree": models.FROZEN["DecisionTree"], "NaiveBayes_Gaussian": models.FROZEN["NaiveBayes_Gaussian"]}
+    train_select_save(rows, SPEC, "c_custkey", path, params)
+    return score_table(spark, rows.drop("label"), path, SPEC, staging_path(spark, "predictions"))
+
+
 @query("ml_imbalance_weight")
 def ml_imbalance_weight(spark, sf):
     fit, val = _halves(spark, sf)

@@ -200,9 +200,5 @@ def class_weights(df: DataFrame, label: str, softened: bool = True) -> DataFrame
 THRESHOLD_SCHEMA = "modele string, seuil_decision double"
 
 
-def threshold_frame(df: DataFrame, model: str, threshold: float) -> DataFrame:
-    return params_frame(df.sparkSession, [(model, float(threshold))], THRESHOLD_SCHEMA)
-
-
 def as_bounds(bounds: DataFrame) -> Mapping[str, tuple[float, float]]:
     return {r["colonne"]: (r["borne_min"], r["borne_max"]) for r in bounds.collect()}

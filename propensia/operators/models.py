@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from propensia.operators.encode import encoder, feature_names, tree_bins
 from propensia.operators.evaluate import best_threshold, weighted_metrics
 from propensia.operators.joins import join_small
-from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights, threshold_frame
-from propensia.sources.store import load_params, save_params
+from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights
+from propensia.operators.resample import smotenc
+from propensia.session import materialise
+from propensia.sources.store import load_params, params_frame, save_params
 
 SEED = 42
 WEIGHT = "poids_classe"
@@ -87,6 +89,16 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+# Parameters kept from earlier searches, to fit without searching again.
+FROZEN: dict[str, dict] = {
+    "RandomForest": {"trees": 100, "depth": 8},
+    "LogisticRegression": {"regParam": 0.1, "elasticNetParam": 0.0},
+    "DecisionTree": {"maxDepth": 5, "minInstancesPerNode": 5},
+    "NaiveBayes_Gaussian": {"smoothing": 1.0},
+    "BoostedTrees": {"rounds": 200, "depth": 8, "step": 0.03, "subsamplingRate": 0.8},
+}
+
+
 def param_maps(classifier, grid: Mapping[str, Sequence]) -> list:
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -106,6 +118,19 @@ def fit_model(train: DataFrame, spec: FeatureSpec, classifier, softened: bool =
     return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted)
 
 
+def fit_oversampled(train: DataFrame, spec: FeatureSpec, classifier, key: str, k: int = 5) -> PipelineModel:
+    """Fit on the training rows plus synthetic minority rows, without class weights.
+
+    Oversampling and weighting correct the same imbalance, so only one is used.
+    Categories are interpolated by vote before encoding; validation rows never take part.
+    """
+    categories = [*spec.low_cardinality, *spec.high_cardinality]
+    synthetic = smotenc(train, key, spec.label, list(spec.numeric), categories, k=k, seed=SEED)
+    columns = [spec.label, *spec.numeric, *categories]
+    balanced = train.select(*columns).unionByName(synthetic.select(*columns)).withColumn(WEIGHT, F.lit(1.0))
+    return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(materialise(balanced, "balanced"))
+
+
 def encoder_of(model: PipelineModel) -> PipelineModel:
     """The fitted encoding stages of a model, without its classifier."""
     return PipelineModel(stages=model.stages[:-1])
@@ -216,7 +241,7 @@ def save_model(model: PipelineModel, threshold: float, path: str, name: str = "m
     """The threshold belongs to the model and is stored beside it."""
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/pipeline")
-    save_params(threshold_frame(spark.range(1), name, threshold), f"{path}/threshold")
+    save_params(params_frame(spark, [(name, float(threshold))], THRESHOLD_SCHEMA), f"{path}/threshold")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
@@ -230,15 +255,29 @@ def refit_on_everything(full: DataFrame, spec: FeatureSpec, algorithm: str, **pa
     return fit_model(full, spec, ALGORITHMS[algorithm](bins, **params))
 
 
-def batch_score(df: DataFrame, model: PipelineModel, threshold: float, spec: FeatureSpec) -> DataFrame:
-    """(ids..., label_predit, probability_classe1) at the stored threshold.
+def _without_label(model: PipelineModel) -> tuple[PipelineModel, list[str]]:
+    """The model for rows that carry no label, and the class names of its label indexer."""
+    def is_label(stage) -> bool:
+        return stage.hasParam("outputCol") and stage.isSet("outputCol") and stage.getOutputCol() == "label_idx"
 
-    Rows to score carry no label; the label indexer is taken out of the stages and
-    only its names are used.
-    """
-    label_model = next(s for s in model.stages if s.hasParam("outputCol") and s.isSet("outputCol") and s.getOutputCol() == "label_idx")
-    scored = PipelineModel(stages=[s for s in model.stages if s is not label_model]).transform(df)
-    scored = class_one_probability(scored)
-    names = F.array(*[F.lit(x) for x in label_model.labels])
-    picked = F.when(F.col("probability_classe1") >= threshold, names[1]).otherwise(names[0])
+    labels = next(s for s in model.stages if is_label(s)).labels
+    return PipelineModel(stages=[s for s in model.stages if not is_label(s)]), list(labels)
+
+
+def batch_score(df: DataFrame, model: PipelineModel, threshold: float, spec: FeatureSpec) -> DataFrame:
+    """(ids..., label_predit, probability_classe1) at the stored threshold."""
+    stages, labels = _without_label(model)
+    scored = class_one_probability(stages.transform(df))
+    picked = F.when(F.col("probability_classe1") >= threshold, labels[1]).otherwise(labels[0])
     return scored.select(*spec.ids, picked.alias("label_predit"), "probability_classe1")
+
+
+def batch_score_classes(df: DataFrame, model: PipelineModel, spec: FeatureSpec) -> DataFrame:
+    """(ids..., label_predit, probability) of a multiclass model: most probable class by name."""
+    stages, labels = _without_label(model)
+    names = F.array(*[F.lit(x) for x in labels])
+    return stages.transform(df).select(
+        *spec.ids,
+        F.element_at(names, F.col("prediction").cast("int") + 1).alias("label_predit"),
+        vector_to_array(F.col("probability")).alias("probability"),
+    )

@@ -100,7 +100,7 @@ def cumulative_confusion(df: DataFrame, label: str, score: str, by: Sequence[str
     levels = bucketed.filter(F.col("score").isNotNull()).groupBy(*by, "__bucket", "score").agg(
         F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") != 1).alias("neg")
     )
-    ladder = running_totals(levels, list(by), "__bucket", "score", ["pos", "neg"], descending=True)
+    ladder = running_totals(levels, list(by), "__bucket", "score", ["pos", "neg"], descending=True, bounded=not by)
     return ladder.select(
         *by, "score", "pos", "neg",
         F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),

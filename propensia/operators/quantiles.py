@@ -34,7 +34,7 @@ def value_ladder(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         .groupBy(*by, "column", "bucket", "value")
         .agg(F.count("*").alias("n"))
     )
-    return running_totals(counted, [*by, "column"], "bucket", "value", ["n"])
+    return running_totals(counted, [*by, "column"], "bucket", "value", ["n"], bounded=not by)
 
 
 def _at_rank(rank: Column) -> Column:

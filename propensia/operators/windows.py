@@ -77,6 +77,7 @@ def running_totals(
     order: str,
     measures: Sequence[str],
     descending: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Cumulative and overall totals along ``order`` inside each ``by`` group.
 
@@ -84,26 +85,35 @@ def running_totals(
     Range totals are accumulated over the few buckets, rows only inside their own
     bucket, so no task ever sorts a whole group. Adds ``<m>_upto`` (inclusive) and
     ``<m>_total``.
+
+    ``bounded`` says that the groups are limited by the schema (none, or one per
+    column): the range totals are then at most 8192 rows per column and broadcast.
+    Otherwise the join shuffles on the key the window needs anyway.
     """
     def direction(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    before = Window.partitionBy(*by).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    # A struct is never NULL and compares its NULL fields as equal, so one plain
+    # equality serves join, aggregate and window with the same partitioning.
+    group, grouped = list(by), df
+    if by and not bounded:
+        group, grouped = ["__group"], df.withColumn("__group", F.struct(*by))
+    before = Window.partitionBy(*group).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     offsets = (
-        df.groupBy(*by, bucket)
+        grouped.groupBy(*group, bucket)
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *by,
+            *group,
             bucket,
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_offset") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
     )
-    inside = Window.partitionBy(*by, bucket).orderBy(direction(order)).rowsBetween(
+    inside = Window.partitionBy(*group, bucket).orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    joined = null_safe_join(df, offsets, [*by, bucket])
+    joined = grouped.join(F.broadcast(offsets) if bounded else offsets, [*group, bucket])
     return joined.select(
         *df.columns,
         *[(F.sum(m).over(inside) + F.col(f"{m}_offset")).alias(f"{m}_upto") for m in measures],
@@ -131,7 +141,7 @@ def average_rank(df: DataFrame, family: Sequence[str], value: str, out: str = "r
 def row_numbers(df: DataFrame, order: str, out: str = "row_index") -> DataFrame:
     """0-based consecutive numbers along a unique numeric column, without one big sort task."""
     bucketed = with_value_buckets(df.select(order), {order: "__bucket"}).withColumn("__n", F.lit(1).cast("bigint"))
-    numbered = running_totals(bucketed, [], "__bucket", order, ["__n"]).select(
+    numbered = running_totals(bucketed, [], "__bucket", order, ["__n"], bounded=True).select(
         order, (F.col("__n_upto") - 1).alias(out)
     )
     return df.join(numbered, order)

@@ -56,7 +56,7 @@ _BOUNDS = _USAGE + f""",
 @query("fit_median_impute", _USAGE + """
     SELECT c_custkey, coalesce(recence_gab_jours, (SELECT CAST(quantile_disc(recence_gab_jours, 0.5) AS BIGINT) FROM usage)) AS recence_gab_jours_imp FROM usage""")
 def fit_median_impute(spark, sf):
-    df = client_usage(spark, sf).select("c_custkey", "recence_gab_jours")
+    df = materialise(client_usage(spark, sf).select("c_custkey", "recence_gab_jours"), "usage")
     return learned.apply_medians(df, learned.fit_medians(df, ["recence_gab_jours"]))
 
 
@@ -75,7 +75,7 @@ def _volatility(spark, sf):
     v AS (SELECT radical, CASE WHEN solde_moyen > 0 THEN (solde_max - solde_min) / solde_moyen END AS x, CASE WHEN solde_moyen <= 0 THEN 1 ELSE 0 END AS indefinie FROM solde)
     SELECT radical AS "RADICAL", indefinie, round(coalesce(x, (SELECT quantile_disc(x, 0.5) FROM v)), 6) AS volatilite_imp FROM v""")
 def impute_volatility(spark, sf):
-    df = _volatility(spark, sf).select("RADICAL", "volatilite", "indefinie")
+    df = materialise(_volatility(spark, sf).select("RADICAL", "volatilite", "indefinie"), "volatility")
     imputed = learned.apply_medians(df, learned.fit_medians(df, ["volatilite"]))
     return imputed.withColumn("volatilite_imp", F.round("volatilite_imp", 6))
 
@@ -89,7 +89,7 @@ def detect_zero_inflated(spark, sf):
 @query("fit_iqr_bounds", _BOUNDS + """
     SELECT colonne, round(borne_min, 4) AS borne_min, round(borne_max, 4) AS borne_max FROM bounds""")
 def fit_iqr_bounds(spark, sf):
-    bounds = learned.fit_iqr_bounds(client_usage(spark, sf), TOTALS)
+    bounds = learned.fit_iqr_bounds(materialise(client_usage(spark, sf).select(*TOTALS), "usage"), TOTALS)
     return bounds.select("colonne", F.round("borne_min", 4).alias("borne_min"), F.round("borne_max", 4).alias("borne_max"))
 
 
@@ -102,7 +102,7 @@ def _winsor_sql(c: str) -> str:
 @query("apply_winsorize", _BOUNDS + f"""
     SELECT c_custkey, {_winsor_sql('montant_total_gab')}, {_winsor_sql('c_acctbal')} FROM usage""")
 def apply_winsorize(spark, sf):
-    df = client_usage(spark, sf).select("c_custkey", "montant_total_gab", "c_acctbal")
+    df = materialise(client_usage(spark, sf).select("c_custkey", "montant_total_gab", "c_acctbal"), "usage")
     cut = learned.apply_bounds(df, learned.fit_iqr_bounds(df, ["montant_total_gab", "c_acctbal"]))
     return cut.withColumns({c: F.round(c, 4) for c in ("montant_total_gab", "c_acctbal")})
 

@@ -40,27 +40,33 @@ def bucket_count(df: DataFrame) -> int:
     return min(max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 8192)
 
 
-def with_value_buckets(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Add ``{column: bucket column}``: value ranges of about equal size per column.
+def value_splits(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Split points (from -inf to inf) of about equally full value ranges per column.
 
-    The split points only balance the work, so a tenth of the rows is enough to place
-    them; every row is bucketed and results never depend on where the splits fall.
-    Their number follows the shuffle width, not the data. NULLs get their own bucket.
+    They only balance the work, so a tenth of the rows is enough to place them; every
+    row is bucketed and results never depend on where the splits fall. Their number
+    follows the shuffle width, not the data.
     """
     n = bucket_count(df)
-    names = list(columns)
     probabilities = [i / n for i in range(1, n)]
-    sketched = df.select(*[F.col(c).cast("double").alias(c) for c in names]).sample(fraction=SPLIT_SHARE, seed=7)
-    found = sketched.approxQuantile(names, probabilities, 0.5 / n)
+    sketched = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).sample(fraction=SPLIT_SHARE, seed=7)
+    found = sketched.approxQuantile(list(columns), probabilities, 0.5 / n)
     infinity = float("inf")
-    splits = [[-infinity, *sorted(set(points)), infinity] for points in found]
-    # Bucketizer wants three split points; one range is as good as two here.
-    splits = [s if len(s) > 2 else [-infinity, 0.0, infinity] for s in splits]
+    # Bucketizer wants three split points; where there are none, 0 is as good as any.
+    return [[-infinity, *(sorted(set(points)) or [0.0]), infinity] for points in found]
+
+
+def bucketize(df: DataFrame, columns: Mapping[str, str], splits: Sequence[Sequence[float]]) -> DataFrame:
+    """Add ``{column: bucket column}`` by the given splits; NULLs get their own bucket."""
     return Bucketizer(
-        splitsArray=splits, inputCols=names, outputCols=[columns[c] for c in names], handleInvalid="keep"
+        splitsArray=[list(s) for s in splits], inputCols=list(columns), outputCols=list(columns.values()), handleInvalid="keep"
     ).transform(df)
 
 
+def with_value_buckets(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    return bucketize(df, columns, value_splits(df, list(columns)))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join where NULL keys meet; keeps the left columns and the right's others."""
     condition = F.lit(True)

@@ -269,3 +269,31 @@ def test_quality_gates_raise(spark):
 def test_exclusivity_tells_snapshots_from_codes(spark):
     df = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "a"), ("2", "b"), ("3", "a")], "k string, c string")
     assert tuple(quality.exclusivity(df, "k", "c").first()) == (2, 1)
+
+
+def test_hot_key_and_null_family(spark):
+    # One key holds a third of the rows and one family is NULL.
+    rows = [(0 if i % 3 == 0 else i, None if i % 7 == 0 else "f", float(i % 11)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, family string, v double").repartition(6)
+    first = windows.first_per_key(df, ["k"], [F.col("v").desc()])
+    assert first.count() == len({k for k, _, _ in rows})
+    assert first.filter("k = 0").first()["v"] == max(v for k, _, v in rows if k == 0)
+    ranked = windows.average_rank(df, ["family"], "v").collect()
+    assert len(ranked) == len(rows)
+    for family in (None, "f"):
+        vs = [v for _, f, v in rows if f == family]
+        for r in (r for r in ranked if r["family"] == family):
+            assert r["rank"] == sum(1 for v in vs if v > r["v"]) + (vs.count(r["v"]) + 1) / 2
+
+
+def test_quantiles_by_group_and_infinite_values(spark):
+    import math
+
+    rows = [("a" if i % 2 else None, float(i)) for i in range(200)] + [("a", float("inf")), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["n"], r["m"]) for r in exact_quantiles(df, ["x"], {"m": 0.5}, by=["g"]).collect()}
+    for g in ("a", None):
+        known = sorted(v for k, v in rows if k == g and not math.isnan(v))
+        assert got[g] == (len(known), known[math.ceil(len(known) / 2) - 1])
+    top = exact_quantiles(df, ["x"], {"top": 1.0, "low": 0.0}).first()
+    assert (top["top"], top["low"], top["n"]) == (float("inf"), 0.0, 201)

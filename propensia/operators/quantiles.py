@@ -67,26 +67,26 @@ def _ladder_near(df: DataFrame, columns: Sequence[str], ranks: Sequence[Column])
     )
     holds = [(F.col("offset") < r) & (r <= F.col("offset") + F.col("n")) for r in ranks]
     wanted = ranges.filter(reduce(Column.__or__, holds)).collect()  # a few ranges per column
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "column string, value double, n bigint, n_upto bigint, n_total bigint")
     cells = []
     for c, points in zip(columns, splits):
-        cell = None
+        place = F.lit(None).cast("int")
         for w in (w for w in wanted if w["column"] == c):
             low, high = points[int(w["bucket"])], points[int(w["bucket"]) + 1]
             below = F.col(c) <= F.lit(high) if high == float("inf") else F.col(c) < F.lit(high)
-            inside = (F.col(c) >= F.lit(low)) & below
-            entry = F.struct(
-                F.lit(c).alias("column"), F.lit(w["bucket"]).alias("bucket"), F.lit(w["offset"]).cast("bigint").alias("offset"),
-                F.lit(w["n_total"]).cast("bigint").alias("n_total"), F.col(c).alias("value"),
-            )
-            cell = F.when(inside, entry) if cell is None else cell.when(inside, entry)
-        if cell is not None:
-            cells.append(cell)
-    if not cells:
-        return df.sparkSession.createDataFrame([], "column string, value double, n bigint, n_upto bigint, n_total bigint")
-    near = data.select(F.inline(F.array_compact(F.array(*cells))))
-    counted = near.groupBy("column", "bucket", "offset", "n_total", "value").agg(F.count("*").alias("n"))
+            place = F.when((F.col(c) >= F.lit(low)) & below, int(w["bucket"])).otherwise(place)
+        cells.append(F.struct(F.lit(c).alias("column"), place.alias("bucket"), F.col(c).alias("value")))
+    near = data.select(F.inline(F.array(*cells))).filter(F.col("bucket").isNotNull())
+    counted = near.groupBy("column", "bucket", "value").agg(F.count("*").alias("n"))
+    known = df.sparkSession.createDataFrame(
+        [(w["column"], int(w["bucket"]), w["offset"], w["n_total"]) for w in wanted],
+        "column string, bucket int, offset bigint, n_total bigint",
+    )
     inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.select("column", "value", "n", (F.sum("n").over(inside) + F.col("offset")).alias("n_upto"), "n_total")
+    return counted.join(F.broadcast(known), ["column", "bucket"]).select(
+        "column", "value", "n", (F.sum("n").over(inside) + F.col("offset")).alias("n_upto"), "n_total"
+    )
 
 
 def _at_rank(rank: Column) -> Column:

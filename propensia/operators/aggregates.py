@@ -1,7 +1,7 @@
 """Keyed aggregates and one-pass column statistics.
 
-Whatever the reference counted column by column (one job each) is one aggregate over
-the table here, turned to long form at the end.
+Counting column by column would be one job each; here all columns of a table share one
+aggregate, turned to long form at the end.
 """
 
 from __future__ import annotations

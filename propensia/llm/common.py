@@ -8,7 +8,7 @@ operators use are defined by ASCII bytes alone, so bytes can be cut without deco
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,31 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             yield keys.slice(start).to_pylist(), texts.slice(start).to_pylist()
 
 
+def filter_rows(docs: DataFrame, text: str, make_keep: Callable[[], Callable[..., list[bool]]], also: tuple[str | None, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` for which a task-side function says so, all columns as they are, without a shuffle.
+
+    ``make_keep()`` runs once per task and returns a function of a list of texts (bytes, null as empty) and,
+    for each name in ``also``, the list of that column's values as strings (None where there is none).
+    """
+    first = [F.lit(0).alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t")]
+    extra = [F.col(f"`{a}`").cast("string").alias(f"a{i}") if a else F.lit(None).cast("string").alias(f"a{i}") for i, a in enumerate(also)]
+    rest = [(i, c) for i, c in enumerate(docs.columns) if c != text]
+    source = docs.select(*first, *extra, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in rest))
+    kept, n_extra = ["t", *(f"c{i}" for i, _ in rest)], len(extra)
+
+    def run(batches):
+        keep = make_keep()
+        for batch in batches:
+            filled = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).fill_null(b"")], ["k", "t"])
+            values, mask = [batch.column(2 + j).to_pylist() for j in range(n_extra)], []
+            for _, texts in chunks([filled]):
+                mask += keep(texts, *(v[len(mask) : len(mask) + len(texts)] for v in values))
+            yield batch.select(kept).filter(pa.array(mask, pa.bool_()))
+
+    done = source.mapInArrow(run, source.select(*kept).schema)
+    return done.select(*(F.col("t").cast("string").alias(c) if c == text else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def rows_by_key(batches: Iterable[pa.RecordBatch], n_keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal first ``n_keys`` columns; the input is sorted by them."""
     current, held = None, []

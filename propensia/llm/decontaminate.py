@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import WordHashes, alnum_words, chunks, doc_columns, window_hashes
+from propensia.llm.common import WordHashes, alnum_words, chunks, doc_columns, filter_rows, window_hashes
 from propensia.session import materialise
 
 WINDOW = 10
@@ -105,27 +105,33 @@ def _count(block):
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
+class Matcher:
+    """Occurrences of a block's windows in a text."""
+
+    def __init__(self, block: ItemBlock):
+        self.block, self.cache, self.seen = block, WordHashes(), _filter(block.prefix_keys)
+
+    def __call__(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """(number of words, word ranges of occurrences, sorted ids of their items)."""
+        own, words, found, ids = self.block, alnum_words(text), [], set()
+        if words:
+            for at, tokens, _ in own.positions(self.cache.of(words), own.prefix_keys, self.seen):
+                for p, token in zip(at.tolist(), tokens.tolist(), strict=True):
+                    for k, start, offset in own.prefixes[token]:
+                        length, s = min(own.window, len(own.words[k])), p - offset
+                        if s >= 0 and s + length <= len(words) and words[s : s + length] == own.words[k][start : start + length]:
+                            found.append((s, s + length))
+                            ids.add(str(own.ids[k]))
+        return len(words), _merged(found), sorted(ids)
+
+
 def _match(block):
     def run(batches):
-        own, cache = block.value, WordHashes()
-        seen = _filter(own.prefix_keys)
+        matcher = Matcher(block.value)
         for keys, texts in chunks(batches):
-            n_words, spans, items = [], [], []
-            for text in texts:
-                words = alnum_words(text)
-                found, ids = [], set()
-                if words:
-                    for at, tokens, _ in own.positions(cache.of(words), own.prefix_keys, seen):
-                        for p, token in zip(at.tolist(), tokens.tolist(), strict=True):
-                            for k, start, offset in own.prefixes[token]:
-                                length, s = min(own.window, len(own.words[k])), p - offset
-                                if s >= 0 and s + length <= len(words) and words[s : s + length] == own.words[k][start : start + length]:
-                                    found.append((s, s + length))
-                                    ids.add(str(own.ids[k]))
-                n_words.append(len(words))
-                spans.append([x for pair in _merged(found) for x in pair])
-                items.append(sorted(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, _SCHEMA.field("spans").type), pa.array(items, _SCHEMA.field("items").type)], schema=_SCHEMA)
+            n_words, spans, items = zip(*map(matcher, texts), strict=True)
+            flat = [[x for pair in s for x in pair] for s in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.array(flat, _SCHEMA.field("spans").type), pa.array(items, _SCHEMA.field("items").type)], schema=_SCHEMA)
 
     return run
 
@@ -162,6 +168,17 @@ def _item_blocks(benchmark: DataFrame, item_key: str, item_text: str, limit: int
         yield [(r[0], r[1]) for r in items.filter(F.col("block") == b).collect()]
 
 
+def _ranked(source: DataFrame, block: ItemBlock) -> ItemBlock:
+    """The block with its prefixes chosen by the number of occurrences over all documents."""
+    counts = np.zeros(len(block.tokens), np.int64)
+    if len(counts):
+        counted = source.mapInArrow(_count(source.sparkSession.sparkContext.broadcast(block)), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+        for token, n in counted.collect():  # bounded: one row per shingle of the block
+            counts[token] = n
+    block.rank(counts)
+    return block
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document row: doc_id, n_words, spans (merged word ranges start, end, start, end, ...) and items (sorted ids).
@@ -171,13 +188,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     spark, parts = docs.sparkSession, []
     source = doc_columns(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     for items in _item_blocks(benchmark, item_key, item_text, block_chars):
-        block = ItemBlock(items, window, shingle)
-        if len(block.tokens):
-            ranked = source.mapInArrow(_count(spark.sparkContext.broadcast(block)), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-            counts = np.zeros(len(block.tokens), np.int64)
-            for token, n in ranked.collect():  # bounded: one row per shingle of the block
-                counts[token] = n
-            block.rank(counts)
+        block = _ranked(source, ItemBlock(items, window, shingle))
         parts.append(source.mapInArrow(_match(spark.sparkContext.broadcast(block)), "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"))
     if len(parts) == 1:
         return parts[0]
@@ -189,11 +200,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return grouped.mapInArrow(_merge_blocks, "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents without any benchmark passage, all columns kept; ``options`` as in ``find_passages``."""
-    key = options.get("key", "doc_id")
-    hit = find_passages(docs, benchmark, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[key].cast("bigint") == hit["__hit"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                  window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows without any benchmark passage, all columns as they are; one counting and one filtering pass a block."""
+    source = doc_columns(docs.withColumn("__place", F.lit(0)), "__place", text)
+    for items in _item_blocks(benchmark, item_key, item_text, block_chars):
+        block = _ranked(source, ItemBlock(items, window, shingle))
+        docs = filter_rows(docs, text, _clean(docs.sparkSession.sparkContext.broadcast(block)))
+    return docs
+
+
+def _clean(block):
+    def make():
+        matcher = Matcher(block.value)
+        return lambda texts: [not matcher(t)[1] for t in texts]
+
+    return make
 
 
 def passage_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import decontaminate, jaccard
+import corpus_pipeline
+from propensia.llm import bpe, decontaminate, fertility, jaccard, personal
 from propensia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,21 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op4_personal_data")
+def op4(spark, sf):
+    return personal.span_report(table(spark, sf, "documents"))
+
+
+@_query("op5_bpe")
+def op5(spark, sf):
+    return bpe.round_trip_report(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op8_quality_rules")
+def op8(spark, sf):
+    return fertility.quality_report(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query("op9_ngram_jaccard_join")
 def op9(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents"), shingle=3, threshold=(90, 100))
@@ -33,3 +50,8 @@ def op9(spark, sf):
 @_query("op10_benchmark_decontamination")
 def op10(spark, sf):
     return decontaminate.passage_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

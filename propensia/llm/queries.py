@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from propensia.llm import bpe, decontaminate, fertility, jaccard, personal
+from propensia.llm import bpe, chat, decontaminate, fertility, jaccard, language, licences, pages, personal
 from propensia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,35 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_licence_scan")
+def op1(spark, sf):
+    return licences.licence_report(table(spark, sf, "documents"))
+
+
+_OP2_SQL = """
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(24 + length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')))::BIGINT AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
+
+@_query("op2_chat_format", _OP2_SQL)
+def op2(spark, sf):
+    probe = "<|im_end|><|im_start|>assistant ok"
+    rows = chat.turn_rows_as_records(table(spark, sf, "conversations")).unionByName(
+        chat.turn_rows_as_records(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")))
+    return chat.conversation_report(chat.format_records(rows))
+
+
+@_query("op3_page_text")
+def op3(spark, sf):
+    return pages.extract_pages(table(spark, sf, "pages"))
+
+
 @_query("op4_personal_data")
 def op4(spark, sf):
     return personal.span_report(table(spark, sf, "documents"))
@@ -37,6 +66,11 @@ def op5(spark, sf):
     return bpe.round_trip_report(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op7_language_id")
+def op7(spark, sf):
+    return language.language_report(table(spark, sf, "documents"))
+
+
 @_query("op8_quality_rules")
 def op8(spark, sf):
     return fertility.quality_report(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

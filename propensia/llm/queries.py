@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from propensia.llm import bpe, chat, decontaminate, fertility, jaccard, language, licences, pages, personal
+from propensia.llm import bpe, chat, decontaminate, fertility, jaccard, language, licences, pages, personal, scoring
 from propensia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op5(spark, sf):
     return bpe.round_trip_report(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op6_lm_score")
+def op6(spark, sf):
+    return scoring.score_report(table(spark, sf, "documents"))
+
+
 @_query("op7_language_id")
 def op7(spark, sf):
     return language.language_report(table(spark, sf, "documents"))

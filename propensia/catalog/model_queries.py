@@ -24,6 +24,9 @@ _DATASET_TEXT = "derniere_operation_gab"
 
 @query("build_dataset_final", roles.with_roles("dataset") + """
     SELECT radical AS "RADICAL", banque AS "BANQUE", agence AS "AGENCE", strftime(birth, '%d/%m/%Y') AS "DATE_OF_BIRTH",
+      CASE WHEN CAST(radical AS BIGINT) % 53 = 0 THEN 'X' WHEN CAST(radical AS BIGINT) % 4 = 0 THEN 'FÃ©minin'
+           WHEN CAST(radical AS BIGINT) % 4 = 2 THEN 'Féminin' ELSE 'Masculin' END AS "GENDER",
+      'VILLE_' || code_ville AS "LIBELLE_VILLE", CAST(NULL AS VARCHAR) AS "TAILLE_ENTREPRI",
       code_ville AS "CODE_VILLE", bpr AS "BPR", CAST(enfants AS VARCHAR) AS "NOMBRE_ENFANT", marital AS "MARITAL_STATUS", rating AS "CUSTOMER_RATING",
       age_client, label_code, label_nom, pack_actuel, pack_etat, digital_date_activation, digital_toujours_abonne, anciennete_digitale_jours,
       solde_moyen, solde_min, solde_max, nb_mois_observes_solde, depot_moyen, flux_cred_moyen, flux_cred_total, nb_mois_avec_flux,
@@ -32,8 +35,7 @@ _DATASET_TEXT = "derniere_operation_gab"
       montant_total_vignette, label_eligibilite FROM dataset""")
 def build_dataset_final(spark, sf):
     dataset = build_dataset(roles.raw_tables(spark, sf), codes=roles.CODES)
-    text = dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
-    return text.drop("GENDER", "LIBELLE_VILLE", "TAILLE_ENTREPRI")
+    return dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
 
 
 # ---- the table the models learn from -------------------------------------------
@@ -130,7 +132,7 @@ def ml_random_forest(spark, sf):
 
 @query("ml_logistic")
 def ml_logistic(spark, sf):
-    model, _, val = _fit(spark, sf, "LogisticRegression", maxIter=20)
+    model, _, val = _fit(spark, sf, "LogisticRegression")
     return _scored(model, val)
 
 
@@ -148,7 +150,7 @@ def ml_naive_bayes(spark, sf):
 
 @query("ml_gbt")
 def ml_gbt(spark, sf):
-    model, _, val = _fit(spark, sf, "BoostedTrees", rounds=5, depth=3)
+    model, _, val = _fit(spark, sf, "BoostedTrees")
     return _scored(model, val)
 
 
@@ -156,7 +158,7 @@ def ml_gbt(spark, sf):
 def ml_boosted_oversampled(spark, sf):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    return _scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins, rounds=3, depth=3), "c_custkey"), val)
+    return _scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins), "c_custkey"), val)
 
 
 @query("ml_product_score")
@@ -166,8 +168,9 @@ def ml_product_score(spark, sf):
     holders = materialise(training_rows(spark, sf).drop("label", "split").join(target, "c_custkey"), "holders")
     spec = replace(SPEC, label="label_nom")
     bins = encode.tree_bins(holders, SPEC.high_cardinality)
-    model = models.fit_model(holders, spec, models.random_forest(bins, trees=10), softened=False)
-    return models.batch_score_classes(holders.drop("label_nom"), model, spec)
+    split = hash_split(holders, "c_custkey")
+    model = models.fit_model(split.filter("split = 'fit'").drop("split"), spec, models.random_forest(bins), softened=False)
+    return models.batch_score_classes(split.filter("split = 'val'").drop("label_nom", "split"), model, spec)
 
 
 @query("ml_train_select_score")
@@ -183,7 +186,7 @@ def ml_train_select_score(spark, sf):
 def ml_imbalance_weight(spark, sf):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    return models.search_imbalance_weight(fit, val, SPEC, models.boosted_trees(bins, rounds=3, depth=3), shares=(0.5, 1.0))
+    return models.search_imbalance_weight(fit, val, SPEC, models.boosted_trees(bins))
 
 
 def _cv_rows(spark, fitted):
@@ -197,8 +200,7 @@ def _cv_rows(spark, fitted):
 @query("ml_cross_validate")
 def ml_cross_validate(spark, sf):
     fit, _ = _halves(spark, sf)
-    classifier = models.logistic(maxIter=5)
-    fitted = models.cross_validate(fit, SPEC, classifier, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0]}, parallelism=4)
+    fitted = models.cross_validate(fit, SPEC, models.logistic(), models.GRIDS["LogisticRegression"], parallelism=4)
     return _cv_rows(spark, fitted)
 
 
@@ -207,28 +209,27 @@ def ml_random_search(spark, sf):
     fit, _ = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
     grid = models.GRIDS["DecisionTree"]
-    return _cv_rows(spark, models.random_search(fit, SPEC, models.decision_tree(bins), grid, iterations=2, parallelism=4))
+    return _cv_rows(spark, models.random_search(fit, SPEC, models.decision_tree(bins), grid, parallelism=4))
 
 
 @query("ml_encode_classify")
 def ml_encode_classify(spark, sf):
     model, fit, val = _fit(spark, sf, "DecisionTree")
     shared = models.encoder_of(model)
-    other = models.logistic(maxIter=5).fit(shared.transform(models.with_class_weights(fit, SPEC.label)))
+    other = models.logistic().fit(shared.transform(models.with_class_weights(fit, SPEC.label)))
     return _scored(PipelineModel(stages=[*shared.stages, other]), val)
 
 
 @query("ml_importance")
 def ml_importance(spark, sf):
-    model, _, val = _fit(spark, sf, "RandomForest", trees=10)
+    model, _, val = _fit(spark, sf, "RandomForest")
     return models.importances(model, model.transform(val))
 
 
 def _candidates(spark, sf):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    small = {"RandomForest": {"trees": 10}, "LogisticRegression": {"maxIter": 10}, "BoostedTrees": {"rounds": 3, "depth": 3}}
-    fitted = {n: models.fit_model(fit, SPEC, make(bins, **small.get(n, {}))) for n, make in models.ALGORITHMS.items()}
+    fitted = models.fit_all(fit, SPEC, {n: make(bins) for n, make in models.ALGORITHMS.items()})
     return fitted, fit, val
 
 
@@ -240,16 +241,13 @@ def ml_leaderboard(spark, sf):
 
 @query("ml_params_report")
 def ml_params_report(spark, sf):
-    fit, _ = _halves(spark, sf)
-    bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    fitted = {n: models.fit_model(fit, SPEC, models.ALGORITHMS[n](bins)) for n in ("DecisionTree", "NaiveBayes_Gaussian")}
-    return models.params_report(spark, fitted)
+    return models.params_report(spark, _candidates(spark, sf)[0])
 
 
 @query("ml_refit_full")
 def ml_refit_full(spark, sf):
     everyone = training_rows(spark, sf).drop("split")
-    model = models.refit_on_everything(everyone, SPEC, "RandomForest", trees=10)
+    model = models.refit_on_everything(everyone, SPEC, "RandomForest")
     path = staging_path(spark, "model")
     models.save_model(model, 0.5, path)
     return models.importances(models.load_model(spark, path)[0], model.transform(everyone))

@@ -32,7 +32,7 @@ def _unpivot_sql(columns, source, extra=""):
 # ---- joins ---------------------------------------------------------------------
 
 @query("join_left_chain", """
-    WITH o AS (SELECT o_custkey AS k, count(*) AS n_orders, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / 100.0 AS total FROM orders GROUP BY 1),
+    WITH o AS (SELECT o_custkey AS k, count(*) AS n_orders, sum(CAST(o_totalprice AS DECIMAL(38, 9)))::DOUBLE AS total FROM orders GROUP BY 1),
     e AS (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1)
     SELECT c_custkey, c_mktsegment, n_orders, total, n_events FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey""")
 def join_left_chain(spark, sf):
@@ -77,52 +77,52 @@ def join_broadcast_weights(spark, sf):
 
 
 @query("join_key_overlap", """
-    WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value >= 150),
-    b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 150)
+    WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
+    b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
     SELECT count(*) FILTER (a.user_id IS NOT NULL AND b.user_id IS NOT NULL) AS n_both,
       count(*) FILTER (b.user_id IS NULL) AS n_left_only, count(*) FILTER (a.user_id IS NULL) AS n_right_only
     FROM a FULL OUTER JOIN b ON a.user_id = b.user_id""")
 def join_key_overlap(spark, sf):
-    large = _events(spark, sf).filter("value >= 150")
+    large = _events(spark, sf)
     return joins.key_overlap(large.filter("event_type = 'error'"), large.filter("event_type = 'purchase'"), "user_id")
 
 
 @query("join_left_semi", """
     SELECT event_id, user_id, event_type FROM events
-    WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value >= 150)""")
+    WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error')""")
 def join_left_semi(spark, sf):
     purchases = _events(spark, sf, "purchase").select("event_id", "user_id", "event_type")
-    return joins.found_in(purchases, _events(spark, sf, "error").filter("value >= 150"), "user_id")
+    return joins.found_in(purchases, _events(spark, sf, "error"), "user_id")
 
 
 # ---- keyed aggregates ----------------------------------------------------------
 
 @query("agg_balance", """
-    SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS solde_moyen,
+    SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(38, 9)))::DOUBLE / count(*) AS solde_moyen,
       min(o_totalprice) AS solde_min, max(o_totalprice) AS solde_max, count(*) AS nb_mois_observes_solde FROM orders GROUP BY 1""")
 def agg_balance(spark, sf):
     return ag.balance_summary(table(spark, sf, "orders"), "o_custkey", "o_totalprice")
 
 
 @query("agg_deposit_mean", """
-    SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS depot_moyen
+    SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(38, 9)))::DOUBLE / count(*) AS depot_moyen
     FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""")
 def agg_deposit_mean(spark, sf):
     return ag.deposit_mean(table(spark, sf, "orders").filter("o_orderstatus = 'P'"), "o_custkey", "o_totalprice")
 
 
 @query("agg_flow_zero_filled", """
-    WITH f AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END AS cents FROM events)
-    SELECT user_id, sum(cents)::DOUBLE / (count(*) * 100.0) AS flux_cred_moyen, sum(cents)::DOUBLE / 100.0 AS flux_cred_total,
-      count(*) FILTER (cents > 0) AS nb_mois_avec_flux FROM f GROUP BY 1""")
+    WITH f AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE CAST(value AS DECIMAL(38, 9)) END AS amount FROM events)
+    SELECT user_id, sum(amount)::DOUBLE / count(*) AS flux_cred_moyen, sum(amount)::DOUBLE AS flux_cred_total,
+      count(*) FILTER (amount > 0) AS nb_mois_avec_flux FROM f GROUP BY 1""")
 def agg_flow_zero_filled(spark, sf):
     flows = _events(spark, sf).select("user_id", F.when(~F.col("event_type").isin("click", "view"), F.col("value")).alias("amount"))
     return ag.flow_summary(flows, "user_id", "amount")
 
 
 @query("agg_rfm", """
-    SELECT user_id, count(*) AS nb_operations_gab, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS montant_total_gab,
-      sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS montant_moyen_gab,
+    SELECT user_id, count(*) AS nb_operations_gab, sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE AS montant_total_gab,
+      sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE / count(*) AS montant_moyen_gab,
       strftime(date_trunc('second', max(ts)), '%Y-%m-%d %H:%M:%S') AS derniere_operation_gab,
       date_diff('day', CAST(max(ts) AS DATE), DATE '2025-12-31') AS recence_gab_jours
     FROM events WHERE event_type = 'view' GROUP BY 1""")
@@ -133,7 +133,7 @@ def agg_rfm(spark, sf):
 
 def _channel_sql(kind: str, n: str, total: str) -> str:
     return f"""
-    SELECT user_id, count(*) AS {n}, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS {total}
+    SELECT user_id, count(*) AS {n}, sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE AS {total}
     FROM events WHERE event_type = '{kind}' GROUP BY 1"""
 
 

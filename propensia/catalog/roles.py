@@ -243,36 +243,36 @@ ROLE_SQL: dict[str, str] = {
               ORDER BY CAST(res_abon IS NULL AS INTEGER) DESC, val_abon DESC, strftime(res_abon, '%d/%m/%Y') NULLS FIRST) AS rn
             FROM digitaux) WHERE rn = 1""",
     "solde": """
-      SELECT radical, sum(cents)::DOUBLE / (count(*) * 100.0) AS solde_moyen, min(cents) / 100.0 AS solde_min,
-        max(cents) / 100.0 AS solde_max, count(*) AS nb_mois_observes_solde
-      FROM (SELECT CAST(o_custkey AS VARCHAR) AS radical, CAST(round((o_totalprice - 200000) * 100) AS BIGINT) AS cents FROM orders)
+      SELECT radical, sum(amount)::DOUBLE / count(*) AS solde_moyen, min(amount)::DOUBLE AS solde_min,
+        max(amount)::DOUBLE AS solde_max, count(*) AS nb_mois_observes_solde
+      FROM (SELECT CAST(o_custkey AS VARCHAR) AS radical, CAST(o_totalprice - 200000 AS DECIMAL(18, 2)) AS amount FROM orders)
       GROUP BY radical""",
     "depot": """
       SELECT CAST(o_custkey AS VARCHAR) AS radical,
-        sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS depot_moyen
+        sum(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE / count(*) AS depot_moyen
       FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
     "flux": """
-      SELECT CAST(o_custkey AS VARCHAR) AS radical, sum(cents)::DOUBLE / (count(*) * 100.0) AS flux_cred_moyen,
-        sum(cents)::DOUBLE / 100.0 AS flux_cred_total, count(*) FILTER (cents > 0) AS nb_mois_avec_flux
-      FROM (SELECT o_custkey, CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END AS cents
+      SELECT CAST(o_custkey AS VARCHAR) AS radical, sum(amount)::DOUBLE / count(*) AS flux_cred_moyen,
+        sum(amount)::DOUBLE AS flux_cred_total, count(*) FILTER (amount > 0) AS nb_mois_avec_flux
+      FROM (SELECT o_custkey, CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(18, 2)) END AS amount
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       GROUP BY 1""",
     "gab": """
-      SELECT CAST(user_id AS VARCHAR) AS radical, count(*) AS nb_operations_gab, sum(cents)::DOUBLE / 100.0 AS montant_total_gab,
-        sum(cents)::DOUBLE / (count(*) * 100.0) AS montant_moyen_gab, max(date_trunc('second', ts)) AS derniere_operation_gab,
+      SELECT CAST(user_id AS VARCHAR) AS radical, count(*) AS nb_operations_gab, sum(amount)::DOUBLE AS montant_total_gab,
+        sum(amount)::DOUBLE / count(*) AS montant_moyen_gab, max(date_trunc('second', ts)) AS derniere_operation_gab,
         date_diff('day', CAST(max(ts) AS DATE), DATE '2025-12-31') AS recence_gab_jours
-      FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'view') GROUP BY 1""",
+      FROM (SELECT *, CAST(value AS DECIMAL(18, 2)) AS amount FROM events WHERE event_type = 'view') GROUP BY 1""",
     "retrait": """
       SELECT CAST(user_id AS VARCHAR) AS radical, count(*) AS nb_retraits,
-        sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS montant_total_retraits
+        sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS montant_total_retraits
       FROM events WHERE event_type = 'error' GROUP BY 1""",
     "payfac": """
       SELECT CAST(user_id AS VARCHAR) AS radical, count(*) AS nb_paiements_digitaux,
-        sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS montant_total_payfac
+        sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS montant_total_payfac
       FROM events WHERE event_type = 'purchase' GROUP BY 1""",
     "vignette": """
       SELECT CAST(user_id AS VARCHAR) AS radical, count(*) AS nb_vignettes_payees,
-        sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS montant_total_vignette
+        sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS montant_total_vignette
       FROM events WHERE event_type = 'signup' GROUP BY 1""",
     "dataset": """
       SELECT base.*, CAST(floor(date_diff('day', birth, DATE '2025-12-31') / 365.25) AS BIGINT) AS age_client,

@@ -31,8 +31,8 @@ def _usage(spark, sf):
 
 
 _USAGE_SQL = """WITH usage AS (
-      SELECT user_id, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS total,
-        sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0) AS mean,
+      SELECT user_id, count(*) AS n, sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE AS total,
+        sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE / count(*) AS mean,
         date_diff('day', CAST(max(ts) AS DATE), DATE '2025-12-31') AS recency
       FROM events WHERE event_type = 'view' GROUP BY 1),
     u AS (SELECT * FROM customer LEFT JOIN usage ON c_custkey = user_id)"""
@@ -71,7 +71,7 @@ def filter_isin_products(spark, sf):
 
 @query("resolve_alt_column", """
     SELECT CAST(user_id AS VARCHAR) AS "RADICAL", count(*) AS n,
-      sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100.0 AS total FROM events WHERE event_type = 'signup' GROUP BY 1""")
+      sum(CAST(value AS DECIMAL(38, 9)))::DOUBLE AS total FROM events WHERE event_type = 'signup' GROUP BY 1""")
 def resolve_alt_column(spark, sf):
     raw = union_by_name(roles.vignette_files(spark, sf))
     named = rules.resolve_column(raw, ["TOTAL_TTC", "TOTAL_TTC/100"], "TOTAL_TTC")

@@ -13,8 +13,8 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def fr_decimal(c: ColumnOrName) -> Column:
-    """``'5126,34'`` -> ``5126.34``; text that is no number becomes NULL."""
-    return F.regexp_replace(_col(c), ",", ".").try_cast("double")
+    """``'5126,34'`` -> ``5126.34``; text that is no number (``NaN`` included) becomes NULL."""
+    return F.nullif(F.regexp_replace(_col(c), ",", ".").try_cast("double"), F.lit(float("nan")))
 
 
 def to_fr_text(c: ColumnOrName) -> Column:
@@ -27,16 +27,29 @@ def minor_units(c: ColumnOrName, scale: int = 2) -> Column:
     return F.round(_col(c) * float(10 ** scale)).try_cast("bigint")
 
 
-def exact_sum(c: ColumnOrName, scale: int = 2) -> Column:
-    """Sum of currency amounts through whole minor units.
+def _parts(c: ColumnOrName, scale: int) -> tuple[Column, Column]:
+    """An amount as whole units and the rest in 10**-scale, both whole numbers; NaN counts as NULL."""
+    amount = F.nullif(_col(c).cast("double"), F.lit(float("nan")))
+    units = F.floor(amount)
+    return units, F.round((amount - units) * float(10 ** scale)).cast("bigint")
+
+
+def _total(c: ColumnOrName, scale: int) -> Column:
+    units, rest = _parts(c, scale)
+    return (F.sum(units).cast("decimal(38,9)") + F.sum(rest).cast("decimal(38,9)") / F.lit(10 ** scale)).cast("double")
+
+
+def exact_sum(c: ColumnOrName, scale: int = 6) -> Column:
+    """Sum of amounts through whole numbers, exact to ``scale`` decimals of each amount.
 
     A double sum depends on the order in which partial sums arrive, so a retried
-    task could change a total; a long sum cannot, and stays in generated code.
+    task could change a total; sums of whole units and of the decimals cannot, and
+    stay in generated code. Amounts beyond bigint raise instead of vanishing.
     """
-    return F.sum(minor_units(c, scale)).cast("double") / float(10 ** scale)
+    return _total(c, scale)
 
 
-def exact_mean(c: ColumnOrName, scale: int = 2) -> Column:
+def exact_mean(c: ColumnOrName, scale: int = 6) -> Column:
     """Mean of the non-NULL amounts, with the same guarantee as ``exact_sum``."""
-    units = minor_units(c, scale)
-    return F.try_divide(F.sum(units).cast("double"), F.count(units) * float(10 ** scale))
+    units, _ = _parts(c, scale)
+    return F.try_divide(_total(c, scale), F.count(units).cast("double"))

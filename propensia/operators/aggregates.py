@@ -15,9 +15,14 @@ from propensia.functions.amounts import exact_mean, exact_sum
 from propensia.functions.dates import recency_days
 from propensia.operators.quantiles import exact_quantiles, long_values
 from propensia.operators.windows import null_safe_join
+from propensia.session import materialise
+
+FENCES_BROADCAST = 50_000
+"""Most (class, column) fences that are broadcast; seven numbers each."""
 
 
 # ---- per key -------------------------------------------------------------------
+# The output column names of the feature tables below.
 
 def balance_summary(df: DataFrame, key: str, amount: str) -> DataFrame:
     """Mean, minimum, maximum and number of observations per key."""
@@ -102,11 +107,16 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     })
 
 
+def _number(c: Column) -> Column:
+    """The value as a double; NaN is no value."""
+    return F.nullif(c.cast("double"), F.lit(float("nan")))
+
+
 def min_max_mean(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     return per_column(df, columns, {
-        "min": lambda c: F.min(c.cast("double")),
-        "max": lambda c: F.max(c.cast("double")),
-        "mean": lambda c: F.round(F.avg(c), digits),
+        "min": lambda c: F.min(_number(c)),
+        "max": lambda c: F.max(_number(c)),
+        "mean": lambda c: F.round(F.avg(_number(c)), digits),
     })
 
 
@@ -164,8 +174,10 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFr
 
 def crosstab_with_margins(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Long cross-table with row, column and grand totals (marked 'All')."""
-    cells = df.cube(rows, columns).agg(
-        F.count("*").alias("n"), F.grouping(rows).alias("row_total"), F.grouping(columns).alias("column_total")
+    # Counted cells are few; only they are multiplied by the totals.
+    counted = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
+    cells = counted.cube(rows, columns).agg(
+        F.sum("n").alias("n"), F.grouping(rows).alias("row_total"), F.grouping(columns).alias("column_total")
     )
     return cells.select(
         F.when(F.col("row_total") == 1, "All").otherwise(F.col(rows).cast("string")).alias(rows),
@@ -248,7 +260,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 40) -> DataFram
     """Equal-width bins from minimum to maximum per column (last bin closed)."""
     values = long_values(df, columns)
     edges = per_column(df, columns, {
-        "low": lambda c: F.min(c.cast("double")), "high": lambda c: F.max(c.cast("double")),
+        "low": lambda c: F.min(_number(c)), "high": lambda c: F.max(_number(c)),
     })
     # One row per column of the schema: the broadcast is bounded.
     placed = values.join(F.broadcast(edges), "column")
@@ -267,6 +279,11 @@ def boxplot_stats(
     values = long_values(df, columns, by)
     if not by:
         fenced = F.broadcast(fenced)  # one row per column of the schema
+    else:
+        # Few classes: their fences are broadcast after counting, and no value is shuffled on a handful of keys.
+        fenced = materialise(fenced, "fences")
+        if fenced.limit(FENCES_BROADCAST + 1).count() <= FENCES_BROADCAST:
+            fenced = F.broadcast(fenced)
     placed = null_safe_join(values, fenced, [*by, "column"])
     inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
     return placed.groupBy(*by, "column").agg(
@@ -295,7 +312,8 @@ def rate_spread(rates: DataFrame) -> DataFrame:
 # ---- top k ---------------------------------------------------------------------
 
 def top_categories(df: DataFrame, column: str, k: int = 20) -> DataFrame:
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    """The k most frequent values; NULL is no category and takes no place."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(column)).limit(k)
 
 

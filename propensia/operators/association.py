@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -33,24 +35,49 @@ def safe_corr(a: Column, b: Column) -> Column:
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], digits: int = 6, pairwise: bool = True
 ) -> DataFrame:
-    """(variable_1, variable_2, correlation) of the upper triangle, in one aggregate.
+    """(variable_1, variable_2, correlation) of the upper triangle.
 
     ``pairwise`` uses for each pair the rows where both are known; otherwise only
-    rows complete in all columns count. A constant column has no correlation (NULL).
+    rows complete in all columns count. NaN counts as unknown. A constant column has
+    no correlation (NULL).
+
+    Each task multiplies its rows, centred on the column means, with themselves and with
+    the pattern of known cells: five k x k sums hold everything that all pairs need, so the
+    cost per row is that of one matrix product and k may be in the hundreds.
     """
-    pairs = list(combinations(columns, 2))
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    columns = list(columns)
+    number = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
+    data = df.select(*[e.alias(c) for c, e in number.items()])
     if not pairwise:
         data = data.na.drop()
-    wide = data.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(
-            F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"),
-            F.round(F.col(f"r{i}"), digits).alias("correlation"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    k = len(columns)
+    means = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m if m is not None else 0.0 for m in means])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, k, k))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre
+                known = ~np.isnan(x)
+                x, m = np.where(known, x, 0.0), known.astype(float)
+                # Rows where both are known: their number, sums of x, of y, of x*y, of x*x.
+                total += np.stack([m.T @ m, x.T @ m, m.T @ x, x.T @ x, (x * x).T @ m])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    summed = data.mapInArrow(moments, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # 5 k*k numbers
+    n, sx, sy, sxy, sxx = np.array([r["v"] for r in sorted(summed, key=lambda r: r["at"])] or [0.0] * (5 * k * k)).reshape(5, k, k)
+    rows = []
+    for i, j in combinations(range(k), 2):
+        size = n[i, j]
+        r = None
+        if size:
+            vx, vy = sxx[i, j] / size - (sx[i, j] / size) ** 2, sxx[j, i] / size - (sy[i, j] / size) ** 2
+            # What remains of a constant after rounding is no spread.
+            if vx > 1e-14 * sxx[i, j] / size and vy > 1e-14 * sxx[j, i] / size:
+                r = round(float((sxy[i, j] / size - sx[i, j] * sy[i, j] / size**2) / np.sqrt(vx * vy)), digits)
+        rows.append((columns[i], columns[j], r))
+    return df.sparkSession.createDataFrame(rows, "variable_1 string, variable_2 string, correlation double")
 
 
 def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:

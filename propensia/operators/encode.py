@@ -38,7 +38,7 @@ def feature_columns(numeric: Sequence[str], low_cardinality: Sequence[str], high
 
 
 def assembler_stage(columns: Sequence[str], out: str = "features") -> VectorAssembler:
-    """Rows with a NULL feature are left out."""
+    """Rows with a NULL feature are left out of training; scoring gives them a row without a probability."""
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="skip")
 
 

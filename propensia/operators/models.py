@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from propensia.operators.encode import encoder, feature_names, tree_bins
 from propensia.operators.evaluate import best_threshold, weighted_metrics
-from propensia.operators.joins import join_small
 from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights
 from propensia.operators.resample import smotenc
 from propensia.session import materialise
@@ -109,7 +108,12 @@ def param_maps(classifier, grid: Mapping[str, Sequence]) -> list:
 # ---- fitting -------------------------------------------------------------------
 
 def with_class_weights(df: DataFrame, label: str, softened: bool = True) -> DataFrame:
-    return join_small(df, class_weights(df, label, softened), label)
+    """Weights as literals: one count per class reaches the driver, the rows are read once more at most."""
+    weights = {r[label]: r["poids_classe"] for r in class_weights(df, label, softened).collect()}
+    weight = F.lit(None).cast("double")
+    for value, w in weights.items():
+        weight = F.when(F.col(label) == F.lit(value), F.lit(w)).otherwise(weight)
+    return df.filter(F.col(label).isNotNull()).withColumn(WEIGHT, weight)
 
 
 def fit_model(train: DataFrame, spec: FeatureSpec, classifier, softened: bool = True) -> PipelineModel:
@@ -118,6 +122,14 @@ def fit_model(train: DataFrame, spec: FeatureSpec, classifier, softened: bool =
     return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted)
 
 
+def fit_all(train: DataFrame, spec: FeatureSpec, classifiers: Mapping[str, object], softened: bool = True) -> dict[str, PipelineModel]:
+    """Every classifier on the same encoded rows: encoders are learned once and the encoding is written once."""
+    weighted = with_class_weights(train, spec.label, softened)
+    shared = spec.encoder().fit(weighted)
+    encoded = materialise(shared.transform(weighted).select("label_idx", "features", WEIGHT), "encoded")
+    return {name: PipelineModel(stages=[*shared.stages, classifier.fit(encoded)]) for name, classifier in classifiers.items()}
+
+
 def fit_oversampled(train: DataFrame, spec: FeatureSpec, classifier, key: str, k: int = 5) -> PipelineModel:
     """Fit on the training rows plus synthetic minority rows, without class weights.
 
@@ -213,11 +225,20 @@ def evaluate_model(model: PipelineModel, valid: DataFrame) -> DataFrame:
     return weighted_metrics(scored, "label_idx", "prediction")
 
 
-def leaderboard(models: Mapping[str, PipelineModel], valid: DataFrame) -> DataFrame:
-    """Metrics of every model on the same validation rows, best class-1 F1 first."""
+def leaderboard(models: Mapping[str, PipelineModel], valid: DataFrame, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """Metrics of every model on the same validation rows, best class-1 F1 first.
+
+    With ``thresholds`` a model listed there is judged at its own decision threshold instead of 0.5.
+    """
     rows = None
     for name, model in models.items():
-        row = evaluate_model(model, valid).select(F.lit(name).alias("algo"), "*")
+        if thresholds and name in thresholds:
+            scored = class_one_probability(model.transform(valid)).select(
+                "label_idx", (F.col("probability_classe1") >= thresholds[name]).cast("double").alias("prediction"))
+            row = weighted_metrics(scored, "label_idx", "prediction")
+        else:
+            row = evaluate_model(model, valid)
+        row = row.select(F.lit(name).alias("algo"), "*")
         rows = row if rows is None else rows.unionByName(row)
     return rows.orderBy(F.desc("f1_classe1"), "algo")
 
@@ -265,19 +286,35 @@ def _without_label(model: PipelineModel) -> tuple[PipelineModel, list[str]]:
 
 
 def batch_score(df: DataFrame, model: PipelineModel, threshold: float, spec: FeatureSpec) -> DataFrame:
-    """(ids..., label_predit, probability_classe1) at the stored threshold."""
+    """(ids..., label_predit, probability_classe1) at the stored threshold.
+
+    Every row gets its row: one with a NULL or NaN feature has neither label nor probability.
+    """
     stages, labels = _without_label(model)
-    scored = class_one_probability(stages.transform(df))
-    picked = F.when(F.col("probability_classe1") >= threshold, labels[1]).otherwise(labels[0])
-    return scored.select(*spec.ids, picked.alias("label_predit"), "probability_classe1")
+    scored = class_one_probability(stages.transform(_scorable(df, spec)), "__p")
+    probability = F.when(F.col("__complete"), F.col("__p"))
+    picked = F.when(probability >= threshold, labels[1]).when(probability < threshold, labels[0])
+    return scored.select(*spec.ids, picked.alias("label_predit"), probability.alias("probability_classe1"))
+
+
+def _scorable(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Rows that the assembler accepts; ``__complete`` tells which really have all features."""
+    complete = F.lit(True)
+    for c in spec.numeric:
+        complete = complete & F.coalesce(~F.isnan(F.col(c).cast("double")), F.lit(False))
+    filled = {c: F.when(complete, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in spec.numeric}
+    return df.withColumn("__complete", complete).withColumns(filled)
 
 
 def batch_score_classes(df: DataFrame, model: PipelineModel, spec: FeatureSpec) -> DataFrame:
-    """(ids..., label_predit, probability) of a multiclass model: most probable class by name."""
+    """(ids..., label_predit, probability) of a multiclass model: most probable class by name.
+
+    Every row gets its row, as in ``batch_score``.
+    """
     stages, labels = _without_label(model)
     names = F.array(*[F.lit(x) for x in labels])
-    return stages.transform(df).select(
+    return stages.transform(_scorable(df, spec)).select(
         *spec.ids,
-        F.element_at(names, F.col("prediction").cast("int") + 1).alias("label_predit"),
-        vector_to_array(F.col("probability")).alias("probability"),
+        F.when(F.col("__complete"), F.element_at(names, F.col("prediction").cast("int") + 1)).alias("label_predit"),
+        F.when(F.col("__complete"), vector_to_array(F.col("probability"))).alias("probability"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from propensia.session import materialise
 
 BLOCK_ROWS = 512
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 ROUNDING = 1e-9
 
 
@@ -28,22 +28,44 @@ def _matrix(blob: bytes, width: int) -> np.ndarray:
     return np.frombuffer(blob, dtype="<f8").reshape(-1, width)
 
 
-def _closest(queries, query_ids, data, data_ids, k):
+def _squares(a: np.ndarray, b: np.ndarray, n_codes: int, code_gap: float) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``, by the fast expanded form.
+
+    The last ``n_codes`` coordinates are codes that are equal or not; a difference adds ``code_gap``.
+    """
+    x, y = (a[:, :-n_codes], b[:, :-n_codes]) if n_codes else (a, b)
+    out = (x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2.0 * x @ y.T
+    for j in range(1, n_codes + 1):
+        out += code_gap * (a[:, -j, None] != b[None, :, -j])
+    return out
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, n_codes: int, code_gap: float) -> np.ndarray:
+    """Distances row by row from coordinate differences."""
+    x, y = (a[:, :-n_codes], b[:, :-n_codes]) if n_codes else (a, b)
+    out = ((x - y) ** 2).sum(1)
+    if n_codes:
+        out = out + code_gap * (a[:, -n_codes:] != b[:, -n_codes:]).sum(1)
+    return np.sqrt(out)
+
+
+def _closest(queries, query_ids, data, data_ids, k, n_codes=0, code_gap=0.0):
     """Per query the k nearest other data rows: (query row, data id, distance).
 
     Ordered by (distance, id). The fast expanded distance only screens; the kept
     candidates are measured again from coordinate differences.
     """
-    squares = (queries ** 2).sum(1)[:, None] + (data ** 2).sum(1)[None, :]
-    rough = squares - 2.0 * queries @ data.T
+    rough = _squares(queries, data, n_codes, code_gap)
+    scale = 1.0 + (queries ** 2).sum(1)[:, None] + (data ** 2).sum(1)[None, :] if not n_codes else (
+        1.0 + (queries[:, :-n_codes] ** 2).sum(1)[:, None] + (data[:, :-n_codes] ** 2).sum(1)[None, :])
     rough[query_ids[:, None] == data_ids[None, :]] = np.inf
     if rough.shape[1] > k:
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
     else:
         limit = np.full((len(queries), 1), np.inf)
-    near = (rough <= limit + ROUNDING * (1.0 + squares)) & np.isfinite(rough)
+    near = (rough <= limit + ROUNDING * scale) & np.isfinite(rough)
     rows, cols = np.nonzero(near)
-    distance = np.sqrt(((queries[rows] - data[cols]) ** 2).sum(1))
+    distance = _gaps(queries[rows], data[cols], n_codes, code_gap)
     ids = data_ids[cols]
     order = np.lexsort((ids, distance, rows))
     rows, ids, distance = rows[order], ids[order], distance[order]
@@ -58,18 +80,44 @@ def _pivots(points: DataFrame, id_col: str, vec: str, n: int) -> np.ndarray:
 
 
 def nearest_neighbours(
-    points: DataFrame, id_col: str, vec: str, k: int = 1, block_rows: int = BLOCK_ROWS, pivots: int = MAX_PIVOTS
+    points: DataFrame, id_col: str, vec: str, k: int = 1, block_rows: int = BLOCK_ROWS, pivots: int = MAX_PIVOTS,
+    n_codes: int = 0, code_gap: float = 0.0,
 ) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest other points, ties by lower id.
 
     ``id_col`` is a unique bigint, ``vec`` an array of doubles of one width without
-    NULLs. Identical vectors are legal neighbours at distance 0; collapse large
-    groups of copies first (see ``resample``).
+    NULLs, its last ``n_codes`` coordinates being codes that only count as equal or
+    different (``code_gap`` is the squared distance of a difference). Identical vectors
+    are one position in the search, however many there are.
     """
+    rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    rows = materialise(rows, "points")
+    # The k + 1 lowest ids of a position stand for all of its points.
+    lowest = Window.partitionBy("vec").orderBy("id")
+    few = rows.withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= k + 1)
+    spots = materialise(few.groupBy("vec").agg(F.min("id").alias("spot"), F.sort_array(F.collect_list("id")).alias("low")), "spots")
+    near = _between_positions(spots.select(F.col("spot").alias("id"), "vec"), k, block_rows, pivots, n_codes, code_gap)
+    ids = spots.select(F.col("spot").alias("neighbour"), "low")
+    others = near.join(ids, "neighbour").select(F.col("id").alias("spot"), F.explode(F.transform("low", _at("distance"))).alias("c"))
+    best = Window.partitionBy("spot").orderBy("c")
+    others = others.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).groupBy("spot").agg(F.collect_list("c").alias("others"))
+    # One list per position: its own lowest ids at distance 0, then the best ones elsewhere.
+    listed = spots.join(others, "spot", "left").select(
+        "vec", F.concat(F.transform("low", _at(0.0)), F.coalesce("others", F.array().cast("array<struct<distance:double,neighbour:bigint>>"))).alias("list"))
+    own = rows.join(listed, "vec").select("id", F.col("list").alias("all"))
+    picked = own.select("id", F.slice(F.array_sort(F.filter("all", lambda c: c["neighbour"] != F.col("id"))), 1, k).alias("best"))
+    return picked.select("id", F.posexplode("best").alias("rank", "c")).select("id", "c.neighbour", "c.distance", (F.col("rank") + 1).alias("rank"))
+
+
+def _at(distance):
+    """An id as (distance, id)."""
+    d = F.col(distance) if isinstance(distance, str) else F.lit(distance)
+    return lambda i: F.struct(d.alias("distance"), i.alias("neighbour"))
+
+
+def _between_positions(points: DataFrame, k: int, block_rows: int, pivots: int, n_codes: int, code_gap: float) -> DataFrame:
+    """(id, neighbour, distance, rank) among distinct vectors (id, vec)."""
     spark = points.sparkSession
-    points = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    # Read several times below (count, pivots, cells, blocks): written once instead.
-    points = materialise(points, "points")
     # About one block per cell until the pivots run out; more cells than blocks only add pairs.
     centres = _pivots(points, "id", "vec", max(1, min(pivots, points.count() // block_rows)))
     if not len(centres):
@@ -81,9 +129,8 @@ def nearest_neighbours(
             if not len(pdf):
                 continue
             x = np.stack(pdf["vec"].to_numpy()).astype("float64")
-            d2 = (x ** 2).sum(1)[:, None] + (centres ** 2).sum(1)[None, :] - 2.0 * x @ centres.T
-            cell = d2.argmin(1)
-            reach = np.sqrt(((x - centres[cell]) ** 2).sum(1))
+            cell = _squares(x, centres, n_codes, code_gap).argmin(1)
+            reach = _gaps(x, centres[cell], n_codes, code_gap)
             yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype("int32"), "reach": reach,
                                 "blob": [row.tobytes() for row in x]})
 
@@ -115,14 +162,14 @@ def nearest_neighbours(
             for cell, block, ids, blobs in pdf.itertuples(index=False):
                 ids = np.asarray(ids, dtype="int64")
                 x = stack(blobs)
-                rows, _, distance = _closest(x, ids, x, ids, k)
+                rows, _, distance = _closest(x, ids, x, ids, k, n_codes, code_gap)
                 found = np.bincount(rows, minlength=len(ids))
                 bound = np.full(len(ids), np.inf)
                 full = found >= k
                 worst = np.zeros(len(ids))
                 np.maximum.at(worst, rows, distance)
                 bound[full] = worst[full]
-                to_centre = np.stack([np.sqrt(((x - centres[c]) ** 2).sum(1)) for c in known], axis=1)
+                to_centre = np.stack([_gaps(x, np.broadcast_to(centres[c], x.shape), n_codes, code_gap) for c in known], axis=1)
                 gap = np.maximum(to_centre - outer[None, :], inner[None, :] - to_centre)
                 visit = gap <= bound[:, None] + ROUNDING * (1.0 + to_centre)
                 target = np.nonzero(visit.any(0))[0]
@@ -141,7 +188,7 @@ def nearest_neighbours(
         for pdf in batches:
             for q_ids, q_blob, ids, blobs in pdf.itertuples(index=False):
                 q_ids, ids = np.asarray(q_ids, dtype="int64"), np.asarray(ids, dtype="int64")
-                rows, near, distance = _closest(_matrix(q_blob, width), q_ids, stack(blobs), ids, k)
+                rows, near, distance = _closest(_matrix(q_blob, width), q_ids, stack(blobs), ids, k, n_codes, code_gap)
                 yield pd.DataFrame({"id": q_ids[rows], "neighbour": near, "distance": distance})
 
     found = pairs.mapInPandas(search, "id bigint, neighbour bigint, distance double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -114,47 +115,59 @@ def smotenc(
     k: int = 5,
     seed: int = 42,
 ) -> DataFrame:
-    """Synthetic minority rows until both classes have the same size.
+    """Synthetic rows until every class has the size of the largest.
 
-    A new row lies between a minority row and one of its k minority neighbours; its
-    categories are the most frequent ones among all k. Categories take part in the
-    distance: differing ones add the squared median deviation of the numeric columns.
+    A new row lies between a row and one of its k neighbours of the same class; its
+    categories are the most frequent ones among all k. A class of one row is copied.
+    Categories take part in the distance: each differing one adds half the squared median
+    deviation of the numeric columns, whatever the number of categories.
     Returns (label, numeric..., categorical...) of the new rows only.
     """
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    minority = min(counts, key=lambda c: (counts[c], c))
-    rows = df.filter(F.col(label) == F.lit(minority)).na.drop(subset=[*numeric, *categorical])
+    counts = {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    largest = max(counts.values(), default=0)
+    parts = [
+        _synthetic(df, id_col, label, value, largest - counts[value], list(numeric), list(categorical), k, seed)
+        for value in sorted(counts) if counts[value] < largest
+    ]
+    if not parts:
+        return df.select(label, *[F.col(c).cast("double").alias(c) for c in numeric], *categorical).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _synthetic(
+    df: DataFrame, id_col: str, label: str, value, wanted: int, numeric: list[str], categorical: list[str], k: int, seed: int
+) -> DataFrame:
+    """``wanted`` new rows of one class."""
+    rows = df.filter(F.col(label) == F.lit(value)).na.drop(subset=[*numeric, *categorical])
     rows = materialise(rows.select(F.col(id_col).cast("bigint").alias("id"), *numeric, *categorical), "minority")
+    n_min = rows.count()
+    if not n_min:
+        raise ValueError(f"class {value!r} has no row without NULL to start from")
     deviations = rows.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in numeric]).first()
     spread = sorted(float(deviations[c] or 0.0) for c in numeric)
     middle = len(spread) // 2
     median = spread[middle] if len(spread) % 2 else (spread[middle - 1] + spread[middle]) / 2
-    # Half the median per indicator: two differing categories add median^2 / 2 each way.
-    parts = [F.col(c).cast("double") for c in numeric]
-    for c in categorical:
-        values = [r[0] for r in rows.select(c).distinct().orderBy(c).limit(10_001).collect()]
-        if len(values) > 10_000:
-            raise ValueError(f"{c} has too many categories for distance indicators")
-        parts += [F.when(F.col(c) == F.lit(v), F.lit(median / 2)).otherwise(0.0) for v in values]
-    near = nearest_neighbours(rows.select("id", F.array(*parts).alias("vec")), "id", "vec", k=k)
+    # A category is one more coordinate that is only equal or not: differing ones add median^2 / 2.
+    codes = [F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 52)).cast("double") for c in categorical]
+    vector = F.array(*[F.col(c).cast("double") for c in numeric], *codes)
+    near = nearest_neighbours(rows.select("id", vector.alias("vec")), "id", "vec", k=k, n_codes=len(codes), code_gap=median**2 / 2)
 
-    n_min = rows.count()
-    wanted = max(counts.values()) - counts[minority]
     numbered = row_numbers(rows.select("id"), "id")
     share = F.floor(F.lit(wanted) / F.lit(n_min)) + (F.col("row_index") < wanted % n_min).cast("int")
     slots = numbered.withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(1)).cast("int")))).filter(
         F.col("slot") <= share
     ).select("id", "slot")
 
-    # One row per minority row: its neighbours' values, at most k entries.
+    # One row per minority row: its neighbours' values, at most k entries; a row without any is its own.
     around = near.join(rows.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *numeric, *categorical))).alias("around")
     )
+    itself = F.array(F.struct(F.lit(1).alias("rank"), *[F.col(c) for c in (*numeric, *categorical)]))
 
     def unit(salt: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed + salt), "id", "slot"), F.lit(1_000_003)) / 1_000_003.0
 
-    base = slots.join(rows.select("id", *numeric), "id").join(around, "id")
+    base = slots.join(rows, "id").join(around, "id", "left").withColumn("around", F.coalesce("around", itself))
     chosen = F.element_at("around", (F.floor(unit(1) * F.size("around")) + 1).cast("int"))
     gap = unit(2)
     synthetic = base.withColumns({"__other": chosen, "__gap": gap})
@@ -163,4 +176,4 @@ def smotenc(
         for c in numeric
     ]
     modes = [_most_frequent(F.transform("around", _field(c))).alias(c) for c in categorical]
-    return synthetic.select(F.lit(minority).alias(label), *moved, *modes)
+    return synthetic.select(F.lit(value).alias(label), *moved, *modes)

@@ -33,11 +33,16 @@ def quoted(name: str) -> Column:
 
 
 def resolve_column(df: DataFrame, candidates: Sequence[str], alias: str) -> DataFrame:
-    """Rename the first existing of several alternative column names to ``alias``."""
+    """One column ``alias`` from all alternative names that exist, earlier ones first.
+
+    Files of one table may name a column differently; their union holds both, each NULL
+    for the other file's rows.
+    """
     found = present(df, candidates)
     if not found:
         raise ValueError(f"none of {list(candidates)} among {df.columns}")
-    return df.withColumnRenamed(found[0], alias)
+    united = F.coalesce(*[quoted(c) for c in found])
+    return df.withColumn("__united", united).drop(*found).withColumnRenamed("__united", alias)
 
 
 def drop_present(df: DataFrame, columns: Iterable[str]) -> DataFrame:

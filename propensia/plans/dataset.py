@@ -21,6 +21,7 @@ from propensia.operators.quality import require_row_conservation, require_unique
 from propensia.operators.rules import fill_zero, presence_label, resolve_column
 from propensia.operators.sets import union_by_name
 from propensia.operators.windows import active_first_per_key, first_per_key, latest_per_key
+from propensia.session import materialise
 from propensia.sources.delimited import read_delimited
 
 KEY = "RADICAL"
@@ -139,10 +140,14 @@ def build_dataset(
     base = client_base(raw["perimetre"], reference)
     features = feature_tables(raw, reference, codes)
     if check:
+        # Gates look at written tables, so nothing is computed once for the gate and once for the result.
+        base = materialise(base, "base")
+        features = {name: materialise(df, name) for name, df in features.items()}
         require_unique_keys(features, KEY)
     joined = left_join_chain(base, list(features.values()), KEY)
     result = presence_label(fill_zero(joined, ZERO_WHEN_ABSENT), "label_nom", LABEL)
     if check:
+        result = materialise(result, "dataset")
         require_row_conservation(base, result)
     return result
 

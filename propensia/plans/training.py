@@ -16,7 +16,7 @@ def train_select_save(
     df: DataFrame, spec: models.FeatureSpec, key: str, path: str, params: Mapping[str, Mapping] = models.FROZEN
 ) -> DataFrame:
     """Fit every algorithm in ``params`` on four fifths of the rows, rank them on the
-    rest by class-1 F1, refit the best on all rows and save it with its threshold.
+    rest by class-1 F1 at their tuned thresholds, refit the best on all rows and save it with its threshold.
 
     The threshold is learned on the validation rows, before the refit. Returns the
     ranking.
@@ -24,12 +24,12 @@ def train_select_save(
     rows = materialise(hash_split(df, key), "labelled")
     fit, valid = rows.filter("split = 'fit'").drop("split"), rows.filter("split = 'val'").drop("split")
     bins = tree_bins(rows, spec.high_cardinality)
-    fitted = {
-        name: models.fit_model(fit, spec, models.ALGORITHMS[name](bins, **chosen)) for name, chosen in params.items()
-    }
-    board = models.leaderboard(fitted, valid)
+    fitted = models.fit_all(fit, spec, {name: models.ALGORITHMS[name](bins, **chosen) for name, chosen in params.items()})
+    # Each model is judged at the threshold it would be used with.
+    thresholds = {name: models.learn_threshold(model, valid) for name, model in fitted.items()}
+    board = models.leaderboard(fitted, valid, thresholds)
     best = models.winner(board)
-    threshold = models.learn_threshold(fitted[best], valid)
+    threshold = thresholds[best]
     final = models.refit_on_everything(rows.drop("split"), spec, best, **params[best])
     models.save_model(final, threshold, path, name=best)
     return board

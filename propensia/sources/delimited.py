@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,28 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _read_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files behind a path, folder, glob or list of them; names only."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return sorted(r[0] for r in listed.collect())  # one name per file
+
+
+def headers(spark: SparkSession, files: Sequence[str], encoding: str = ENCODING, threads: int = 8) -> dict[str, str]:
+    """First line of each file, decoded; a read stops after that line."""
+    def first_line(path: str) -> str:
+        reader = spark.read.option("header", "true").option("encoding", encoding).option("sep", "\u0001").option("quote", "")
+        columns = reader.csv(_literal(path)).columns
+        return columns[0] if columns else ""
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(files, pool.map(first_line, files), strict=True))
+
+
+def _literal(path: str) -> str:
+    """A path that is not taken for a glob."""
+    return "".join(f"\\{c}" if c in "*?[]{}" else c for c in path)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -27,15 +52,24 @@ def read_delimited(
     sep: str = SEPARATOR,
     encoding: str = ENCODING,
 ) -> DataFrame:
-    """Headered raw file(s), every column a string.
+    """Headered raw file(s), every column a string, bound by the names in each file's header.
 
-    With ``columns`` no file is touched before the first action; without, Spark
-    reads the header line only.
+    Files with equal headers are read together; different ones are united by name, a column
+    that a file lacks being NULL there. ``columns`` picks and orders columns; one that no file
+    has is NULL throughout.
     """
-    reader = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding)
-    if columns is not None:
-        reader = reader.schema(string_schema(columns))
-    return reader.csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in headers(spark, _read_files(spark, path), encoding).items():
+        names = tuple(c.strip().strip('"') for c in line.split(sep)) if line else ()
+        groups.setdefault(names, []).append(file)
+    reader = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding).option("enforceSchema", "false")
+    parts = [reader.schema(string_schema(names)).csv([_literal(f) for f in files]) for names, files in groups.items() if names]
+    if not parts:
+        return spark.createDataFrame([], string_schema(columns or []))
+    if columns is None:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    picked = [p.select(*[F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string").alias(c) for c in columns]) for p in parts]
+    return reduce(DataFrame.unionAll, picked)
 
 
 def read_typed_csv(
@@ -44,16 +78,19 @@ def read_typed_csv(
     schema: T.StructType | None = None,
     code_columns: Sequence[str] = (),
     sep: str = ",",
+    sampling_ratio: float = 1.0,
 ) -> DataFrame:
     """Typed CSV; ``code_columns`` are identifiers and end up as strings.
 
-    Without a schema the types are inferred from a tenth of the rows.
+    Without a schema the types are inferred from all rows; a smaller ``sampling_ratio`` is
+    cheaper, but a value that its rows did not show becomes NULL. A given schema must name the
+    columns as the header does.
     """
     reader = spark.read.option("header", "true").option("sep", sep)
     if schema is None:
-        reader = reader.option("inferSchema", "true").option("samplingRatio", "0.1")
+        reader = reader.option("inferSchema", "true").option("samplingRatio", str(sampling_ratio))
     else:
-        reader = reader.schema(schema)
+        reader = reader.schema(schema).option("enforceSchema", "false")
     df = reader.csv(path)
     present = {c: F.col(c).cast("string") for c in code_columns if c in df.columns}
     return df.withColumns(present) if present else df
@@ -77,7 +114,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def file_inventory(
-    spark: SparkSession, folder: str, pattern: str = "*", preview: int = 3, sep: str = SEPARATOR
+    spark: SparkSession, folder: str, pattern: str = "*", preview: int = 3, sep: str = SEPARATOR, encoding: str = ENCODING
 ) -> DataFrame:
     """Per file: column names, data-row count and the first ``preview`` data lines.
 
@@ -89,7 +126,8 @@ def file_inventory(
         .option("wholetext", "false")
         .text(folder)
         .select(
-            "value",
+            # Lines arrive as the file's bytes, whatever they mean.
+            F.decode(F.col("value").cast("binary"), encoding).alias("value"),
             F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("position"),
@@ -123,20 +161,11 @@ def _first_lines(lines: DataFrame, preview: int) -> DataFrame:
     )
 
 
-def header_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, header) from the first line of every file."""
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(folder)
-        .select(
-            "value",
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("position"),
-        )
-        .filter(F.col("block") == 0)
-    )
-    return lines.groupBy("file").agg(F.min_by("value", "position").alias("header"))
+def header_lines(spark: SparkSession, folder: str, pattern: str = "*", encoding: str = ENCODING) -> DataFrame:
+    """(file, header) from the first line of every file; nothing behind it is read."""
+    files = [r[0] for r in list_files(spark, folder, pattern).filter("length > 0").select("path").collect()]  # one name per file
+    rows = [(unquote(f.rsplit("/", 1)[-1]), line) for f, line in headers(spark, files, encoding).items()]
+    return spark.createDataFrame(rows, "file string, header string")
 
 
 def search_columns(

@@ -22,11 +22,13 @@ def ingest_landed_files(
     """Append every file not seen before to a Parquet table, then stop.
 
     The checkpoint remembers which files were taken, so a restart or a later run
-    processes each landed file exactly once.
+    processes each landed file exactly once. A file whose header is not ``columns`` in
+    this order stops the run instead of putting values under wrong names.
     """
     reader = (
         spark.readStream.schema(string_schema(columns))
         .option("header", "true").option("sep", sep).option("encoding", encoding)
+        .option("enforceSchema", "false")
     )
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_batch))

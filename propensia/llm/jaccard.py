@@ -30,8 +30,11 @@ from propensia.llm.common import WordHashes, as_signed, chunks, doc_columns, low
 from propensia.llm.graph import components
 from propensia.session import materialise
 
-TILE = 1024
-"""Most documents of a block that one task compares with each other."""
+TILE, TILE_SHINGLES = 1024, 1_500_000
+"""Most documents of a block, and most shingles, that one task compares with each other."""
+
+BROADCAST_ROWS = 400_000
+"""Most ids (with four numbers each) that are broadcast to pick documents; counted before."""
 
 FANOUT = 16
 SMALL = 24
@@ -135,7 +138,7 @@ def _emit_keys(shingle: int, t: Threshold, shards: int):
                     nodes.append(node)
                     keys.append(own)
                     held += len(own)
-            if held > 1_500_000:
+            if held > 1_000_000:
                 yield _sharded(nodes, keys, shards)
                 nodes, keys, seen, held = [], [], set(), 0
         if held:
@@ -327,64 +330,71 @@ def _describe(shingle: int):
     return run
 
 
-def _sets(shingle: int):
+def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Rows of ``wanted`` (with a doc_id) with the shingle set of their document, made again from its text.
+
+    The wanted ids are broadcast only up to BROADCAST_ROWS of them, counted; beyond, both sides are shuffled.
+    """
+    names = [c for c in wanted.columns if c != "doc_id"]
+    small = wanted.count() <= BROADCAST_ROWS
+    joined = source.join(F.broadcast(wanted) if small else wanted, "doc_id").select(*names, "text")
+
     def run(batches):
         hashes = WordHashes()
-        for _, texts in chunks(batches):
-            sets = [shingle_set(x, shingle, hashes) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+        for batch in batches:
+            at, keys = 0, batch.select(names)
+            for _, texts in chunks([pa.RecordBatch.from_arrays([batch.column(0), batch.column("text")], ["k", "t"])]):
+                sets = [shingle_set(x, shingle, hashes).tobytes() for x in texts]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sets)) for c in keys.columns), pa.array(sets, pa.binary())], [*names, "shingles"])
+                at += len(sets)
 
-    return run
+    return joined.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in wanted.dtypes if c != "doc_id"), "shingles binary"]))
 
 
 def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Threshold) -> DataFrame:
     """(node, component) of every node that has a link to another one."""
     spark = source.sparkSession
+    if t[0] == t[1]:  # only equal sets are linked, and those are one node
+        return spark.createDataFrame([], "node bigint, component bigint")
     total = described.agg(F.sum("n")).first()[0] or 0
     rows = total * 3.0 * (t[1] - t[0]) / (t[1] + t[0])
     shards = partitions_for(spark, rows, 1_000_000)
     keys = source.mapInArrow(_emit_keys(shingle, t, shards), _KEY_SCHEMA).repartition(shards, "shard").sortWithinPartitions("shard")
     candidates = materialise(keys.mapInArrow(_candidate_edges, "a bigint, b bigint").distinct(), "jaccard-candidates")
-    blocks = materialise(components(candidates, "jaccard-blocks").withColumnRenamed("component", "block"), "jaccard-blocks")
-
-    # One document stands for each node; its shingle set is made again from its text.
-    chosen = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(blocks, "node", "left_semi").select("doc_id")
-    sets = source.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, shingles binary")
-    members = materialise(sets.dropDuplicates(["node"]).join(blocks, "node"), "jaccard-members")
-
-    # Tiles of a block: runs of similar size, cut further by hash so that none outgrows TILE.
-    size_run = F.floor(F.log2(F.length("shingles")) * 4).cast("int")
-    sized = members.withColumn("run", size_run)
-    counts = sized.groupBy("block").agg(F.count("*").alias("in_block")).join(sized.groupBy("block", "run").agg(F.count("*").alias("in_run")), "block")
-    small = F.col("in_block") <= TILE
-    counts = counts.select("block", "run", F.col("in_block"), F.when(small, 1).otherwise(F.ceil(F.col("in_run") / (TILE * 0.8))).cast("int").alias("cuts"))
-    tiled = sized.join(counts, ["block", "run"])
-    tile = F.when(F.col("in_block") <= TILE, F.lit(0)).otherwise(F.col("run") * 65536 + F.pmod(F.xxhash64("node"), F.col("cuts"))).cast("bigint")
-    tiled = materialise(tiled.select("block", tile.alias("tile"), "node", "shingles", "in_block"), "jaccard-tiles")
-
-    large = tiled.filter(F.col("in_block") > TILE)
-    hubs = large.groupBy("block").agg(F.min("node").alias("node"))
-    hub_rows = large.join(hubs, ["block", "node"]).select("block", "node", "shingles")
-    extra = large.select("block", "tile").distinct().join(hub_rows, "block").select("block", "tile", "node", "shingles")
-    inside = tiled.select("block", "tile", "node", "shingles").unionAll(extra)
-    parts = partitions_for(spark, inside.count(), 20_000)
-    inside = inside.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile")
+    blocks = components(candidates, "jaccard-blocks").withColumnRenamed("component", "block")
+
+    # One document stands for each node. Tiles of a block: runs of similar size, cut further by hash so that
+    # none outgrows TILE documents or TILE_SHINGLES shingles. All of this moves ids and sizes only.
+    nodes = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    light = materialise(nodes.join(blocks, "node").withColumn("run", F.floor(F.log2("n") * 4).cast("int")), "jaccard-members")
+    whole = light.groupBy("block").agg(((F.count("*") > TILE) | (F.sum("n") > TILE_SHINGLES)).alias("large"))
+    cuts = F.ceil(F.greatest(F.count("*") / (TILE * 0.8), F.sum("n") / (TILE_SHINGLES * 0.8))).cast("int")
+    runs = light.groupBy("block", "run").agg(cuts.alias("cuts")).join(whole, "block").filter("large").drop("large")
+    tile = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.col("run") * 65536 + 1 + F.pmod(F.xxhash64("node"), F.col("cuts"))).cast("bigint")
+    tiled = materialise(light.join(runs, ["block", "run"], "left").select("doc_id", "block", tile.alias("tile"), "node", "n"), "jaccard-tiles")
+
+    large = tiled.filter("tile > 0")
+    hubs = large.groupBy("block").agg(F.min_by("doc_id", "node").alias("doc_id"), F.min("node").alias("node"))
+    extra = large.select("block", "tile").distinct().join(hubs, "block")
+    inside = tiled.select("doc_id", "block", "tile", "node").unionByName(extra)
+    parts = partitions_for(spark, total, 20_000_000)
+    inside = _with_sets(source, inside, shingle).repartition(parts, "block", "tile").sortWithinPartitions("block", "tile")
     found = materialise(inside.mapInArrow(_tile_links(t), "a bigint, b bigint"), "jaccard-links")
 
     if large.limit(1).count():
-        found = found.unionAll(_across(large, found, t))
+        found = found.unionAll(_across(source, large, found, shingle, t))
     return components(found, "jaccard-classes")
 
 
-def _across(large: DataFrame, found: DataFrame, t: Threshold) -> DataFrame:
+def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int, t: Threshold) -> DataFrame:
     """Links between tiles of the blocks that have several, where the classes found so far differ."""
     spark = large.sparkSession
     classes = components(found, "jaccard-tile-classes")
     named = large.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    per_label = named.groupBy("block", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    per_label = named.groupBy("block", "label").agg(F.count("*").alias("n_label"))
+    main = per_label.groupBy("block").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"))
     named = materialise(named.join(main, "block").withColumn("astray", F.col("label") != F.col("main")), "jaccard-named")
-    tiles = named.groupBy("block", "tile").agg(F.min(F.length("shingles")).alias("low"), F.max(F.length("shingles")).alias("high"), F.max("astray").alias("astray"))
+    tiles = named.groupBy("block", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("astray").alias("astray"))
     other = tiles.select("block", *(F.col(c).alias(f"{c}2") for c in ("tile", "low", "high", "astray")))
     p, q = t
     pairs = tiles.join(other, "block").filter("tile < tile2 and (astray or astray2)").filter((q * F.col("high") >= p * F.col("low2")) & (q * F.col("high2") >= p * F.col("low")))
@@ -392,9 +402,9 @@ def _across(large: DataFrame, found: DataFrame, t: Threshold) -> DataFrame:
     # A document of the main class is needed only where the other tile has one astray.
     left = named.join(pairs.select("block", "tile", "pair", F.col("astray2").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(0))
     right = named.join(pairs.select("block", F.col("tile2").alias("tile"), "pair", F.col("astray").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(1))
-    sides = left.unionByName(right).filter("needed or astray").select("pair", "side", "label", "node", "shingles")
+    sides = materialise(left.unionByName(right).filter("needed or astray").select("doc_id", "pair", "side", "label", "node"), "jaccard-sides")
     parts = partitions_for(spark, pairs.count(), 8)
-    return sides.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_cross_links(t), "a bigint, b bigint")
+    return _with_sets(source, sides, shingle).repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_cross_links(t), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: Threshold = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -420,5 +430,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: Threshold =
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class (the smallest id), all columns kept; rows without an id or text stay."""
     classes = near_duplicates(docs, key=key, text=text, **options)
-    gone = classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialise(classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[key].cast("bigint") == gone["__gone"], "left_anti")

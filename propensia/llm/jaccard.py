@@ -37,8 +37,6 @@ BROADCAST_ROWS = 400_000
 """Most ids (with four numbers each) that are broadcast to pick documents; counted before."""
 
 FANOUT = 16
-SMALL = 24
-"""Sets up to this size are keyed by single shingles: cutting them by hash leaves too many empty parts."""
 
 Threshold = tuple[int, int]
 
@@ -98,25 +96,23 @@ class KeyPlan:
         """64-bit keys; two linked sets share at least one.
 
         As smaller set of a pair a document also takes part in the next class. Parts that are empty in both
-        sets prove nothing: when so many are empty that the argument fails, or for small sets, single
-        shingles of the prefix under hash order are the keys instead; both ends of a link that needs them
-        have them, because a set with enough filled parts vouches for the pair alone.
+        sets prove nothing. A set with more filled parts than can differ vouches for all its pairs alone; one
+        without adds the single shingles of its prefix under hash order, so that two such sets meet there.
         """
         n = len(s)
         c, out = _classes(n, self.t), []
         for k in (c, c + 1):
             parts, differ = self.parts(k)
             tag = np.uint64(mix(np.array([k + 1], np.uint64))[0])
-            if n > SMALL:
-                part = (s >> np.uint64(20)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                own = part[order]
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                # s is sorted and the sort is stable, so the running combination sees equal parts alike.
-                with np.errstate(over="ignore"):
-                    out.append(mix(np.add.reduceat(mix(s[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag)
-                if parts - differ - (parts - len(first)) >= 1:
-                    continue
+            part = (s >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            own = part[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            with np.errstate(over="ignore"):
+                out.append(mix(np.add.reduceat(mix(s[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag)
+            # Equal parts are at least parts - differ; empty ones among them at most parts - filled.
+            if len(first) - differ >= 1:
+                continue
             prefix = n - -(-self.t[0] * n // self.t[1]) + 1
             out.append(mix(np.sort(mix(s))[:prefix] ^ np.uint64(0x5851F42D4C957F2D)) ^ tag)
         return np.concatenate(out)

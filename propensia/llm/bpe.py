@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import cache
 
 import pyarrow as pa
@@ -133,7 +134,6 @@ class WordBpe:
             pair = (self.vocab[a], self.vocab[b])
             ranks.setdefault(pair, (rank, self.vocab[a + b]))
         self.index = PairIndex(ranks)
-        self.known: dict[str, tuple[bytes, int]] = {}
 
     def normal(self, text: str) -> str:
         for step in self.steps:
@@ -165,24 +165,24 @@ class WordBpe:
         chars[-1] += self.suffix
         return [self.vocab[c] for c in chars]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not yet known, all together."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = [p for p in pieces if p not in self.known]
-        special = [p for p in fresh if p in self.special]
+    def learn(self, pieces: set[str], known: dict[str, bytes]) -> None:
+        """Encode the pieces not yet known, all together; ``known`` starts afresh when it has grown too large."""
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = [p for p in pieces if p not in known]
+        for p in fresh:
+            if p in self.special:
+                known[p] = self.special[p].to_bytes(4, "little")
         fresh = [p for p in fresh if p not in self.special]
-        for p in special:
-            self.known[p] = (self.special[p].to_bytes(4, "little"), 1)
         for p, ids in zip(fresh, self.index.merge([self._symbols(p) for p in fresh]), strict=True):
-            self.known[p] = (b"".join(i.to_bytes(4, "little") for i in ids), len(ids))
+            known[p] = array("I", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; ``known`` remembers pieces between calls."""
+        known = {} if known is None else known
         cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut))
-        known = self.known
-        return [b"".join([known[p][0] for p in pieces]) for pieces in cut]
+        self.learn(set().union(*cut), known)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, packed: bytes) -> str:
         """Tokens of the ids joined by single spaces, as a vocabulary without a decoder is read back."""
@@ -198,9 +198,9 @@ def tokenizer(path: str) -> WordBpe:
 
 def _encode(path: str):
     def run(batches):
-        bpe = tokenizer(path)
+        bpe, known = tokenizer(path), {}
         for keys, texts in chunks(batches):
-            packed = bpe.encode([t.decode() for t in texts])
+            packed = bpe.encode([t.decode() for t in texts], known)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -229,9 +229,9 @@ def decode(encoded: DataFrame, path: str, *, key: str = "doc_id", ids: str = "id
 
 def _digest(path: str, with_ids: bool):
     def run(batches):
-        bpe = tokenizer(path)
+        bpe, known = tokenizer(path), {}
         for keys, texts in chunks(batches):
-            packed = bpe.encode([t.decode() for t in texts])
+            packed = bpe.encode([t.decode() for t in texts], known)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                  pa.array([hashlib.sha256(bpe.decode(p).encode()).hexdigest() for p in packed], pa.string()), *([pa.array(packed, pa.binary())] if with_ids else [])],

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 """Text bytes that a task works on at a time; bounds the arrays derived from them."""
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 """Distinct words whose derived values a task keeps; the cache starts afresh beyond it."""
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

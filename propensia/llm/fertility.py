@@ -53,13 +53,19 @@ BANDS = {
 _SCRIPTS = {"LATIN": "latin", "CYRILLIC": "cyrillic", "GREEK": "greek", "CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "HANGUL": "hangul", "ARABIC": "arabic", "HEBREW": "hebrew", "DEVANAGARI": "devanagari"}
 
 
+@cache
+def _model(path: str):
+    """One vocabulary per worker process, whatever the number of its tasks."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 class Pieces(dict):
     """Token ids of a word as packed 16-bit numbers, remembered per task."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = _model(path)
         self.size = self.model.get_piece_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
@@ -74,12 +80,6 @@ class Pieces(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), self.kind)
 
 
-@cache
-def _pieces(path: str) -> Pieces:
-    """One vocabulary per worker process, whatever the number of its tasks."""
-    return Pieces(path)
-
-
 def dominant_script(text: bytes) -> str:
     """Script of most letters; ``other`` without a letter. Letters below 0x80 are Latin."""
     ascii_letters = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
@@ -161,7 +161,7 @@ def judged(pieces: Pieces, hashes: WordHashes, bands: dict, text: bytes, languag
 
 def _judge(path: str, bands: dict):
     def run(batches):
-        pieces, hashes = _pieces(path), WordHashes()
+        pieces, hashes = Pieces(path), WordHashes()
         for batch in batches:
             # The language rides along behind key and text; chunks() reads the first two columns only.
             languages, at = batch.column(2).to_pylist(), 0
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, vocabulary: str, *, text: str = "text", language:
     chosen = bands or BANDS
 
     def make():
-        pieces, hashes = _pieces(vocabulary), WordHashes()
+        pieces, hashes = Pieces(vocabulary), WordHashes()
         return lambda texts, languages: [judged(pieces, hashes, chosen, t, lang)[-1] for t, lang in zip(texts, languages, strict=True)]
 
     return filter_rows(docs, text, make, (language if language in docs.columns else None,))

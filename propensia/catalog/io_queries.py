@@ -143,9 +143,17 @@ def sink_json_params_roundtrip(spark, sf):
     return loaded.select("colonne", F.round("borne_min", 4).alias("borne_min"), F.round("borne_max", 4).alias("borne_max"))
 
 
-@query("sink_csv_sample")
+@query("sink_csv_sample", "SELECT count(*) AS n_table, 1 AS about_a_twentieth, 1 AS known_rows, 1 AS same_columns FROM orders")
 def sink_csv_sample(spark, sf):
-    return store.export_csv_sample(table(spark, sf, "orders"), staging_path(spark, "sample"))
+    """The exported sample checked: size, rows as in the table, columns as in the table."""
+    orders = table(spark, sf, "orders")
+    sample = store.export_csv_sample(orders, staging_path(spark, "sample"))
+    keys = sample.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_orderstatus").alias("status"))
+    known = keys.join(orders.select("o_orderkey", "o_orderstatus"), "o_orderkey").filter("status = o_orderstatus").count()
+    n, total = sample.count(), orders.count()
+    about = int(abs(n - 0.05 * total) <= 5 * (0.0475 * total) ** 0.5)
+    return orders.agg(F.count("*").alias("n_table")).select(
+        "n_table", F.lit(about).alias("about_a_twentieth"), F.lit(int(known == n)).alias("known_rows"), F.lit(int(sample.columns == orders.columns)).alias("same_columns"))
 
 
 @query("sink_coalesced_scores", "SELECT count(*) AS n, 1 AS few_files FROM customer")
@@ -156,7 +164,9 @@ def sink_coalesced_scores(spark, sf):
     return per_file.agg(F.sum("n").alias("n"), (F.count("*") <= 8).cast("int").alias("few_files"))
 
 
-@query("ml_persist_roundtrip")
+@query("ml_persist_roundtrip", """
+    WITH p AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size::DOUBLE END AS p_size FROM part)
+    SELECT p_partkey, p_size, coalesce(p_size, (SELECT quantile_disc(p_size, 0.5) FROM p)) AS p_size_imp FROM p""")
 def ml_persist_roundtrip(spark, sf):
     df = table(spark, sf, "part").withColumn("p_size", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")))
     path = staging_path(spark, "imputer")

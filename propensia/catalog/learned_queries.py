@@ -60,7 +60,8 @@ def fit_median_impute(spark, sf):
     return learned.apply_medians(df, learned.fit_medians(df, ["recence_gab_jours"]))
 
 
-@query("ml_imputer")
+@query("ml_imputer", _USAGE + """
+    SELECT c_custkey, recence_gab_jours, coalesce(recence_gab_jours, (SELECT quantile_disc(recence_gab_jours, 0.5) FROM usage)) AS recence_gab_jours_imp FROM usage""")
 def ml_imputer(spark, sf):
     df = client_usage(spark, sf).select("c_custkey", "recence_gab_jours")
     return Imputer(inputCols=["recence_gab_jours"], outputCols=["recence_gab_jours_imp"], strategy="median").fit(df).transform(df)

@@ -64,10 +64,30 @@ def _halves(spark, sf):
     return rows.filter("split = 'fit'").drop("split"), rows.filter("split = 'val'").drop("split")
 
 
+_TRAINING = roles.with_roles("client_label") + """,
+    stats AS (SELECT o_custkey, count(*)::DOUBLE AS n_orders, sum(CAST(o_totalprice AS DECIMAL(38, 9)))::DOUBLE AS total,
+      sum(CAST(o_totalprice AS DECIMAL(38, 9)))::DOUBLE / count(*) AS "mean", min(o_totalprice) AS smallest, max(o_totalprice) AS largest FROM orders GROUP BY 1),
+    training AS (SELECT c_custkey, c_acctbal, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, label, coalesce(n_orders, 0) AS n_orders,
+      coalesce(total, 0) AS total, coalesce("mean", 0) AS "mean", coalesce(smallest, 0) AS smallest, coalesce(largest, 0) AS largest,
+      substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4) < 'cccc' AS is_fit FROM client_label LEFT JOIN stats ON o_custkey = c_custkey)"""
+
+
+def _model_sql(where: str = "NOT is_fit") -> str:
+    """What any sound model gives: a row for each client, a probability, a decision that follows it."""
+    return _TRAINING + f" SELECT c_custkey, label, true AS probability_ok, true AS prediction_ok FROM training WHERE {where}"
+
+
 def _scored(model, df):
     return models.class_one_probability(model.transform(df)).select("c_custkey", "label", "prediction", "probability_classe1")
 
 
+def _checked(scored):
+    """Scored rows as checks of probability and decision."""
+    p = F.col("probability_classe1")
+    return scored.select(
+        "c_custkey", "label", p.between(0.0, 1.0).alias("probability_ok"), (F.col("prediction") == (p > 0.5).cast("double")).alias("prediction_ok"))
+
+
 def _fit(spark, sf, algorithm, **params):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
@@ -89,7 +109,10 @@ def enc_string_index(spark, sf):
     return orders.select("o_orderkey", "o_orderpriority_idx", "o_orderstatus_idx")
 
 
-@query("enc_one_hot")
+@query("enc_one_hot", f"""
+    WITH a AS ({_RANKED.format(c='o_orderpriority', t='orders')}), n AS (SELECT count(*) AS k FROM a)
+    SELECT o_orderkey, o_orderpriority, [CASE WHEN j = a.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for j in range((SELECT k FROM n))] AS "values"
+    FROM orders JOIN a ON a.v = o_orderpriority""")
 def enc_one_hot(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     encoded = Pipeline(stages=encode.encoding_stages(["o_orderpriority"])).fit(orders).transform(orders)
@@ -103,14 +126,26 @@ def enc_index_to_string(spark, sf):
     return encode.index_to_label(indexer.transform(orders), "label_idx", "label_predit", indexer).select("o_orderkey", "label_predit")
 
 
-@query("enc_assemble")
+_ENCODED = _TRAINING + """,
+    fit AS (SELECT * FROM training WHERE is_fit),
+    seg AS (SELECT c_mktsegment AS v, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS i FROM fit GROUP BY 1),
+    nat AS (SELECT c_nationkey AS v, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) - 1 AS i FROM fit GROUP BY 1),
+    encoded AS (SELECT c_custkey, label::DOUBLE AS label_idx, list_concat([c_acctbal, n_orders, total, "mean", smallest, largest],
+      list_concat([CASE WHEN j = seg.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for j in range((SELECT count(*) FROM seg))], [nat.i::DOUBLE])) AS vals
+      FROM fit JOIN seg ON seg.v = c_mktsegment JOIN nat ON nat.v = c_nationkey)"""
+
+
+@query("enc_assemble", _ENCODED + ' SELECT c_custkey, label_idx, vals AS "values" FROM encoded')
 def enc_assemble(spark, sf):
     fit, _ = _halves(spark, sf)
     assembled = SPEC.encoder().fit(fit).transform(fit)
     return encode.unpack_vector(assembled, "features").select("c_custkey", "label_idx", "values")
 
 
-@query("ml_feature_names")
+@query("ml_feature_names", _ENCODED + """,
+    names AS (SELECT unnest(['c_acctbal', 'n_orders', 'total', 'mean', 'smallest', 'largest']) AS feature, unnest(range(6)) AS slot
+      UNION ALL SELECT 'c_mktsegment_ohe_' || v, 6 + i FROM seg UNION ALL SELECT 'c_nationkey_idx', 6 + (SELECT count(*) FROM seg))
+    SELECT CAST(slot AS INTEGER) AS slot, feature, (SELECT count(*) FILTER (vals[slot + 1] <> 0) FROM encoded) AS n_nonzero FROM names""")
 def ml_feature_names(spark, sf):
     fit, _ = _halves(spark, sf)
     assembled = SPEC.encoder().fit(fit).transform(fit)
@@ -124,44 +159,46 @@ def ml_feature_names(spark, sf):
 
 # ---- models --------------------------------------------------------------------
 
-@query("ml_random_forest")
+@query("ml_random_forest", _model_sql())
 def ml_random_forest(spark, sf):
     model, _, val = _fit(spark, sf, "RandomForest")
-    return _scored(model, val)
+    return _checked(_scored(model, val))
 
 
-@query("ml_logistic")
+@query("ml_logistic", _model_sql())
 def ml_logistic(spark, sf):
     model, _, val = _fit(spark, sf, "LogisticRegression")
-    return _scored(model, val)
+    return _checked(_scored(model, val))
 
 
-@query("ml_decision_tree")
+@query("ml_decision_tree", _model_sql())
 def ml_decision_tree(spark, sf):
     model, _, val = _fit(spark, sf, "DecisionTree")
-    return _scored(model, val)
+    return _checked(_scored(model, val))
 
 
-@query("ml_naive_bayes")
+@query("ml_naive_bayes", _model_sql())
 def ml_naive_bayes(spark, sf):
     model, _, val = _fit(spark, sf, "NaiveBayes_Gaussian")
-    return _scored(model, val)
+    return _checked(_scored(model, val))
 
 
-@query("ml_gbt")
+@query("ml_gbt", _model_sql())
 def ml_gbt(spark, sf):
     model, _, val = _fit(spark, sf, "BoostedTrees")
-    return _scored(model, val)
+    return _checked(_scored(model, val))
 
 
-@query("ml_boosted_oversampled")
+@query("ml_boosted_oversampled", _model_sql())
 def ml_boosted_oversampled(spark, sf):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    return _scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins), "c_custkey"), val)
+    return _checked(_scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins), "c_custkey"), val))
 
 
-@query("ml_product_score")
+@query("ml_product_score", roles.with_roles("cible") + """
+    SELECT CAST(radical AS BIGINT) AS c_custkey, true AS known_class, true AS sums_to_one, true AS most_probable
+    FROM cible WHERE CAST(radical AS BIGINT) IN (SELECT c_custkey FROM customer) AND substr(md5(radical), 1, 4) >= 'cccc'""")
 def ml_product_score(spark, sf):
     """Which product: three classes, clients that hold one."""
     target = savings_target(roles.assi(spark, sf), roles.CODES).select(F.col("RADICAL").cast("bigint").alias("c_custkey"), "label_nom")
@@ -170,23 +207,34 @@ def ml_product_score(spark, sf):
     bins = encode.tree_bins(holders, SPEC.high_cardinality)
     split = hash_split(holders, "c_custkey")
     model = models.fit_model(split.filter("split = 'fit'").drop("split"), spec, models.random_forest(bins), softened=False)
-    return models.batch_score_classes(split.filter("split = 'val'").drop("label_nom", "split"), model, spec)
+    scores = models.batch_score_classes(split.filter("split = 'val'").drop("label_nom", "split"), model, spec)
+    names = sorted(r[0] for r in holders.select("label_nom").distinct().collect())  # one row per product
+    best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("probability", F.array_max("probability")).cast("int"))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return scores.select("c_custkey", F.col("label_predit").isin(names).alias("known_class"), (F.abs(total - 1.0) < 1e-9).alias("sums_to_one"), (F.col("label_predit") == best).alias("most_probable"))
 
 
-@query("ml_train_select_score")
+@query("ml_train_select_score", _TRAINING + " SELECT c_custkey, true AS label_ok, true AS probability_ok FROM training")
 def ml_train_select_score(spark, sf):
     rows = training_rows(spark, sf).drop("split")
     path = staging_path(spark, "winner")
-    params = {"DecisionTree": models.FROZEN["DecisionTree"], "NaiveBayes_Gaussian": models.FROZEN["NaiveBayes_Gaussian"]}
+    # All five algorithms; boosting at its default rounds, since 200 of depth 8 take minutes on a test table.
+    params = {**models.FROZEN, "BoostedTrees": {}}
     train_select_save(rows, SPEC, "c_custkey", path, params)
-    return score_table(spark, rows.drop("label"), path, SPEC, staging_path(spark, "predictions"))
+    scores = score_table(spark, rows.drop("label"), path, SPEC, staging_path(spark, "predictions"))
+    threshold = models.load_model(spark, path)[1]
+    p = F.col("probability_classe1")
+    return scores.select("c_custkey", (F.col("label_predit") == F.when(p >= threshold, "1").otherwise("0")).alias("label_ok"), p.between(0.0, 1.0).alias("probability_ok"))
 
 
-@query("ml_imbalance_weight")
+@query("ml_imbalance_weight", _TRAINING + """,
+    r AS (SELECT count(*) FILTER (label = 0)::DOUBLE / count(*) FILTER (label = 1) AS ratio FROM training WHERE is_fit)
+    SELECT round(unnest([1.0, ratio * 0.25, ratio * 0.5, ratio]), 6) AS positive_weight, true AS f1_ok FROM r""")
 def ml_imbalance_weight(spark, sf):
     fit, val = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
-    return models.search_imbalance_weight(fit, val, SPEC, models.boosted_trees(bins))
+    found = models.search_imbalance_weight(fit, val, SPEC, models.boosted_trees(bins))
+    return found.select(F.round("positive_weight", 6).alias("positive_weight"), F.col("f1_classe1").between(0.0, 1.0).alias("f1_ok"))
 
 
 def _cv_rows(spark, fitted):
@@ -212,18 +260,25 @@ def ml_random_search(spark, sf):
     return _cv_rows(spark, models.random_search(fit, SPEC, models.decision_tree(bins), grid, parallelism=4))
 
 
-@query("ml_encode_classify")
+@query("ml_encode_classify", _model_sql())
 def ml_encode_classify(spark, sf):
     model, fit, val = _fit(spark, sf, "DecisionTree")
     shared = models.encoder_of(model)
     other = models.logistic().fit(shared.transform(models.with_class_weights(fit, SPEC.label)))
-    return _scored(PipelineModel(stages=[*shared.stages, other]), val)
+    return _checked(_scored(PipelineModel(stages=[*shared.stages, other]), val))
 
 
-@query("ml_importance")
+@query("ml_importance", _ENCODED + """,
+    names AS (SELECT unnest(['c_acctbal', 'n_orders', 'total', 'mean', 'smallest', 'largest']) AS feature UNION ALL SELECT 'c_mktsegment_ohe_' || v FROM seg UNION ALL SELECT 'c_nationkey_idx')
+    SELECT feature, true AS importance_ok, true AS sums_to_one FROM names""")
 def ml_importance(spark, sf):
     model, _, val = _fit(spark, sf, "RandomForest")
-    return models.importances(model, model.transform(val))
+    return _importance_checks(models.importances(model, model.transform(val)))
+
+
+def _importance_checks(found):
+    total = found.agg(F.sum("importance")).first()[0]
+    return found.select("feature", F.col("importance").between(0.0, 1.0).alias("importance_ok"), F.lit(abs(total - 1.0) < 1e-6).alias("sums_to_one"))
 
 
 def _candidates(spark, sf):
@@ -233,10 +288,19 @@ def _candidates(spark, sf):
     return fitted, fit, val
 
 
-@query("ml_leaderboard")
+_ALGOS = ", ".join(f"('{a}')" for a in sorted(models.ALGORITHMS))
+
+
+@query("ml_leaderboard", f"SELECT algo, true AS metrics_ok, true AS ranked FROM (VALUES {_ALGOS}) AS t(algo)")
 def ml_leaderboard(spark, sf):
     fitted, _, val = _candidates(spark, sf)
-    return models.leaderboard(fitted, val)
+    board = models.leaderboard(fitted, val, {n: models.learn_threshold(m, val) for n, m in fitted.items()})
+    rows = board.collect()  # one row per algorithm
+    f1 = [r["f1_classe1"] for r in rows]
+    metrics = F.lit(True)
+    for c in board.columns[1:]:
+        metrics = metrics & F.col(c).between(0.0, 1.0)
+    return board.select("algo", metrics.alias("metrics_ok"), F.lit(f1 == sorted(f1, reverse=True)).alias("ranked"))
 
 
 @query("ml_params_report")
@@ -244,22 +308,26 @@ def ml_params_report(spark, sf):
     return models.params_report(spark, _candidates(spark, sf)[0])
 
 
-@query("ml_refit_full")
+@query("ml_refit_full", _ENCODED.replace("FROM training WHERE is_fit", "FROM training") + """,
+    names AS (SELECT unnest(['c_acctbal', 'n_orders', 'total', 'mean', 'smallest', 'largest']) AS feature UNION ALL SELECT 'c_mktsegment_ohe_' || v FROM seg UNION ALL SELECT 'c_nationkey_idx')
+    SELECT feature, true AS importance_ok, true AS sums_to_one FROM names""")
 def ml_refit_full(spark, sf):
     everyone = training_rows(spark, sf).drop("split")
     model = models.refit_on_everything(everyone, SPEC, "RandomForest")
     path = staging_path(spark, "model")
     models.save_model(model, 0.5, path)
-    return models.importances(models.load_model(spark, path)[0], model.transform(everyone))
+    return _importance_checks(models.importances(models.load_model(spark, path)[0], model.transform(everyone)))
 
 
-@query("ml_batch_score")
+@query("ml_batch_score", _TRAINING + " SELECT c_custkey, true AS label_ok, true AS probability_ok FROM training WHERE NOT is_fit")
 def ml_batch_score(spark, sf):
     model, _, val = _fit(spark, sf, "DecisionTree")
     path = staging_path(spark, "model")
     models.save_model(model, models.learn_threshold(model, val), path)
     loaded, threshold = models.load_model(spark, path)
-    return models.batch_score(val.drop("label"), loaded, threshold, SPEC)
+    scores = models.batch_score(val.drop("label"), loaded, threshold, SPEC)
+    p = F.col("probability_classe1")
+    return scores.select("c_custkey", (F.col("label_predit") == F.when(p >= threshold, "1").otherwise("0")).alias("label_ok"), p.between(0.0, 1.0).alias("probability_ok"))
 
 
 @query("job_train_small")
@@ -402,7 +470,19 @@ def resample_tomek_clean(spark, sf):
     return resample.tomek_clean(vectors, links, "vec_id", "label").select("vec_id", "label")
 
 
-@query("resample_smotenc")
+@query("resample_smotenc", _TRAINING + """,
+    n AS (SELECT label, count(*) AS n FROM training WHERE is_fit GROUP BY 1)
+    SELECT label, (SELECT max(n) FROM n) - n AS n_new, 0 AS outside_range, 0 AS unknown_category FROM n WHERE n < (SELECT max(n) FROM n)""")
 def resample_smotenc(spark, sf):
+    """New rows of each class checked: their number, that they lie within the class's range, that their categories are its own."""
     rows = training_rows(spark, sf).filter("split = 'fit'")
-    return resample.smotenc(rows, "c_custkey", "label", ["c_acctbal", "n_orders", "total"], ["c_mktsegment", "c_nationkey"])
+    numbers, categories = ["c_acctbal", "n_orders", "total"], ["c_mktsegment", "c_nationkey"]
+    new = resample.smotenc(rows, "c_custkey", "label", numbers, categories)
+    ranges = rows.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("low", F.min), ("high", F.max))], *[F.collect_set(c).alias(f"set_{c}") for c in categories])
+    outside, unknown = F.lit(False), F.lit(False)
+    for c in numbers:
+        outside = outside | ~F.col(c).between(F.col(f"low_{c}") - 1e-6, F.col(f"high_{c}") + 1e-6)
+    for c in categories:
+        unknown = unknown | ~F.array_contains(f"set_{c}", F.col(c))
+    return new.join(F.broadcast(ranges), "label").groupBy("label").agg(
+        F.count("*").alias("n_new"), F.count_if(outside).cast("int").alias("outside_range"), F.count_if(unknown).cast("int").alias("unknown_category"))

@@ -204,9 +204,14 @@ def agg_cardinality(spark, sf):
     return ag.distinct_counts(table(spark, sf, "lineitem"), _CODES)
 
 
-@query("agg_cardinality_approx")
+@query("agg_cardinality_approx", "SELECT col AS \"column\", 1 AS within_bound FROM (VALUES " + ", ".join(f"('{c}')" for c in _CODES) + ") AS t(col)")
 def agg_cardinality_approx(spark, sf):
-    return ag.distinct_counts_approx(table(spark, sf, "lineitem"), _CODES)
+    """The sketch beside the exact count: within four standard errors."""
+    rsd = 0.02
+    lines = table(spark, sf, "lineitem")
+    estimate = ag.distinct_counts_approx(lines, _CODES, rsd).withColumnRenamed("n_distinct", "estimate")
+    both = estimate.join(ag.distinct_counts(lines, _CODES), "column")
+    return both.select("column", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 4 * rsd * F.col("n_distinct")).cast("int").alias("within_bound"))
 
 
 @query("agg_outlier_counts", """
@@ -438,9 +443,9 @@ def topk_associations(spark, sf):
     return ag.strongest(strong_pairs(pairs, 0.0), "correlation", ["variable_1", "variable_2"], 5)
 
 
-@query("limit_preview")
+@query("limit_preview", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3")
 def limit_preview(spark, sf):
-    return table(spark, sf, "orders").limit(3)
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(3)
 
 
 # ---- sets, samples, splits -----------------------------------------------------
@@ -476,15 +481,31 @@ def union_tagged_families(spark, sf):
                               "events": family("events", "event_type")})
 
 
-@query("sample_fraction")
+@query("sample_fraction", """
+    SELECT least(count(*), 20000) AS wanted, 1 AS about_as_many, 1 AS known_rows, 1 AS same_again FROM lineitem""")
 def sample_fraction(spark, sf):
-    return sets.sample_about(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 20_000)
-
-
-@query("split_random")
+    """The sample checked: its size, that its rows are rows of the table, once each, and that a second draw agrees."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    total, wanted = lines.count(), 20_000
+    drawn = sets.sample_about(lines, wanted)
+    again = sets.sample_about(lines, wanted)
+    known = drawn.exceptAll(lines).count() == 0
+    expected = min(wanted, total)
+    spread = 5.0 * (expected * (1 - expected / total)) ** 0.5
+    return drawn.agg(F.count("*").alias("n")).select(
+        F.lit(expected).cast("bigint").alias("wanted"), (F.abs(F.col("n") - expected) <= spread).cast("int").alias("about_as_many"),
+        F.lit(int(known)).alias("known_rows"), F.lit(int(drawn.exceptAll(again).count() == 0)).alias("same_again"))
+
+
+@query("split_random", "SELECT c_custkey, c_mktsegment, 1 AS n_sides, 1 AS about_four_fifths FROM customer")
 def split_random(spark, sf):
-    fit, val = sets.random_split(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
-    return fit.withColumn("split", F.lit("fit")).unionByName(val.withColumn("split", F.lit("val")))
+    """Every row on exactly one side, and the sides of the asked size."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    fit, val = sets.random_split(customers)
+    sides = fit.withColumn("split", F.lit("fit")).unionByName(val.withColumn("split", F.lit("val")))
+    n, n_fit = customers.count(), fit.count()
+    about = int(abs(n_fit - 0.8 * n) <= 5 * (0.16 * n) ** 0.5)
+    return sides.groupBy("c_custkey", "c_mktsegment").agg(F.count("*").cast("int").alias("n_sides")).withColumn("about_four_fifths", F.lit(about))
 
 
 _SPLIT = "CASE WHEN substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4) < 'cccc' THEN 'fit' ELSE 'val' END"
@@ -502,7 +523,18 @@ def split_balance(spark, sf):
     return ag.crosstab_row_share(sets.hash_split(roles.client_label(spark, sf), "c_custkey"), "split", "label")
 
 
-@query("sample_stratified")
+@query("sample_stratified", roles.with_roles("client_label") + """,
+    n AS (SELECT label, count(*) AS n_rows FROM client_label GROUP BY 1)
+    SELECT label, n_rows, (SELECT min(n_rows) FROM n) AS wanted, 1 AS about_as_many, 1 AS known_rows FROM n""")
 def sample_stratified(spark, sf):
+    """Majority under-sampling checked: each class about as large as the smallest, only known rows."""
     clients = roles.client_label(spark, sf)
-    return sets.stratified_sample(clients, "label", sets.balance_fractions(clients, "label"))
+    sampled = sets.stratified_sample(clients, "label", sets.balance_fractions(clients, "label"))
+    sizes = {r["label"]: r["count"] for r in clients.groupBy("label").count().collect()}
+    wanted = min(sizes.values())
+    known = sampled.join(clients.select("c_custkey", F.col("label").alias("l")), "c_custkey").filter("label = l").groupBy("label").agg(F.count_distinct("c_custkey").alias("n_known"))
+    drawn = sampled.groupBy("label").agg(F.count("*").alias("n"))
+    rows = spark.createDataFrame([(k, v, wanted) for k, v in sizes.items()], "label int, n_rows bigint, wanted bigint")
+    spread = 5.0 * F.sqrt(F.lit(float(wanted)) * (1 - F.lit(float(wanted)) / F.col("n_rows")))
+    return rows.join(drawn, "label", "left").join(known, "label", "left").select(
+        "label", "n_rows", "wanted", (F.abs(F.col("n") - F.col("wanted")) <= spread).cast("int").alias("about_as_many"), (F.col("n") == F.col("n_known")).cast("int").alias("known_rows"))

@@ -301,7 +301,7 @@ def _scorable(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Rows that the assembler accepts; ``__complete`` tells which really have all features."""
     complete = F.lit(True)
     for c in spec.numeric:
-        complete = complete & F.coalesce(~F.isnan(F.col(c).cast("double")), F.lit(False))
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     filled = {c: F.when(complete, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in spec.numeric}
     return df.withColumn("__complete", complete).withColumns(filled)
 

@@ -11,6 +11,8 @@ from propensia.operators import association as assoc
 from propensia.operators import evaluate as ev
 from propensia.operators import learned, quality, rules, sets, windows
 from propensia.operators.quantiles import approx_quantiles, exact_quantiles
+from propensia.sources import delimited
+from propensia.streaming.ingest import ingest_landed_files
 
 REFERENCE = dt.date(2025, 12, 31)
 
@@ -297,3 +299,115 @@ def test_quantiles_by_group_and_infinite_values(spark):
         assert got[g] == (len(known), known[math.ceil(len(known) / 2) - 1])
     top = exact_quantiles(df, ["x"], {"top": 1.0, "low": 0.0}).first()
     assert (top["top"], top["low"], top["n"]) == (float("inf"), 0.0, 201)
+
+
+# ---- nothing is lost on the way --------------------------------------------------
+
+def test_amounts_keep_their_decimals(spark):
+    df = spark.createDataFrame([("a", 0.004), ("a", 0.003), ("b", 1e15), ("b", float("nan")), ("b", None), ("c", -2.5)], "k string, v double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(exact_sum("v").alias("s"), exact_mean("v").alias("m")).collect()}
+    assert got == {"a": (0.007, 0.0035), "b": (1e15, 1e15), "c": (-2.5, -2.5)}
+    out = values(ag.balance_summary(df.filter("k = 'a'"), "k", "v"), "solde_moyen", "solde_min")
+    assert out == [(0.0035, 0.003)]
+
+
+def test_french_nan_is_null(spark):
+    assert spark.createDataFrame([("NaN",)], "t string").select(fr_decimal("t")).first()[0] is None
+
+
+def _file(path, text, encoding="iso-8859-1"):
+    path.write_bytes(text.encode(encoding))
+
+
+def test_files_are_read_by_their_headers(spark, tmp_path):
+    _file(tmp_path / "a.txt", "MONTANT;RADICAL\n1,5;7\n")
+    _file(tmp_path / "b.txt", "RADICAL;MONTANT;PÉRIODE\n8;2,5;été\n")
+    df = delimited.read_delimited(spark, str(tmp_path / "*.txt"), ["RADICAL", "MONTANT", "PÉRIODE"])
+    assert sorted(map(tuple, df.collect())) == [("7", "1,5", None), ("8", "2,5", "été")]
+    assert sorted(map(tuple, delimited.read_delimited(spark, str(tmp_path)).select("RADICAL", "MONTANT").collect())) == [("7", "1,5"), ("8", "2,5")]
+    assert [tuple(r) for r in delimited.search_columns(spark, str(tmp_path), "période").collect()] == [("b.txt", "PÉRIODE")]
+    assert {tuple(r) for r in delimited.sniff_separator(spark, str(tmp_path)).collect()} == {("a.txt", ";", 2), ("b.txt", ";", 3)}
+    inventory = {r.file: (r.columns, r.n_rows, r.preview) for r in delimited.file_inventory(spark, str(tmp_path)).collect()}
+    assert inventory["b.txt"] == (["RADICAL", "MONTANT", "PÉRIODE"], 1, ["8;2,5;été"])
+
+
+def test_types_are_inferred_from_all_rows(spark, tmp_path):
+    _file(tmp_path / "x.csv", "v\n" + "\n".join("2.75" if i == 1717 else str(i) for i in range(3000)) + "\n")
+    df = delimited.read_typed_csv(spark, str(tmp_path / "x.csv"))
+    assert df.dtypes == [("v", "double")] and df.filter("v = 2.75").count() == 1
+
+
+def test_stream_refuses_a_swapped_header(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    _file(landing / "a.csv", "MONTANT;RADICAL\n1,5;7\n")
+    with pytest.raises(Exception):
+        ingest_landed_files(spark, str(landing), str(tmp_path / "t"), str(tmp_path / "c"), ["RADICAL", "MONTANT"])
+
+
+def test_both_names_of_an_amount_count(spark):
+    df = spark.createDataFrame([("1", None), (None, "2"), ("3", "4")], ["TOTAL_TTC/100", "TOTAL_TTC"])
+    assert sorted(r[0] for r in rules.resolve_column(df, ["TOTAL_TTC", "TOTAL_TTC/100"], "TOTAL_TTC").collect()) == ["1", "2", "4"]
+
+
+def test_nan_has_no_bin(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(8)] + [(float("nan"),), (None,)], "v double")
+    assert sorted(values(ag.histogram(df, ["v"], 4), "bin", "n")) == [(0, 2), (1, 2), (2, 2), (3, 2)]
+    assert values(ag.min_max_mean(df, ["v"]), "min", "max", "mean") == [(0.0, 7.0, 3.5)]
+
+
+def test_null_takes_no_place_in_the_top(spark):
+    df = spark.createDataFrame([(None, 1)] * 5 + [("a", 1)] * 3 + [("b", 0)] * 2 + [("c", 0)], "c string, y int")
+    assert [r[0] for r in ag.top_categories(df, "c", 2).collect()] == ["a", "b"]
+    assert {r[0] for r in ag.top_crosstab(df, "c", "y", 2).collect()} == {"a", "b"}
+
+
+def test_scoring_keeps_every_client(spark):
+    from propensia.operators import models
+
+    rows = [(i, float(i), "x" if i % 2 else "y", int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v double, c string, y int")
+    spec = models.FeatureSpec("y", ["v"], ["c"], ids=("id",))
+    model = models.fit_model(df, spec, models.decision_tree())
+    new = spark.createDataFrame([(1, 1.0, "x"), (2, None, "x"), (3, float("nan"), "y"), (4, 2.0, None)], "id long, v double, c string")
+    got = {r.id: (r.label_predit, r.probability_classe1) for r in models.batch_score(new, model, 0.5, spec).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == got[3] == (None, None) and None not in (*got[1], *got[4])
+
+
+def test_every_small_class_is_filled_up(spark):
+    from propensia.operators.resample import smotenc
+
+    rows = [(i, float(i), "a", "k0") for i in range(9)] + [(20 + i, 100.0 + i, "b", "k1") for i in range(3)] + [(40, 7.0, "c", "k2")]
+    df = spark.createDataFrame(rows, "id long, v double, y string, k string")
+    new = smotenc(df, "id", "y", ["v"], ["k"], k=2)
+    got = {r.y: (r.n, r.lo, r.hi, r.k) for r in new.groupBy("y").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("k").alias("k")).collect()}
+    assert got["b"][0] == 6 and 100.0 <= got["b"][1] <= got["b"][2] <= 102.0 and got["b"][3] == "k1"
+    assert got["c"] == (8, 7.0, 7.0, "k2") and set(got) == {"b", "c"}
+
+
+def test_correlations_of_many_columns(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [tuple(rng.gauss(0, 1) if rng.random() > 0.1 else None for _ in range(12)) + (5.0, None) for _ in range(300)]
+    names = [f"c{i}" for i in range(14)]
+    got = {(r.variable_1, r.variable_2): r.correlation for r in assoc.correlation_pairs(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), names).collect()}
+    for i in range(12):
+        for j in range(i + 1, 12):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            mx, my = (sum(v) / len(both) for v in zip(*both))
+            cov = sum((x - mx) * (y - my) for x, y in both)
+            r = cov / (sum((x - mx) ** 2 for x, _ in both) * sum((y - my) ** 2 for _, y in both)) ** 0.5
+            assert got[f"c{i}", f"c{j}"] == pytest.approx(r, abs=1e-6)
+    assert got["c0", "c12"] is None and got["c0", "c13"] is None and len(got) == 91
+
+
+def test_copies_do_not_multiply_the_search(spark):
+    from propensia.operators.neighbours import nearest_neighbours
+
+    rows = [(i, [1.0, 1.0]) for i in range(50)] + [(100, [2.0, 1.0]), (101, [5.0, 1.0])]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", k=3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.neighbour, r.distance))
+    assert got[0] == [(1, 0.0), (2, 0.0), (3, 0.0)] and got[49] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert got[100] == [(0, 1.0), (1, 1.0), (2, 1.0)] and got[101] == [(100, 3.0), (0, 4.0), (1, 4.0)]

@@ -13,12 +13,18 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# The text operators have their own tests, which may be deleted together with them.
+NAMES = sorted(n for n in entry.queries() if n not in entry.LLM_QUERIES)
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     result = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert result.count() >= 0 and result.columns
+        # Nothing to compare with: the whole result twice, the same rows both times.
+        first = sorted(map(str, result.collect()))
+        assert first and first == sorted(map(str, entry.queries()[name](spark, SF).collect()))
     else:
         assert compare(result, duck, sql) == []
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import partitions_for
+from propensia.llm.common import bounded_batches, partitions_for
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -177,6 +177,7 @@ def format_records(records: DataFrame, *, key: str = "conv_id", order: str = "tu
     ``record`` holds JSON text. A record that is no JSON object, or of an unknown layout, gives one row without a
     segment, with its fingerprint, so that nothing is lost without a trace.
     """
+    bounded_batches(records.sparkSession)
     source = records.select(F.col(f"`{key}`").cast("bigint").alias("conv_id"), F.col(f"`{order}`").cast("bigint").alias("turn"), F.col(f"`{record}`").cast("string").alias("record"))
     return source.mapInArrow(
         _format(Layouts(mappings)), "conv_id bigint, turn bigint, seq bigint, fingerprint string, layout string, segment string, loss_start bigint, loss_end bigint")

@@ -16,12 +16,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 """Text bytes that a task works on at a time; bounds the arrays derived from them."""
 
 CACHE_WORDS = 150_000
 """Distinct words whose derived values a task keeps; the cache starts afresh beyond it."""
 
+BATCH_ROWS = 512
+"""Most rows of an Arrow batch: Spark's limit counts rows, and rows here are whole texts."""
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS; a session that set fewer keeps its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ALNUM = bytes(_LOWER[b] if chr(_LOWER[b]).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -89,6 +100,7 @@ def as_signed(x: np.ndarray) -> np.ndarray:
 
 def doc_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text as bytes, a null text as an empty one; other columns are left out of the task."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
@@ -113,6 +125,7 @@ def filter_rows(docs: DataFrame, text: str, make_keep: Callable[[], Callable[...
     ``make_keep()`` runs once per task and returns a function of a list of texts (bytes, null as empty) and,
     for each name in ``also``, the list of that column's values as strings (None where there is none).
     """
+    bounded_batches(docs.sparkSession)
     first = [F.lit(0).alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t")]
     extra = [F.col(f"`{a}`").cast("string").alias(f"a{i}") if a else F.lit(None).cast("string").alias(f"a{i}") for i, a in enumerate(also)]
     rest = [(i, c) for i, c in enumerate(docs.columns) if c != text]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import CACHE_WORDS, WordHashes, chunks, filter_rows, space_words, window_hashes
+from propensia.llm.common import CACHE_WORDS, WordHashes, bounded_batches, chunks, filter_rows, space_words, window_hashes
 
 # The plain rules beside the method.
 MIN_WORDS = 20
@@ -181,6 +181,7 @@ def quality_report(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
     empty text has no words and fails; repeated rows each get their row. Windows of words are compared by
     64-bit hashes.
     """
+    bounded_batches(docs.sparkSession)
     lang = F.col(f"`{language}`").cast("string") if language and language in docs.columns else F.lit(None).cast("string")
     source = docs.select(
         F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"), lang.alias("language"))

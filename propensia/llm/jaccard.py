@@ -134,7 +134,7 @@ def _emit_keys(shingle: int, t: Threshold, shards: int):
                     nodes.append(node)
                     keys.append(own)
                     held += len(own)
-            if held > 1_000_000:
+            if held > 500_000:
                 yield _sharded(nodes, keys, shards)
                 nodes, keys, seen, held = [], [], set(), 0
         if held:
@@ -354,7 +354,7 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
         return spark.createDataFrame([], "node bigint, component bigint")
     total = described.agg(F.sum("n")).first()[0] or 0
     rows = total * 3.0 * (t[1] - t[0]) / (t[1] + t[0])
-    shards = partitions_for(spark, rows, 1_000_000)
+    shards = partitions_for(spark, rows, 500_000)
     keys = source.mapInArrow(_emit_keys(shingle, t, shards), _KEY_SCHEMA).repartition(shards, "shard").sortWithinPartitions("shard")
     candidates = materialise(keys.mapInArrow(_candidate_edges, "a bigint, b bigint").distinct(), "jaccard-candidates")
     blocks = components(candidates, "jaccard-blocks").withColumnRenamed("component", "block")

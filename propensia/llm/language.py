@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import chunks, doc_columns, is_held_out
+from propensia.llm.common import bounded_batches, chunks, doc_columns, is_held_out
 
 BUCKETS = 1 << 15
 """Hashed trigrams a language's distribution has; the model is languages times this."""
@@ -145,6 +145,7 @@ def learn(docs: DataFrame, *, text: str = "text", language: str = "lang") -> Lan
     The model has one row of BUCKETS numbers per language, so what reaches the driver is bounded by the
     number of languages, not by the documents.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.filter(F.col(f"`{language}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     source = source.select(F.lit(0).alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"), F.col(f"`{language}`").cast("string").alias("language"))
     summed = source.mapInArrow(_count, "language string, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import chunks
+from propensia.llm.common import bounded_batches, chunks
 
 # Frequent function words.
 STOP_WORDS = {
@@ -247,6 +247,7 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", p
 
     A null or empty page has an empty text; text without any tag is one block. Repeated rows each get their row.
     """
+    bounded_batches(pages.sparkSession)
     source = pages.select(
         F.col(f"`{key}`").cast("bigint").alias("page_id"), F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).cast("binary").alias("html"), F.col(f"`{url}`").cast("string").alias("url"))
     return source.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import CACHE_WORDS, chunks, doc_columns
+from propensia.llm.common import CACHE_WORDS, bounded_batches, chunks, doc_columns
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 PATTERNS = {
@@ -613,6 +613,7 @@ def _redact(field):
 def redact(docs: DataFrame, *, field: Field | None = None, text: str = "text") -> DataFrame:
     """Every row with its text redacted, all other columns as they are; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(field or _trained())
+    bounded_batches(docs.sparkSession)
     kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     source = docs.select(F.lit(0).alias("place"), F.col(f"`{text}`").cast("binary").alias("text"), *(k for k, c in zip(kept, docs.columns, strict=True) if c != text))
     rest = [f for f in docs.schema.fields if f.name != text]

@@ -111,7 +111,7 @@ def keep_plausible_age(
     df: DataFrame, birth: str, reference: dt.date, is_train: bool, age_range: tuple[int, int] = AGE_RANGE
 ) -> DataFrame:
     """Training rows outside the age range (or without a readable birth date) go;
-    scoring never loses a client."""
+    rows to be scored all stay."""
     if birth not in df.columns or not is_train:
         return df
     return df.filter(age_years(fr_date(birth), reference).between(*age_range))

@@ -196,6 +196,32 @@ def ml_boosted_oversampled(spark, sf):
     return _checked(_scored(models.fit_oversampled(fit, SPEC, models.boosted_trees(bins), "c_custkey"), val))
 
 
+@query("ml_undersampled", _model_sql())
+def ml_undersampled(spark, sf):
+    fit, val = _halves(spark, sf)
+    bins = encode.tree_bins(fit, SPEC.high_cardinality)
+    return _checked(_scored(models.fit_undersampled(fit, SPEC, models.decision_tree(bins)), val))
+
+
+@query("enc_frequency", _TRAINING + """,
+    f AS (SELECT c_nationkey, count(*)::DOUBLE / (SELECT count(*) FROM training WHERE is_fit) AS share FROM training WHERE is_fit GROUP BY 1)
+    SELECT c_custkey, round(coalesce(share, 0.0), 9) AS nation_share FROM training LEFT JOIN f USING (c_nationkey) WHERE NOT is_fit""")
+def enc_frequency(spark, sf):
+    fit, val = _halves(spark, sf)
+    encoded = encode.apply_encoding(val, "c_nationkey", encode.fit_frequency(fit, "c_nationkey"), "nation_share", 0.0)
+    return encoded.select("c_custkey", F.round("nation_share", 9).alias("nation_share"))
+
+
+@query("enc_target_rate", _TRAINING + """,
+    o AS (SELECT avg(label::DOUBLE) AS m FROM training WHERE is_fit),
+    f AS (SELECT c_nationkey, (sum(label)::DOUBLE + 20.0 * (SELECT m FROM o)) / (count(*) + 20.0) AS rate FROM training WHERE is_fit GROUP BY 1)
+    SELECT c_custkey, round(coalesce(rate, 0.0), 9) AS nation_rate FROM training LEFT JOIN f USING (c_nationkey) WHERE NOT is_fit""")
+def enc_target_rate(spark, sf):
+    fit, val = _halves(spark, sf)
+    encoded = encode.apply_encoding(val, "c_nationkey", encode.fit_target_rate(fit, "c_nationkey", "label"), "nation_rate", 0.0)
+    return encoded.select("c_custkey", F.round("nation_rate", 9).alias("nation_rate"))
+
+
 @query("ml_product_score", roles.with_roles("cible") + """
     SELECT CAST(radical AS BIGINT) AS c_custkey, true AS known_class, true AS sums_to_one, true AS most_probable
     FROM cible WHERE CAST(radical AS BIGINT) IN (SELECT c_custkey FROM customer) AND substr(md5(radical), 1, 4) >= 'cccc'""")
@@ -245,19 +271,26 @@ def _cv_rows(spark, fitted):
     return spark.createDataFrame(rows, "candidate int, parameters string, f1_cv_moyen double")
 
 
-@query("ml_cross_validate")
+@query("ml_cross_validate", "SELECT CAST(range AS INTEGER) AS candidate, true AS f1_ok, 9 AS n_different FROM range(9)")
 def ml_cross_validate(spark, sf):
     fit, _ = _halves(spark, sf)
     fitted = models.cross_validate(fit, SPEC, models.logistic(), models.GRIDS["LogisticRegression"], parallelism=4)
-    return _cv_rows(spark, fitted)
+    return _search_checks(_cv_rows(spark, fitted))
 
 
-@query("ml_random_search")
+def _search_checks(rows):
+    """A search's rows as checks: numbered candidates, none twice, F1 in range."""
+    n = rows.select("parameters").distinct().count()
+    return rows.select("candidate", F.col("f1_cv_moyen").between(0.0, 1.0).alias("f1_ok"), F.lit(n).cast("bigint").alias("n_different"))
+
+
+@query("ml_random_search", "SELECT CAST(range AS INTEGER) AS candidate, true AS f1_ok, 25 AS n_different FROM range(25)")
 def ml_random_search(spark, sf):
     fit, _ = _halves(spark, sf)
     bins = encode.tree_bins(fit, SPEC.high_cardinality)
     grid = models.GRIDS["DecisionTree"]
-    return _cv_rows(spark, models.random_search(fit, SPEC, models.decision_tree(bins), grid, parallelism=4))
+    found = models.random_search(fit, SPEC, models.decision_tree(bins), grid, parallelism=4, shares=models.WEIGHT_SHARES)
+    return _search_checks(_cv_rows(spark, found))
 
 
 @query("ml_encode_classify", _model_sql())
@@ -410,6 +443,28 @@ def eval_roc_auc(spark, sf):
     return ev.roc_auc(_one_vs_rest(spark, sf), "is_class", "score", by=["class"])
 
 
+_THREE = roles.with_roles("scored", "cible") + """,
+    t AS (SELECT label_nom, score FROM scored JOIN cible ON CAST(radical AS BIGINT) = c_custkey),
+    ovr AS (SELECT k.class, CAST(label_nom = k.class AS INTEGER) AS y,
+        round(CASE WHEN k.i = 1 THEN score WHEN k.i = 2 THEN (1.0 - score) * 0.625 ELSE (1.0 - score) * 0.375 END, 6) AS score
+      FROM t, (SELECT DISTINCT label_nom AS class, dense_rank() OVER (ORDER BY label_nom) AS i FROM cible) k),
+    lv AS (SELECT class, score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM ovr GROUP BY 1, 2),
+    cum AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY class) AS np, sum(neg) OVER (PARTITION BY class) AS nn
+      FROM lv WINDOW w AS (PARTITION BY class ORDER BY score DESC))"""
+
+
+@query("eval_roc_three_classes", _THREE + """
+    SELECT class, round(sum(neg::DOUBLE * (tp::DOUBLE - pos / 2.0)) / (max(np)::DOUBLE * max(nn)::DOUBLE), 6) AS auc FROM cum GROUP BY 1""")
+def eval_roc_three_classes(spark, sf):
+    """One product against the rest, for each of three products; the three scores do not mirror each other."""
+    target = savings_target(roles.assi(spark, sf), roles.CODES).select(F.col("RADICAL").cast("bigint").alias("c_custkey"), "label_nom")
+    rows = roles.scored_clients(spark, sf).select("c_custkey", "score").join(target, "c_custkey")
+    rest = 1.0 - F.col("score")
+    names = sorted(r[0] for r in target.select("label_nom").distinct().collect())  # one row per product
+    probability = F.array(*[F.round(p, 6) for p in (F.col("score"), rest * 0.625, rest * 0.375)][: len(names)])
+    return ev.roc_auc(ev.one_vs_rest(rows.withColumn("probability", probability), "label_nom", "probability", names), "is_class", "score", by=["class"])
+
+
 @query("eval_best_threshold_pr", roles.with_roles("scored") + """,
     lv AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM scored GROUP BY 1),
     cum AS (SELECT score, sum(pos) OVER (ORDER BY score DESC)::DOUBLE AS tp, sum(n) OVER (ORDER BY score DESC)::DOUBLE AS k, sum(pos) OVER ()::DOUBLE AS p FROM lv)

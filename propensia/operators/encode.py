@@ -33,6 +33,40 @@ def encoding_stages(low_cardinality: Sequence[str], high_cardinality: Sequence[s
     return [indexer, one_hot]
 
 
+# ---- long category lists as quantities -------------------------------------------
+
+ENCODING_BROADCAST = 100_000
+"""Most category values (a number each) that are broadcast to be looked up; counted before."""
+
+
+def fit_frequency(df: DataFrame, column: str) -> DataFrame:
+    """(value, encoded): share of the training rows that have the value; NULL is no value."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").cast("double")).scalar()
+    return counts.select("value", (F.col("n") / total).alias("encoded"))
+
+
+def fit_target_rate(df: DataFrame, column: str, label: str, prior_rows: float = 20.0) -> DataFrame:
+    """(value, encoded): rate of a 0/1 label per value, drawn towards the overall rate.
+
+    ``prior_rows`` rows of the overall rate are added to each value, so a rare value says little.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count(label).alias("n"), F.sum(F.col(label).cast("double")).alias("positive"))
+    overall = counts.agg(F.sum("positive") / F.sum("n").cast("double")).scalar()
+    rate = (F.col("positive") + F.lit(prior_rows) * overall) / (F.col("n") + F.lit(prior_rows))
+    return counts.select("value", rate.alias("encoded"))
+
+
+def apply_encoding(df: DataFrame, column: str, learned: DataFrame, out: str, default: float) -> DataFrame:
+    """Learned numbers beside each row; a value not seen in training (or NULL) gets ``default``."""
+    named = learned.select(F.col("value").alias("__value"), F.col("encoded").alias("__encoded"))
+    if named.limit(ENCODING_BROADCAST + 1).count() <= ENCODING_BROADCAST:
+        named = F.broadcast(named)
+    joined = df.join(named, df[column] == named["__value"], "left")
+    return joined.withColumn(out, F.coalesce("__encoded", F.lit(default))).drop("__value", "__encoded")
+
+
 def feature_columns(numeric: Sequence[str], low_cardinality: Sequence[str], high_cardinality: Sequence[str] = ()) -> list[str]:
     return [*numeric, *[f"{c}_ohe" for c in low_cardinality], *[f"{c}_idx" for c in high_cardinality]]
 

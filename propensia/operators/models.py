@@ -24,6 +24,7 @@ from propensia.operators.encode import encoder, feature_names, tree_bins
 from propensia.operators.evaluate import best_threshold, weighted_metrics
 from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights
 from propensia.operators.resample import smotenc
+from propensia.operators.sets import balance_fractions, stratified_sample
 from propensia.session import materialise
 from propensia.sources.store import load_params, params_frame, save_params
 
@@ -84,9 +85,12 @@ GRIDS: dict[str, dict[str, list]] = {
     "NaiveBayes_Gaussian": {},
     "BoostedTrees": {"maxIter": [200, 300, 400, 600], "maxDepth": [3, 4, 5, 6, 8],
                      "stepSize": [0.02, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 1.0],
-                     "minInstancesPerNode": [1, 3, 5]},
+                     "minInstancesPerNode": [1, 3, 5], "featureSubsetStrategy": ["0.6", "0.8", "all"]},
 }
 
+# Shares of the raw imbalance that a search may give the positives as weight (None: equal weights).
+WEIGHT_SHARES: tuple[float | None, ...] = (None, 0.25, 0.5, 1.0)
+
 
 # Parameters kept from earlier searches, to fit without searching again.
 FROZEN: dict[str, dict] = {
@@ -172,15 +176,42 @@ def cross_validate(
 
 def random_search(
     train: DataFrame, spec: FeatureSpec, classifier, grid: Mapping[str, Sequence],
-    iterations: int = 25, folds: int = 3, parallelism: int = 2, seed: int = SEED,
+    iterations: int = 25, folds: int = 3, parallelism: int = 2, seed: int = SEED, shares: Sequence[float | None] = (),
 ) -> CrossValidatorModel:
-    """Cross-validation over a seeded choice of the grid's combinations."""
+    """Cross-validation over a seeded choice of the grid's combinations.
+
+    With ``shares`` the weight of the positives is searched too: each share of the raw imbalance
+    is a weight column of its own, and which column a candidate uses is one more parameter.
+    """
+    weighted = with_class_weights(train, spec.label)
+    if shares:
+        weighted = with_positive_weights(weighted, spec.label, shares)
+        grid = {**grid, "weightCol": [weight_column(s) for s in shares]}
     maps = param_maps(classifier, grid)
     chosen = random.Random(seed).sample(maps, min(iterations, len(maps)))
-    weighted = with_class_weights(train, spec.label)
     return _cross_validator(spec, classifier, chosen, folds, parallelism).fit(weighted)
 
 
+def weight_column(share: float | None) -> str:
+    return "poids_egal" if share is None else f"poids_{int(round(share * 100))}"
+
+
+def with_positive_weights(df: DataFrame, label: str, shares: Sequence[float | None]) -> DataFrame:
+    """A weight column per share: positives weigh share x (negatives / positives), negatives 1."""
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    ratio = sizes.get(0, 0) / max(sizes.get(1, 0), 1)
+    return df.withColumns({
+        weight_column(s): F.when(F.col(label) == 1, F.lit(1.0 if s is None else ratio * s)).otherwise(F.lit(1.0)) for s in shares
+    })
+
+
+def fit_undersampled(train: DataFrame, spec: FeatureSpec, classifier, seed: int = SEED) -> PipelineModel:
+    """Fit on a sample in which every class is about as large as the smallest, without class weights."""
+    fractions = balance_fractions(train, spec.label)
+    sampled = materialise(stratified_sample(train, spec.label, fractions, seed).withColumn(WEIGHT, F.lit(1.0)), "undersampled")
+    return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(sampled)
+
+
 def search_imbalance_weight(
     train: DataFrame, valid: DataFrame, spec: FeatureSpec, classifier, shares: Sequence[float] = (0.25, 0.5, 1.0)
 ) -> DataFrame:

@@ -178,6 +178,8 @@ _CLEAN_AMOUNTS = ["solde_moyen", "solde_min", "solde_max", "depot_moyen", "flux_
                   "montant_moyen_gab", "montant_total_retraits", "montant_total_payfac", "montant_total_vignette"]
 _OUT_AMOUNTS = [c for c in _CLEAN_AMOUNTS if c not in ("solde_max", "flux_cred_moyen")]
 _TRAIN = "substr(md5(radical), 1, 4) < 'cccc'"
+_CAPPED = {"NOMBRE_ENFANT": "enfants > 12", "nb_mois_observes_solde": "nb_mois_observes_solde > 36"}
+_FLAGS = [f"{c}_etait_extreme" for c in (*_CAPPED, *_CLEAN_AMOUNTS)]
 
 
 def _clean_sql(final: str) -> str:
@@ -192,6 +194,12 @@ def _clean_sql(final: str) -> str:
 
     cut = ", ".join(
         f"CASE WHEN {c} < {low(c)} THEN {low(c)} WHEN {c} > {high(c)} THEN {high(c)} ELSE {c} END AS {c}" for c in _CLEAN_AMOUNTS)
+    caps = ", ".join(f'CAST(coalesce({rule}, false) AS INTEGER) AS "{c}_etait_extreme"' for c, rule in _CAPPED.items())
+    flags = ", ".join(
+        f"""CASE WHEN (SELECT count(*) FROM bounds WHERE colonne = '{c}') = 0 THEN NULL WHEN {c} < {low(c)} OR {c} > {high(c)} THEN 1 ELSE 0 END AS "{c}_etait_extreme" """
+        for c in _CLEAN_AMOUNTS)
+    long_flags = " UNION ALL ".join(f"""SELECT '{f}' AS flag, "{f}" AS f, label_eligibilite AS y FROM flagged WHERE is_train""" for f in _FLAGS)
+    kept = ", ".join(f"""CASE WHEN NOT (SELECT dropped FROM verdicts WHERE flag = '{f}') THEN "{f}" END AS "{f}" """ for f in _FLAGS)
     return roles.with_roles("dataset") + f""",
     filled AS (SELECT radical, gender, code_ville, bpr, coalesce(enfants, 0) AS enfants, coalesce(marital, 'NON_RENSEIGNE') AS marital,
         coalesce(rating, 'NON_RENSEIGNE') AS rating, coalesce(pack_actuel, 'SANS_PACK') AS pack_actuel, coalesce(pack_etat, 'SANS_ETAT') AS pack_etat,
@@ -199,12 +207,12 @@ def _clean_sql(final: str) -> str:
         CAST(digital_date_activation IS NULL AS INTEGER) AS jamais_active_digital, CAST(derniere_operation_gab IS NULL AS INTEGER) AS jamais_utilise_gab,
         anciennete_digitale_jours, recence_gab_jours, solde_moyen, solde_min, solde_max, nb_mois_observes_solde, flux_cred_moyen, flux_cred_total,
         nb_mois_avec_flux, nb_operations_gab, montant_total_gab, nb_retraits, montant_total_retraits, nb_paiements_digitaux, montant_total_payfac,
-        nb_vignettes_payees, montant_total_vignette, label_eligibilite, label_nom, {_TRAIN} AS is_train
+        nb_vignettes_payees, montant_total_vignette, label_eligibilite, label_code, label_nom, {_TRAIN} AS is_train
       FROM dataset WHERE bpr IS NOT NULL AND gender IS NOT NULL),
     med AS (SELECT quantile_disc(anciennete_digitale_jours, 0.5) AS m1, quantile_disc(recence_gab_jours, 0.5) AS m2 FROM filled WHERE is_train),
     possible AS (SELECT * REPLACE (greatest(least(enfants, 12), 0) AS enfants, least(nb_mois_observes_solde, 36) AS nb_mois_observes_solde),
         coalesce(anciennete_digitale_jours, (SELECT m1 FROM med)) AS anciennete_digitale_jours_imp,
-        coalesce(recence_gab_jours, (SELECT m2 FROM med)) AS recence_gab_jours_imp
+        coalesce(recence_gab_jours, (SELECT m2 FROM med)) AS recence_gab_jours_imp, {caps}
       FROM filled WHERE NOT is_train OR age_client BETWEEN 16 AND 100),
     long AS ({long}),
     z AS (SELECT colonne, count(*) FILTER (v = 0)::DOUBLE / count(*) AS zs FROM long GROUP BY 1),
@@ -212,26 +220,35 @@ def _clean_sql(final: str) -> str:
       FROM long JOIN z USING (colonne) WHERE zs < 0.5 OR v > 0 GROUP BY 1),
     bounds AS (SELECT colonne, CASE WHEN zs >= 0.5 THEN least(q1 - (q3 - q1) * 1.5, 0.0) ELSE q1 - (q3 - q1) * 1.5 END AS borne_min,
       q3 + (q3 - q1) * 1.5 AS borne_max FROM q WHERE n >= 10 AND q3 <> q1),
-    cut AS (SELECT * REPLACE ({cut}) FROM possible),
+    flagged AS (SELECT *, {flags} FROM possible),
+    turned_on AS (SELECT flag, count(*)::DOUBLE AS n, count(*) FILTER (f = 1)::DOUBLE AS n_on, count(*) FILTER (f = 1 AND y = 1)::DOUBLE AS n_both, count(*) FILTER (y = 1)::DOUBLE AS n_pos
+      FROM ({long_flags}) GROUP BY 1),
+    verdicts AS (SELECT flag, n_on / n < 0.03 AND NOT coalesce(lift >= 1.5 OR lift <= 1 / 1.5, false) AS dropped
+      FROM (SELECT *, (n_both / nullif(n_on, 0)) / nullif(n_pos / n, 0) AS lift FROM turned_on)),
+    cut AS (SELECT * REPLACE ({cut}) FROM flagged),
     vol AS (SELECT *, CASE WHEN solde_moyen > 0 THEN (solde_max - solde_min) / solde_moyen END AS vr, CASE WHEN solde_moyen <= 0 THEN 1 ELSE 0 END AS vi FROM cut),
     vmed AS (SELECT quantile_disc(vr, 0.5) AS m FROM vol WHERE is_train)
     SELECT radical AS "RADICAL", gender AS "GENDER", code_ville AS "CODE_VILLE", bpr AS "BPR", enfants AS "NOMBRE_ENFANT", marital AS "MARITAL_STATUS",
       rating AS "CUSTOMER_RATING", pack_actuel, pack_etat, age_client, jamais_active_digital, jamais_utilise_gab, anciennete_digitale_jours_imp,
       recence_gab_jours_imp, nb_mois_observes_solde, {', '.join(_COUNT_COLUMNS)}, {', '.join(_OUT_AMOUNTS)},
-      vi AS solde_volatilite_indefinie, coalesce(vr, (SELECT m FROM vmed)) AS solde_volatilite_relative_imp, label_eligibilite
+      vi AS solde_volatilite_indefinie, coalesce(vr, (SELECT m FROM vmed)) AS solde_volatilite_relative_imp, label_eligibilite,
+      label_code, label_nom, CAST(NULL AS VARCHAR) AS "TAILLE_ENTREPRI", {kept}
     FROM vol WHERE {final}"""
 
 
 _CLEAN_COLUMNS = [
     "RADICAL", "GENDER", "CODE_VILLE", "BPR", "NOMBRE_ENFANT", "MARITAL_STATUS", "CUSTOMER_RATING", "pack_actuel", "pack_etat", "age_client",
     "jamais_active_digital", "jamais_utilise_gab", "anciennete_digitale_jours_imp", "recence_gab_jours_imp", "nb_mois_observes_solde",
-    *_COUNT_COLUMNS, *_OUT_AMOUNTS, "solde_volatilite_indefinie", "solde_volatilite_relative_imp", "label_eligibilite",
+    *_COUNT_COLUMNS, *_OUT_AMOUNTS, "solde_volatilite_indefinie", "solde_volatilite_relative_imp", "label_eligibilite", "label_code", "label_nom",
 ]
 
 
 def _clean_columns(df):
-    """Columns that stay whatever is learned (rare flags may or may not be dropped)."""
-    return df.select(*_CLEAN_COLUMNS)
+    """Every column; one that was learned to be left out (a rare flag, a constant) is NULL."""
+    def learned_column(name, kind):
+        return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+
+    return df.select(*_CLEAN_COLUMNS, learned_column("TAILLE_ENTREPRI", "string"), *[learned_column(f, "int") for f in _FLAGS])
 
 
 def _train_and_rest(spark, sf):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 """Text bytes that a task works on at a time; bounds the arrays derived from them."""
 
 CACHE_WORDS = 150_000

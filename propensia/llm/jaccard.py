@@ -2,9 +2,9 @@
 
 Documents with the same shingle set are one node. Nodes that can be linked at all are first brought
 together by an exact pigeonhole argument: two sets of sizes a and b with Jaccard similarity at least t
-differ in at most (1-t)/(1+t)*(a+b) shingles, so when the shingle universe is cut by hash into more
-parts than that, some part holds the same shingles in both. Equal parts are found by one shuffle of
-short keys; the connected candidates form a block, and different blocks cannot hold a link.
+differ in at most (1-t)/(1+t)*(a+b) shingles, so when the shingle universe (without frequent shingles) is
+cut by hash into more parts than that, some part holds the same shingles in both. Equal parts are found by
+one shuffle of short keys; the connected candidates form a block, and different blocks cannot hold a link.
 
 Inside a block the signature tree decides: leaves hold documents ordered by set size, every node holds
 the OR of its documents' token bitmaps, its range of sizes and its largest number of tokens that share a
@@ -92,45 +92,52 @@ class KeyPlan:
             self._parts[c] = (math.ceil(1.12 * (differ + 1)) + 2, differ)
         return self._parts[c]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """64-bit keys; two linked sets share at least one.
+    def keys(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """64-bit keys; two linked sets share at least one. ``common`` marks frequent shingles.
 
-        As smaller set of a pair a document also takes part in the next class. Parts that are empty in both
-        sets prove nothing. A set with more filled parts than can differ vouches for all its pairs alone; one
-        without adds the single shingles of its prefix under hash order, so that two such sets meet there.
+        Only shingles that are not frequent are cut into parts: leaving some out of both sets cannot make them
+        differ in more places, and passages that many documents share bring nobody together. As smaller set of
+        a pair a document also takes part in the next class. Parts that are empty in both sets prove nothing.
+        A set with more filled parts than can differ vouches for all its pairs alone; one without adds the
+        single shingles of its prefix (rare ones first, then hash order), so that two such sets meet there.
         """
         n = len(s)
         c, out = _classes(n, self.t), []
+        rare = s[~common]
         for k in (c, c + 1):
             parts, differ = self.parts(k)
             tag = np.uint64(mix(np.array([k + 1], np.uint64))[0])
-            part = (s >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            own = part[order]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            with np.errstate(over="ignore"):
-                out.append(mix(np.add.reduceat(mix(s[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag)
+            filled = 0
+            if len(rare):
+                part = (rare >> np.uint64(20)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                own = part[order]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                filled = len(first)
+                with np.errstate(over="ignore"):
+                    out.append(mix(np.add.reduceat(mix(rare[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag)
             # Equal parts are at least parts - differ; empty ones among them at most parts - filled.
-            if len(first) - differ >= 1:
+            if filled - differ >= 1:
                 continue
             prefix = n - -(-self.t[0] * n // self.t[1]) + 1
-            out.append(mix(np.sort(mix(s))[:prefix] ^ np.uint64(0x5851F42D4C957F2D)) ^ tag)
+            ordered = np.concatenate([np.sort(mix(rare)), np.sort(mix(s[common]))])
+            out.append(mix(ordered[:prefix] ^ np.uint64(0x5851F42D4C957F2D)) ^ tag)
         return np.concatenate(out)
 
 
 _KEY_SCHEMA = "shard int, nodes binary, rows binary, keys binary"
 
 
-def _emit_keys(shingle: int, t: Threshold, shards: int):
+def _emit_keys(shingle: int, t: Threshold, shards: int, frequent):
     def run(batches):
-        plan, hashes = KeyPlan(t), WordHashes()
+        plan, hashes, often = KeyPlan(t), WordHashes(), frequent.value
         nodes, keys, seen, held = [], [], set(), 0
         for _, texts in chunks(batches):
             for text in texts:
                 s = shingle_set(text, shingle, hashes)
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    own = plan.keys(s)
+                    own = plan.keys(s, often[_bucket(s)])
                     nodes.append(node)
                     keys.append(own)
                     held += len(own)
@@ -143,6 +150,55 @@ def _emit_keys(shingle: int, t: Threshold, shards: int):
     return run
 
 
+BUCKETS = 1 << 20
+"""Counters that shingles are hashed into to tell the frequent ones; the same table for every document."""
+
+FREQUENT = 8
+"""A shingle is frequent when its counter exceeds this times the mean counter, and 64. Any fixed choice keeps
+the keys complete; this one decides how large the blocks around common passages can get."""
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(40)) % np.uint64(BUCKETS)
+
+
+def _count_shingles(shingle: int):
+    """Counters of a task, those that are not 0."""
+    def run(batches):
+        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        for _, texts in chunks(batches):
+            for text in texts:
+                s = shingle_set(text, shingle, hashes)
+                if len(s):
+                    np.add.at(total, _bucket(s), 1)
+        # 256 counters travel as one row.
+        rows = total.reshape(-1, 256)
+        at = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in rows[at]], pa.binary())], ["at", "counts"])
+
+    return run
+
+
+def _add_counters(batches):
+    for (at,), rows in rows_by_key(batches):
+        total = np.zeros(256, np.int64)
+        for (packed,) in rows:
+            total += np.frombuffer(packed, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
+
+
+def frequent_shingles(source: DataFrame, shingle: int) -> np.ndarray:
+    """For each counter whether its shingles are frequent, from all documents; BUCKETS flags reach the driver."""
+    counted = source.mapInArrow(_count_shingles(shingle), "at int, counts binary")
+    parts = partitions_for(source.sparkSession, 0, 1)
+    summed = counted.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_add_counters, "at int, counts binary").collect()
+    total = np.zeros((BUCKETS // 256, 256), np.int64)
+    for at, packed in summed:
+        total[at] = np.frombuffer(packed, np.int64)
+    total = total.ravel()
+    return total > max(64, FREQUENT * total.mean())
+
+
 def _sharded(nodes: list[int], keys: list[np.ndarray], shards: int) -> pa.RecordBatch:
     """One row per shard: its nodes, and 40-bit keys with the place of their node in that list.
 
@@ -355,7 +411,8 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
     total = described.agg(F.sum("n")).first()[0] or 0
     rows = total * 3.0 * (t[1] - t[0]) / (t[1] + t[0])
     shards = partitions_for(spark, rows, 500_000)
-    keys = source.mapInArrow(_emit_keys(shingle, t, shards), _KEY_SCHEMA).repartition(shards, "shard").sortWithinPartitions("shard")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(source, shingle))
+    keys = source.mapInArrow(_emit_keys(shingle, t, shards, frequent), _KEY_SCHEMA).repartition(shards, "shard").sortWithinPartitions("shard")
     candidates = materialise(keys.mapInArrow(_candidate_edges, "a bigint, b bigint").distinct(), "jaccard-candidates")
     blocks = components(candidates, "jaccard-blocks").withColumnRenamed("component", "block")
 

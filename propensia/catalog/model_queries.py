@@ -510,9 +510,16 @@ def resample_tomek_links(spark, sf):
     return resample.tomek_links(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").select("id_a", "id_b")
 
 
-@query("resample_tomek_lsh")
+@query("resample_tomek_lsh", _LINKS + " SELECT count(*) AS n_links, true AS recall_ok, true AS precision_ok FROM links")
 def resample_tomek_lsh(spark, sf):
-    return resample.tomek_links_lsh(table(spark, sf, "embeddings"), "vec_id", "label", "embedding", bucket_length=4.0)
+    """The approximate links beside the exact ones: nine tenths of each are in the other."""
+    vectors = table(spark, sf, "embeddings")
+    exact = materialise(resample.tomek_links(vectors, "vec_id", "label", "embedding").select("id_a", "id_b"), "exact")
+    near = materialise(resample.tomek_links_lsh(vectors, "vec_id", "label", "embedding", bucket_length=4.0).select("id_a", "id_b"), "approximate")
+    common = near.join(exact, ["id_a", "id_b"], "left_semi").count()
+    n_near = near.count()
+    return exact.agg(F.count("*").alias("n_links")).select(
+        "n_links", (F.lit(common) >= 0.9 * F.col("n_links")).alias("recall_ok"), F.lit(common >= 0.9 * n_near).alias("precision_ok"))
 
 
 @query("resample_tomek_clean", _LINKS + """,

@@ -12,7 +12,7 @@ from propensia.operators import joins, sets, windows
 from propensia.operators.association import correlation_pairs, strong_pairs
 from propensia.operators.evaluate import cumulative_confusion
 from propensia.operators.learned import class_weights
-from propensia.operators.quantiles import approx_quantiles, exact_quantiles
+from propensia.operators.quantiles import approx_quantiles, exact_quantiles, long_values
 from propensia.plans.dataset import REFERENCE_DATE, current_pack, savings_target
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -238,9 +238,19 @@ def agg_quantiles_disc(spark, sf):
     return exact_quantiles(table(spark, sf, "lineitem"), LINE_NUMBERS, _FIVE)
 
 
-@query("agg_quantiles_approx")
+@query("agg_quantiles_approx", f"""
+    SELECT col AS "column", count(*) AS n, 1 AS within_error FROM ({_unpivot_sql(LINE_NUMBERS, 'lineitem')}) GROUP BY 1""")
 def agg_quantiles_approx(spark, sf):
-    return approx_quantiles(table(spark, sf, "lineitem"), LINE_NUMBERS, _FIVE)
+    """The sketch beside the data: each quantile's true rank is within the stated error of the one asked for."""
+    lines, error = table(spark, sf, "lineitem"), 0.01
+    found = approx_quantiles(lines, LINE_NUMBERS, _FIVE, relative_error=error)
+    placed = long_values(lines, LINE_NUMBERS).join(F.broadcast(found), "column")  # one row per column of the schema
+    ranks = placed.groupBy("column").agg(
+        F.count("*").alias("n"), *[e for q in _FIVE for e in (F.count_if(F.col("value") < F.col(q)).alias(f"{q}_below"), F.count_if(F.col("value") <= F.col(q)).alias(f"{q}_upto"))])
+    within = F.lit(True)
+    for q, p in _FIVE.items():
+        within = within & (F.col(f"{q}_below") <= (p + error) * F.col("n") + 1) & (F.col(f"{q}_upto") >= (p - error) * F.col("n") - 1)
+    return ranks.select("column", "n", within.cast("int").alias("within_error"))
 
 
 @query("agg_mean_by_class", f"""

@@ -364,6 +364,50 @@ def _cross_links(t: Threshold):
     return run
 
 
+SKETCH_BITS = 2048
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of SKETCH_BITS hash cells.
+
+    A shingle that only one of two sets has flips one cell, so sketches differ in at most as many cells as
+    the sets differ in shingles.
+    """
+    cells = np.bincount(((s >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def _needed(t: Threshold):
+    """Documents of a tile pair that may have a link to a document of another class on the other side.
+
+    Rows (pair, side, label, node, doc_id, n, sketch) sorted by the first; the sketches bound the difference
+    of two sets from below, so whoever is left out has no such link.
+    """
+    p, q = t
+
+    def run(batches):
+        for (pair,), rows in rows_by_key(batches):
+            sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+            if not sides[0] or not sides[1]:
+                continue
+            names = {label: i for i, label in enumerate({r[1] for r in rows})}
+            label, n, sketch = zip(*((np.array([names[r[1]] for r in x]), np.array([r[4] for r in x]), np.frombuffer(b"".join(r[5] for r in x), np.uint64).reshape(len(x), -1)) for x in sides), strict=True)
+            wanted = [np.zeros(len(x), bool) for x in sides]
+            for a in range(0, len(sides[0]), 32):
+                part = slice(a, a + 32)
+                m = n[0][part, None] + n[1][None]
+                differ = np.bitwise_count(sketch[0][part, None] ^ sketch[1][None]).sum(2, dtype=np.int64)
+                may = (label[0][part, None] != label[1][None]) & (differ * (p + q) <= (q - p) * m) & (q * n[0][part, None] >= p * n[1][None]) & (q * n[1][None] >= p * n[0][part, None])
+                wanted[0][part] |= may.any(1)
+                wanted[1] |= may.any(0)
+            kept = [r for x, w in zip(sides, wanted, strict=True) for r, keep in zip(x, w.tolist(), strict=True) if keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[3] for r in kept], pa.int64()), pa.array([pair] * len(kept), pa.int64()), pa.array([r[0] for r in kept], pa.int32()), pa.array([r[1] for r in kept], pa.int64()), pa.array([r[2] for r in kept], pa.int64())],
+                ["doc_id", "pair", "side", "label", "node"])
+
+    return run
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
@@ -382,12 +426,13 @@ def _describe(shingle: int):
     return run
 
 
-def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Rows of ``wanted`` (with a doc_id) with the shingle set of their document, made again from its text.
+def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int, sketched: bool = False) -> DataFrame:
+    """Rows of ``wanted`` (with a doc_id) with the shingle set of their document, made again from its text,
+    or with the set's parity sketch.
 
     The wanted ids are broadcast only up to BROADCAST_ROWS of them, counted; beyond, both sides are shuffled.
     """
-    names = [c for c in wanted.columns if c != "doc_id"]
+    names, make = [c for c in wanted.columns if c != "doc_id"], parity_sketch if sketched else np.ndarray.tobytes
     small = wanted.count() <= BROADCAST_ROWS
     joined = source.join(F.broadcast(wanted) if small else wanted, "doc_id").select(*names, "text")
 
@@ -396,7 +441,7 @@ def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             at, keys = 0, batch.select(names)
             for _, texts in chunks([pa.RecordBatch.from_arrays([batch.column(0), batch.column("text")], ["k", "t"])]):
-                sets = [shingle_set(x, shingle, hashes).tobytes() for x in texts]
+                sets = [make(shingle_set(x, shingle, hashes)) for x in texts]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sets)) for c in keys.columns), pa.array(sets, pa.binary())], [*names, "shingles"])
                 at += len(sets)
 
@@ -455,8 +500,12 @@ def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int,
     # A document of the main class is needed only where the other tile has one astray.
     left = named.join(pairs.select("block", "tile", "pair", F.col("astray2").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(0))
     right = named.join(pairs.select("block", F.col("tile2").alias("tile"), "pair", F.col("astray").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(1))
-    sides = materialise(left.unionByName(right).filter("needed or astray").select("doc_id", "pair", "side", "label", "node"), "jaccard-sides")
+    sketches = materialise(_with_sets(source, large.select("doc_id", F.col("node").alias("sketched")), shingle, True).dropDuplicates(["sketched"]), "jaccard-sketches")
+    sides = left.unionByName(right).filter("needed or astray").select("pair", "side", "label", "node", "doc_id", "n").join(sketches, F.col("node") == F.col("sketched"))
     parts = partitions_for(spark, pairs.count(), 8)
+    sides = sides.select("pair", "side", "label", "node", "doc_id", "n", "shingles").repartition(parts, "pair").sortWithinPartitions("pair")
+    # Sketches tell who may have a link across; only their sets are sent.
+    sides = materialise(sides.mapInArrow(_needed(t), "doc_id bigint, pair bigint, side int, label bigint, node bigint"), "jaccard-sides")
     return _with_sets(source, sides, shingle).repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_cross_links(t), "a bigint, b bigint")
 
 

@@ -322,6 +322,43 @@ def test_fertility_measures():
     assert fertility.dominant_script("привет мир".encode()) == "cyrillic" and fertility.dominant_script(b"123") == "other"
 
 
+NATURAL = {
+    "en": "The keeper of the old lighthouse climbed the stairs every evening, lit the lamp and watched the ships pass slowly along the coast until the morning wind drove the fog back over the sea.",
+    "fr": "Les élèves étaient très fatigués après la journée à l'école, mais ils ont préféré rester près de la forêt où le père de Zoé leur a raconté l'histoire d'un hérisson égaré.",
+    "de": "Die Größe der Häuser überraschte die Gäste, während die Bürger über die schönen Straßen und die großen Plätze sprachen. Später gingen sie müde nach Hause und träumten von früher.",
+    "es": "El niño pequeño corrió por la montaña mientras su mamá preparaba la comida. Después, los señores del pueblo cantaron una canción sobre el corazón y todos bailaron hasta la mañana.",
+}
+
+
+def letters(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n))
+
+
+def test_quality_bands_reject_noise_and_mojibake(spark):
+    rng = random.Random(8)
+    texts = [(i, letters(rng, 30 * (i + 1)), ["en", "fr", "de", "es", None][i % 5]) for i in range(50)]
+    texts += [(100 + i, t, lang) for i, (lang, t) in enumerate(NATURAL.items())]
+    texts += [(200, NATURAL["de"].encode().decode("latin-1"), "de"), (201, None, "de")]
+    kept = {r.doc_id for r in fertility.keep_good(spark.createDataFrame(texts, "doc_id long, text string, lang string"), PIECES).collect()}
+    assert kept == {100, 101, 102, 103}
+
+
+def test_quality_fences_are_counted_on_the_table(spark):
+    """Text that the absolute bands let pass is rejected where it lies apart from the table's own documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    clean = [r for r in docs.filter("lang = 'en'").collect() if not plain.quality_counts(r.text)[-1] and 120 < len(r.text.split()) < 300]
+    broken = [(10**6 + i, " ".join(w if k % 3 else letters(rng, 1) for k, w in enumerate(r.text.split())), "en") for i, r in enumerate(clean[:20])]
+    natural = [(2 * 10**6 + i, t, lang) for i, (lang, t) in enumerate(NATURAL.items())]
+    both = docs.unionByName(spark.createDataFrame(broken + natural, docs.schema))
+    got = {r.doc_id: r for r in fertility.quality_report(both, PIECES).collect()}
+    assert sum(got[i].kept for i, _, _ in broken) <= 4 and all(got[i].kept for i, _, _ in natural)
+    assert any(fertility.within(fertility.BANDS["en"], (got[i].chars_per_token, got[i].byte_share, got[i].entropy), got[i].n_tokens) for i, _, _ in broken)
+    own = [r for i, r in got.items() if i < 10**6 and not r.base_failed]
+    assert sum(not r.kept for r in own) <= 0.06 * len(own)
+    assert sorted(r.doc_id for r in fertility.keep_good(both, PIECES).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
 # ---- 9 Jaccard
 
 

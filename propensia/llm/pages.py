@@ -1,10 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone: its length, the
-share of stop words, the share of its characters inside links, and the element it stands in. Blocks in menus,
-forms, adverts and the like and blocks of links are boilerplate; long enough prose is content; what is too
-short or has too few stop words stays undecided. The second pass lets undecided blocks inherit from the
-nearest decided blocks on either side, first of all those of the same article element.
+share of stop words, the share of its characters inside links, and the element it stands in. Blocks in menu
+and form elements, readers' comments and blocks of links are boilerplate; long enough prose is content; what is
+too short or has too few stop words stays undecided. Names that hint at boilerplate (class, id, role) are
+evidence: long dense prose with few links outvotes them, and so does an element that holds most of the page's
+prose. The second pass lets undecided blocks inherit from the nearest decided blocks on either side, first of
+all those of the same article element. Article elements count only where they hold most of the page's prose;
+long dense prose outside of them is content even then.
 """
 
 from __future__ import annotations
@@ -41,10 +44,20 @@ HINTS = set(
     "side footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social follow "
     "related recommended widget copyright legal disclaimer header".split())
 READERS = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"}
+# Words that say nothing beside a hint: "related-posts" hints as "related" does, "page-header" or "has-sidebar" do not.
+NEUTRAL = set("area bar block bottom box button buttons container icons inner item items left links list module outer panel post posts right section site slot thread top unit user wrap wrapper".split())
 
 LEAST_WORDS = 8
 LEAST_STOP_SHARE = 0.12
 MOST_LINK_SHARE = 0.4
+# What prose must have to outvote a hint or an article elsewhere on the page.
+STRONG_WORDS = 40
+STRONG_STOP_SHARE = 0.2
+STRONG_LINK_SHARE = 0.1
+# Characters of prose from which an element can be what the page is about.
+LEAST_HELD = 200
+# Nested hinting elements that are told apart; any deeper ones count with these.
+MOST_HINTS = 16
 
 _STOP = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 _TAG = re.compile(
@@ -55,39 +68,46 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _HINT_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 GOOD, BAD, OPEN = 1, 0, -1
+WEAK, STRONG = 1, 2
 
 
 class Block:
-    __slots__ = ("text", "linked", "article", "label")
+    __slots__ = ("text", "linked", "article", "hints", "label")
 
-    def __init__(self, text: str, linked: int, article: int, boilerplate: bool):
-        self.text, self.linked, self.article = text, linked, article
+    def __init__(self, text: str, linked: int, article: int, boilerplate: bool, hints: tuple[int, ...] = ()):
+        self.text, self.linked, self.article, self.hints = text, linked, article, hints
         self.label = BAD if boilerplate else OPEN
 
 
 def _hinted(attributes: str) -> str:
-    """What an element's class, id or role says: ``readers``, ``boilerplate`` or nothing."""
-    words = set()
+    """What an element's class, id or role says: ``readers``, ``boilerplate`` or nothing. Whole names count, not parts of them."""
+    said = ""
     for m in _NAMED.finditer(attributes):
-        words.update(w.lower() for w in _HINT_WORDS.findall(m[1] or m[2] or m[3] or ""))
-    return "readers" if words & READERS else "boilerplate" if words & HINTS else ""
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _HINT_WORDS.findall(name)}
+            if words <= HINTS | READERS | NEUTRAL:
+                if words & READERS:
+                    return "readers"
+                if words & HINTS:
+                    said = "boilerplate"
+    return said
 
 
 def cut(page: str) -> list[Block]:
     """The blocks of a page in order, each with its white space as single spaces and references decoded."""
     blocks: list[Block] = []
     text: list[str] = []
-    linked, in_link, articles = 0, 0, 0
-    # Open elements: (name, inside boilerplate, number of the article or 0, what the element says).
-    stack: list[tuple[str, bool, int, str]] = []
+    linked, in_link, articles, hinted = 0, 0, 0, 0
+    # Open elements: (name, inside boilerplate, number of the article or 0, what the element says, numbers of the hinting elements around).
+    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
     hidden = 0
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            top = stack[-1] if stack else ("", False, 0, "")
-            blocks.append(Block(joined, linked, top[2], top[1]))
+            top = stack[-1] if stack else ("", False, 0, "", ())
+            blocks.append(Block(joined, linked, top[2], top[1], top[4]))
         text.clear()
         linked = 0
 
@@ -136,19 +156,22 @@ def cut(page: str) -> list[Block]:
         close()
         if name in VOID:
             continue
-        bad, article, said = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, "")
-        if name in ARTICLE and said not in ("readers", "element"):
+        bad, article, said, hints = stack[-1][1:] if stack else (False, 0, "", ())
+        own = ""
+        if name in ARTICLE and not bad:
             own = _hinted(m["attr"])
             if not article:
                 articles += 1
                 article = articles
-            bad, said = (True, "readers") if own == "readers" else (False, "")
         elif name in BOILERPLATE or (name == "header" and not article):
             bad, said = True, "element"
         elif name not in ("html", "body") and not (name == "header" and article):
             own = _hinted(m["attr"])
-            if own and not (bad and said in ("readers", "element")):
-                bad, said = True, own
+        if own == "readers" and not bad:
+            bad, said = True, own
+        elif own == "boilerplate" and len(hints) < MOST_HINTS:
+            hinted += 1
+            hints = (*hints, hinted)
         if name in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):
             # These end where the next one begins, whether they were closed or not.
             for i in range(len(stack) - 1, -1, -1):
@@ -157,23 +180,54 @@ def cut(page: str) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body"):
                     break
-        stack.append((name, bad, article, said))
+        stack.append((name, bad, article, said, hints))
     data(page[at:])
     close()
     return blocks
 
 
-def decide(block: Block) -> int:
-    """First pass: the block by itself."""
-    if block.label == BAD:
-        return BAD
-    solid = len(block.text) - block.text.count(" ")
-    if block.linked > MOST_LINK_SHARE * solid:
-        return BAD
+def prose(block: Block) -> int:
+    """The words of a block by themselves: ``STRONG``, ``WEAK`` or 0 (not prose)."""
     words = re.findall(r"[^\W\d_]+", block.text.lower())
-    if len(words) >= LEAST_WORDS and max(sum(w in stop for w in words) for stop in _STOP.values()) >= LEAST_STOP_SHARE * len(words):
-        return GOOD
-    return OPEN
+    if len(words) < LEAST_WORDS:
+        return 0
+    stops, solid = max(sum(w in stop for w in words) for stop in _STOP.values()), len(block.text) - block.text.count(" ")
+    if len(words) >= STRONG_WORDS and stops >= STRONG_STOP_SHARE * len(words) and block.linked <= STRONG_LINK_SHARE * solid:
+        return STRONG
+    return WEAK if stops >= LEAST_STOP_SHARE * len(words) and block.linked <= MOST_LINK_SHARE * solid else 0
+
+
+def decide(blocks: list[Block]) -> list[int]:
+    """First pass: each block by itself, then hints and articles by what they hold of the page's prose."""
+    kinds = [0 if b.label == BAD else prose(b) for b in blocks]
+    out = [b.label == BAD or b.linked > MOST_LINK_SHARE * (len(b.text) - b.text.count(" ")) for b in blocks]
+    # Characters of prose, and of all text that is not out, on the page and in each hinting element.
+    held: dict[int, list[int]] = {0: [0, 0]}
+    for b, k, gone in zip(blocks, kinds, out, strict=True):
+        for h in () if gone else (0, *b.hints):
+            mine = held.setdefault(h, [0, 0])
+            mine[0] += len(b.text) if k else 0
+            mine[1] += len(b.text)
+    most = {h for h, mine in held.items() if mine[0] >= LEAST_HELD and all(2 * x > y for x, y in zip(mine, held[0], strict=True))}
+    labels = []
+    for b, k, gone in zip(blocks, kinds, out, strict=True):
+        if gone:
+            labels.append(BAD)
+        elif k != STRONG and not most.issuperset(b.hints):
+            labels.append(BAD)
+        else:
+            labels.append(GOOD if k else OPEN)
+    inside = sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x == GOOD and b.article)
+    good = sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x == GOOD)
+    undecided = sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x == OPEN and b.article)
+    if 2 * inside < good and (inside or undecided < good):
+        # The prose stands elsewhere: article elements are cards here and say nothing.
+        for b in blocks:
+            b.article = 0
+    elif any(b.article and x != BAD for b, x in zip(blocks, labels, strict=True)):
+        # Short prose outside of the article is teaser, notice or comment.
+        labels = [BAD if not b.article and k != STRONG else x for b, x, k in zip(blocks, labels, kinds, strict=True)]
+    return labels
 
 
 def inherit(blocks: list[Block], labels: list[int]) -> list[int]:
@@ -219,10 +273,7 @@ def main_text(page: str) -> tuple[str, int]:
     A page on which nothing is content by these rules falls back to its blocks outside of boilerplate.
     """
     blocks = cut(page)
-    labels = [decide(b) for b in blocks]
-    # With an article on the page, prose outside it is teaser, notice or comment.
-    if any(b.article and x != BAD for b, x in zip(blocks, labels, strict=True)):
-        labels = [BAD if not b.article else x for b, x in zip(blocks, labels, strict=True)]
+    labels = decide(blocks)
     final = inherit(blocks, labels)
     if GOOD not in final:
         final = [GOOD if x == OPEN else BAD for x in labels]

@@ -119,6 +119,24 @@ def test_page_rules(page, text):
     assert pages.main_text(page or "")[0] == text
 
 
+LONG = "It is the story of the town and of the people that lived in it for as long as they had the river and the mill, " * 3
+CARD = "The best of all the things that you can do in the town this year"
+
+
+@pytest.mark.parametrize("page, there, gone", [
+    # Prose in div and section beside unlinked article cards, with and without a hinting name around them.
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><section class='related'><article><h3>Card</h3><p>{CARD}</p></article></section>", [LONG], [CARD]),
+    (f"<section><p>{LONG}</p></section><div class='related-posts'><article><p>{CARD}</p></article></div>", [LONG], [CARD]),
+    # Prose outside of the article that is long, dense and not linked.
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG.replace('town', 'village')}</p></div><div><p>{CARD}</p></div>", [LONG, LONG.replace("town", "village")], [CARD]),
+    # A boilerplate name around the card of a page with an article.
+    (f"<article><p>{LONG}</p></article><div class='related'><article><p>{CARD}</p></article></div>", [LONG], [CARD]),
+])
+def test_page_articles_are_evidence(page, there, gone):
+    text = pages.main_text(page)[0]
+    assert all(x.strip() in text for x in there) and not any(x in text for x in gone)
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>é</p>", 2)], "page_id long, url string, html string, text int")
     assert rows(pages.extract_pages(df), "page_id", "url", "text", "n_chars") == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "é", 1)], key=str)

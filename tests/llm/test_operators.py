@@ -137,6 +137,17 @@ def test_page_articles_are_evidence(page, there, gone):
     assert all(x.strip() in text for x in there) and not any(x in text for x in gone)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page-header", "legal-text", "search-results", "widget", "ad"])
+def test_page_hints_are_evidence(name):
+    assert pages.main_text(f"<div class='{name}'><p>{LONG}</p><p>{CARD}</p></div><footer>Foot</footer>")[0] == f"{LONG.strip()} {CARD}"
+
+
+def test_page_names_count_as_a_whole():
+    assert pages.main_text(f"<article><div class='entry-header'><h1>A title</h1></div><p>{LONG}</p></article>")[0] == f"A title {LONG.strip()}"
+    for name in ("related", "related-posts", "site-header", "cookie-banner", "adUnit", "social_share"):
+        assert pages.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{CARD}</p></div>")[0] == f"{LONG.strip()} {LONG.strip()}"
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>é</p>", 2)], "page_id long, url string, html string, text int")
     assert rows(pages.extract_pages(df), "page_id", "url", "text", "n_chars") == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "é", 1)], key=str)

@@ -8,7 +8,8 @@ positional bounds drop windows that would start before or end behind the documen
 remaining ones are compared word by word.
 
 The item side is handled in blocks of bounded size (``BLOCK_CHARS``); each block is one pass for
-rarity and one for the join over all documents, without a shuffle of text.
+rarity and one for the join over all documents, without a shuffle of text. With several blocks the documents
+are written once with a row number, by which the findings of a row are united.
 
 Defined results: a null or empty text has no words and no hits; an empty benchmark hits nothing; an
 item without words has no window; repeated items each count; repeated document rows each get their row.
@@ -125,13 +126,15 @@ class Matcher:
         return len(words), _merged(found), sorted(ids)
 
 
-def _match(block):
+def _match(block, key_type: pa.DataType = pa.int64()):  # noqa: B008
+    schema = _SCHEMA.set(0, pa.field("doc_id", key_type))
+
     def run(batches):
         matcher = Matcher(block.value)
         for keys, texts in chunks(batches):
             n_words, spans, items = zip(*map(matcher, texts), strict=True)
             flat = [[x for pair in s for x in pair] for s in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.array(flat, _SCHEMA.field("spans").type), pa.array(items, _SCHEMA.field("items").type)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(n_words, pa.int64()), pa.array(flat, _SCHEMA.field("spans").type), pa.array(items, _SCHEMA.field("items").type)], schema=schema)
 
     return run
 
@@ -155,11 +158,18 @@ def _merge_blocks(batches):
              pa.array([sorted({i for part in doc for i in part}) for doc in items], _SCHEMA.field("items").type)], schema=_SCHEMA)
 
 
+def _items(benchmark: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text"))
+
+
+def _n_blocks(items: DataFrame, limit: int) -> int:
+    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) // limit + 1
+
+
 def _item_blocks(benchmark: DataFrame, item_key: str, item_text: str, limit: int):
     """Item rows in blocks of about ``limit`` characters; one block is on the driver at a time."""
-    items = benchmark.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = total // limit + 1
+    items = _items(benchmark, item_key, item_text)
+    n = _n_blocks(items, limit)
     if n == 1:
         yield [tuple(r) for r in items.collect()]
         return
@@ -187,17 +197,23 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """
     spark, parts = docs.sparkSession, []
     source = doc_columns(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    key_ddl, key_type = "bigint", pa.int64()
+    if _n_blocks(_items(benchmark, item_key, item_text), block_chars) > 1:
+        # Ids may repeat or be null: the row number names the row.
+        numbered = source.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text")
+        source = materialise(numbered, "benchmark-documents")
+        key_ddl, key_type = "struct<row: bigint, doc_id: bigint>", pa.struct([("row", pa.int64()), ("doc_id", pa.int64())])
     for items in _item_blocks(benchmark, item_key, item_text, block_chars):
         block = _ranked(source, ItemBlock(items, window, shingle))
-        parts.append(source.mapInArrow(_match(spark.sparkContext.broadcast(block)), "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"))
+        parts.append(source.mapInArrow(_match(spark.sparkContext.broadcast(block), key_type), f"doc_id {key_ddl}, n_words bigint, spans array<bigint>, items array<string>"))
     if len(parts) == 1:
         return parts[0]
-    # Blocks of a larger benchmark: unite the findings of a document (its id is unique then).
+    # Blocks of a larger benchmark: unite the findings of a row.
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     grouped = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return grouped.mapInArrow(_merge_blocks, "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>")
+    return grouped.withColumn("doc_id", F.col("doc_id.doc_id")).mapInArrow(_merge_blocks, "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text",

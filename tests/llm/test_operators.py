@@ -486,6 +486,15 @@ def test_passages(spark, odd_docs, odd_rows, given, no_docs):
     assert decontaminate.decontaminate(odd_docs, table.limit(0)).count() == odd_docs.count()
 
 
+def test_passages_keep_rows_over_blocks(spark):
+    """Repeated, reused and null ids: every row has its own result at any benchmark size."""
+    a, b = (" ".join(f"{x}{i}" for i in range(14)) for x in "pq")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a), (None, b), (None, "other words"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate([a, b] * 4)], "item_id string, text string")
+    whole, blocks = (rows(decontaminate.find_passages(docs, items, block_chars=n)) for n in (decontaminate.BLOCK_CHARS, 60))
+    assert len(whole) == 7 and blocks == whole
+
+
 def test_repeated_ids_keep_their_rows(odd_docs, odd_rows):
     n = len(odd_rows)
     assert personal.span_report(odd_docs).count() == licences.licence_report(odd_docs).count() == fertility.quality_report(odd_docs, PIECES).count() == n

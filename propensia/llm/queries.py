@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from propensia.llm import bpe, chat, decontaminate, fertility, jaccard, language, licences, pages, personal, scoring
+from propensia.llm import bpe, chat, collocations, decontaminate, fertility, jaccard, language, licences, packing, pages, personal, scoring, whitening
 from propensia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,42 @@ def op10(spark, sf):
     return decontaminate.passage_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+_OP11_SQL = r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    cut AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+    grams AS (SELECT lang, unnest([w[i:i], w[i:i + 1], w[i:i + 2]]) AS g, unnest([1, 2, 3]) AS k, len(w) - i + 1 AS room FROM places),
+    counts AS (SELECT lang, g, k, count(*) AS f FROM grams WHERE k <= room GROUP BY lang, g, k HAVING count(*) >= 10),
+    cuts AS (
+      SELECT c.lang, c.g, c.k, c.f AS a, l.k AS cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+      FROM counts c JOIN counts l ON l.lang = c.lang AND l.k < c.k AND l.g = c.g[1:l.k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[l.k + 1:c.k]),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    cover AS (
+      SELECT lang, g, max(f) AS f FROM (
+        SELECT lang, g[1:2] AS g, f FROM counts WHERE k = 3 UNION ALL SELECT lang, g[2:3], f FROM counts WHERE k = 3) GROUP BY lang, g),
+    kept AS (SELECT b.* FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.g = b.g WHERE c.f IS NULL OR 100 * c.f < 50 * b.a),
+    ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+    SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000"""
+
+
+@_query("op11_phrase_collocations", _OP11_SQL)
+def op11(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@_query("op12_best_fit_packing")
+def op12(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op13_embedding_whitening")
+def op13(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)

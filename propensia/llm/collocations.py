@@ -34,6 +34,9 @@ BUCKET_KEYS = 1 << 20
 SHARE = 2000
 """A word is frequent when it makes up 1/SHARE of the corpus; there are at most SHARE of them."""
 
+SHARES = 32
+"""Parts of a language's candidates that are ranked before its final ranking, which so sorts SHARES * top rows at most."""
+
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes(ord(".") if b in _BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -304,7 +307,10 @@ def collocations(
     cover = longer.select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("f")).groupBy("lang", "phrase").agg(F.max("f").alias("cover"))
     kept = scored.join(cover, ["lang", "phrase"], "left").where(F.col("cover").isNull() | (F.col("cover") * covered[1] < F.col("a") * covered[0]))
 
-    best = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = F.desc("best.score"), F.desc("a"), "phrase"
+    # the best of each share of a language first: what its last ranking sorts is bounded at any number of candidates
+    kept = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     n = totals.where("word IS NULL").select("lang", "n")
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -14,9 +13,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +21,7 @@ from propensia.operators.encode import encoder, feature_names, tree_bins
 from propensia.operators.evaluate import best_threshold, weighted_metrics
 from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights
 from propensia.operators.resample import smotenc
+from propensia.operators.search import Search, class_one_f1, draw_candidates, every_candidate, search
 from propensia.operators.sets import balance_fractions, stratified_sample
 from propensia.session import materialise
 from propensia.sources.store import load_params, params_frame, save_params
@@ -102,13 +100,6 @@ FROZEN: dict[str, dict] = {
 }
 
 
-def param_maps(classifier, grid: Mapping[str, Sequence]) -> list:
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(classifier.getParam(name), list(values))
-    return builder.build()
-
-
 # ---- fitting -------------------------------------------------------------------
 
 def with_class_weights(df: DataFrame, label: str, softened: bool = True) -> DataFrame:
@@ -152,44 +143,32 @@ def encoder_of(model: PipelineModel) -> PipelineModel:
     return PipelineModel(stages=model.stages[:-1])
 
 
-def class_one_f1() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(
-        labelCol="label_idx", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0
-    )
-
-
-def _cross_validator(spec: FeatureSpec, classifier, maps: list, folds: int, parallelism: int) -> CrossValidator:
-    # Encoders stay inside, so no fold sees another fold's categories.
-    return CrossValidator(
-        estimator=Pipeline(stages=[*spec.encoder().getStages(), classifier]),
-        estimatorParamMaps=maps, evaluator=class_one_f1(), numFolds=folds, seed=SEED, parallelism=parallelism,
-    )
-
-
 def cross_validate(
     train: DataFrame, spec: FeatureSpec, classifier, grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 2
-) -> CrossValidatorModel:
+) -> Search:
     """Grid search on class-1 F1."""
     weighted = with_class_weights(train, spec.label)
-    return _cross_validator(spec, classifier, param_maps(classifier, grid), folds, parallelism).fit(weighted)
+    return search(weighted, spec.encoder(), classifier, every_candidate(grid), folds=folds, seed=SEED, parallelism=parallelism, keep=[WEIGHT])
 
 
 def random_search(
     train: DataFrame, spec: FeatureSpec, classifier, grid: Mapping[str, Sequence],
     iterations: int = 25, folds: int = 3, parallelism: int = 2, seed: int = SEED, shares: Sequence[float | None] = (),
-) -> CrossValidatorModel:
+    lengths: Sequence[int] = (),
+) -> Search:
     """Cross-validation over a seeded choice of the grid's combinations.
 
     With ``shares`` the weight of the positives is searched too: each share of the raw imbalance
     is a weight column of its own, and which column a candidate uses is one more parameter.
+    ``lengths`` also reads every boosted fit off at those shorter numbers of rounds.
     """
-    weighted = with_class_weights(train, spec.label)
+    weighted, keep = with_class_weights(train, spec.label), [WEIGHT]
     if shares:
         weighted = with_positive_weights(weighted, spec.label, shares)
-        grid = {**grid, "weightCol": [weight_column(s) for s in shares]}
-    maps = param_maps(classifier, grid)
-    chosen = random.Random(seed).sample(maps, min(iterations, len(maps)))
-    return _cross_validator(spec, classifier, chosen, folds, parallelism).fit(weighted)
+        keep += [weight_column(s) for s in shares]
+        grid = {**grid, "weightCol": keep[1:]}
+    drawn = draw_candidates(grid, iterations, seed)
+    return search(weighted, spec.encoder(), classifier, drawn, folds=folds, seed=SEED, parallelism=parallelism, keep=keep, lengths=lengths)
 
 
 def weight_column(share: float | None) -> str:

@@ -8,7 +8,8 @@ merge has made stale are recognised when they are read. A pair that arises with
 just done is simply the next to be taken, so the result is that of merging each piece by itself, lowest rank
 first and leftmost first.
 
-Encoded pieces are remembered per task; a document is then a sequence of lookups.
+Encoded pieces are remembered by each worker process, the older half goes when they are too many; a document is then a
+sequence of lookups.
 """
 
 from __future__ import annotations
@@ -17,15 +18,22 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from array import array
 from functools import cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.llm.common import CACHE_WORDS, chunks, doc_columns
+from propensia.llm.common import chunks, doc_columns
+
+KNOWN_PIECES, KNOWN_BYTES = 250_000, 16 << 20
+"""Encoded pieces, and bytes of their ids, that a worker process keeps beside its vocabulary, whatever the number of its tasks."""
+
+TASK_BYTES = 4 << 20
+"""Text that is indexed at a time."""
 
 
 def byte_alphabet() -> list[str]:
@@ -36,70 +44,77 @@ def byte_alphabet() -> list[str]:
 
 
 class PairIndex:
-    """Merges the pieces of a batch together, rank by rank."""
+    """Merges the pieces of a batch together, rank by rank. A pair of symbols is one number, ``left << 32 | right``."""
 
     def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
-        self.ranks = ranks
-
-    def merge(self, pieces: list[list[int]]) -> list[list[int]]:
-        symbols: list[int] = []
-        ends: list[int] = []
-        for piece in pieces:
-            symbols.extend(piece)
-            symbols.append(-1)  # no pair reaches across pieces
-            ends.append(len(symbols) - 1)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int]] = {}
-        get = self.ranks.get
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-            found = get(pair)
-            if found is not None:
-                rank = found[0]
-                if rank in index:
-                    index[rank].append(i)
-                else:
-                    index[rank], pair_of[rank] = [i], pair
+        order = sorted((rank, left << 32 | right, merged) for (left, right), (rank, merged) in ranks.items())
+        self.pairs = [pair for _, pair, _ in order]  # by rank, counted without gaps
+        self.merged = [merged for _, _, merged in order]
+        self.rank_of = {pair: k for k, pair in enumerate(self.pairs)}
+        by_pair = np.array(self.pairs, np.int64)
+        self._ranks = np.argsort(by_pair, kind="stable")
+        self._sorted = by_pair[self._ranks]
+
+    def _index(self, symbols: np.ndarray) -> dict[int, list[int]]:
+        """Positions of every pair that has a rank, by rank."""
+        if not len(self._sorted):
+            return {}
+        pair = symbols[:-1] << 32 | symbols[1:]
+        pair[(symbols[:-1] < 0) | (symbols[1:] < 0)] = -1
+        at = np.minimum(np.searchsorted(self._sorted, pair), len(self._sorted) - 1)
+        places = np.flatnonzero(self._sorted[at] == pair)
+        rank = self._ranks[at[places]]
+        order = np.argsort(rank, kind="stable")
+        places, rank = places[order], rank[order]
+        cut = np.flatnonzero(np.concatenate(([len(rank) > 0], rank[1:] != rank[:-1]))) if len(rank) else np.empty(0, np.int64)
+        every, ends = places.tolist(), np.append(cut[1:], len(rank)).tolist()
+        return {r: every[i:j] for r, i, j in zip(rank[cut].tolist(), cut.tolist(), ends, strict=True)}
+
+    def merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols of pieces that lie between -1s (the first and last symbol are -1), merged; empty places are -2."""
+        index = self._index(symbols)
         active = list(index)
         heapq.heapify(active)
+        s = symbols.tolist()
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get, pop, push, pairs, new = self.rank_of.get, heapq.heappop, heapq.heappush, self.pairs, self.merged
         while active:
-            rank = heapq.heappop(active)
+            rank = pop(active)
             positions = index.pop(rank)
-            left, right = pair_of[rank]
-            merged = get((left, right))[1]
+            left, right, merged = pairs[rank] >> 32, pairs[rank] & 0xFFFFFFFF, new[rank]
+            high = merged << 32
             positions.sort()
             for i in positions:
-                if symbols[i] != left:
+                if s[i] != left:  # stale
                     continue
                 j = after[i]
-                if j >= n or symbols[j] != right:
+                if s[j] != right:
                     continue
-                symbols[i], symbols[j] = merged, -2  # the place of the second symbol is empty from now on
                 k = after[j]
+                s[i], s[j] = merged, -2
                 after[i] = k
-                if k < n:
-                    before[k] = i
-                for at, pair in ((before[i], None), (i, None)):
-                    if at < 0:
-                        continue
-                    nxt = after[at]
-                    if nxt >= n:
-                        continue
-                    pair = (symbols[at], symbols[nxt])
-                    found = get(pair)
-                    if found is not None:
-                        r = found[0]
+                before[k] = i
+                b = before[i]
+                other = s[b]
+                if other >= 0:
+                    r = get(other << 32 | merged)
+                    if r is not None:
                         if r in index:
-                            index[r].append(at)
+                            index[r].append(b)
                         else:
-                            index[r], pair_of[r] = [at], pair
-                            heapq.heappush(active, r)
-        out, start = [], 0
-        for end in ends:
-            out.append([s for s in symbols[start:end] if s >= 0])
-            start = end + 1
-        return out
+                            index[r] = [b]
+                            push(active, r)
+                other = s[k]
+                if other >= 0:
+                    r = get(high | other)
+                    if r is not None:
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
+                            push(active, r)
+        return np.array(s, np.int64)
 
 
 def _unicode_space(pattern: str) -> str:
@@ -134,6 +149,8 @@ class WordBpe:
             pair = (self.vocab[a], self.vocab[b])
             ranks.setdefault(pair, (rank, self.vocab[a + b]))
         self.index = PairIndex(ranks)
+        self.inner, self.last = (np.array([self.vocab[c + end] for c in self.alphabet], np.int64) for end in ("", self.suffix))
+        self.known: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         for step in self.steps:
@@ -160,26 +177,38 @@ class WordBpe:
                 out.extend(self.pattern.findall(self.normal(part)))
         return out
 
-    def _symbols(self, piece: str) -> list[int]:
-        chars = [self.alphabet[b] for b in piece.encode()]
-        chars[-1] += self.suffix
-        return [self.vocab[c] for c in chars]
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of the pieces, merged all together."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(sizes)
+        own = self.inner[raw]
+        own[ends - 1] = self.last[raw[ends - 1]]
+        symbols = np.full(len(raw) + len(pieces) + 1, -1, np.int64)
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        symbols[np.arange(len(raw)) + piece + 1] = own
+        done = self.index.merge(symbols)
+        alive = np.flatnonzero(done >= 0)
+        stops = (4 * np.searchsorted(alive, ends + np.arange(1, len(pieces) + 1))).tolist()  # a piece ends where its -1 stands
+        packed = done[alive].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def learn(self, pieces: set[str], known: dict[str, bytes]) -> None:
-        """Encode the pieces not yet known, all together; ``known`` starts afresh when it has grown too large."""
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        """Encode the pieces not yet known, all together; the older half goes where ``known`` has grown too large."""
+        if len(known) > KNOWN_PIECES or sum(map(len, islice(known.values(), 0, None, 64))) > KNOWN_BYTES // 64:
+            for piece in list(islice(known, len(known) // 2 + 1)):
+                del known[piece]
         fresh = [p for p in pieces if p not in known]
         for p in fresh:
             if p in self.special:
                 known[p] = self.special[p].to_bytes(4, "little")
         fresh = [p for p in fresh if p not in self.special]
-        for p, ids in zip(fresh, self.index.merge([self._symbols(p) for p in fresh]), strict=True):
-            known[p] = array("I", ids).tobytes()
+        if fresh:
+            known.update(zip(fresh, self._merge([p.encode() for p in fresh]), strict=True))
 
     def encode(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; ``known`` remembers pieces between calls."""
-        known = {} if known is None else known
+        known = self.known if known is None else known
         cut = [self.pieces(t) for t in texts]
         self.learn(set().union(*cut), known)
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
@@ -198,9 +227,9 @@ def tokenizer(path: str) -> WordBpe:
 
 def _encode(path: str):
     def run(batches):
-        bpe, known = tokenizer(path), {}
-        for keys, texts in chunks(batches):
-            packed = bpe.encode([t.decode() for t in texts], known)
+        bpe = tokenizer(path)
+        for keys, texts in chunks(batches, TASK_BYTES):
+            packed = bpe.encode([t.decode() for t in texts])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -229,9 +258,9 @@ def decode(encoded: DataFrame, path: str, *, key: str = "doc_id", ids: str = "id
 
 def _digest(path: str, with_ids: bool):
     def run(batches):
-        bpe, known = tokenizer(path), {}
-        for keys, texts in chunks(batches):
-            packed = bpe.encode([t.decode() for t in texts], known)
+        bpe = tokenizer(path)
+        for keys, texts in chunks(batches, TASK_BYTES):
+            packed = bpe.encode([t.decode() for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                  pa.array([hashlib.sha256(bpe.decode(p).encode()).hexdigest() for p in packed], pa.string()), *([pa.array(packed, pa.binary())] if with_ids else [])],

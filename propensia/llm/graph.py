@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensia.session import materialise
+from propensia.session import discard, materialise
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -27,9 +27,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # An edge between a node's lowest and another lower neighbour replaces the longer way around.
         small = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = materialise(small.filter("a <> b").distinct(), name)
-        if _digest(after) == _digest(current):
-            break
+        same = _digest(after) == _digest(current)
+        discard(current)  # its successor is written
         current = after
+        if same:
+            break
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from propensia.llm.common import WordHashes, as_signed, chunks, doc_columns, lower_ascii, mix, partitions_for, rows_by_key, space_words, window_hashes
 from propensia.llm.graph import components
-from propensia.session import materialise
+from propensia.session import discard, materialise
 
 TILE, TILE_SHINGLES = 1024, 1_500_000
 """Most documents of a block, and most shingles, that one task compares with each other."""
@@ -137,7 +137,7 @@ def _emit_keys(shingle: int, t: Threshold, shards: int, frequent):
                 s = shingle_set(text, shingle, hashes)
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    own = plan.keys(s, often[_bucket(s)])
+                    own = plan.keys(s, often[_bucket(s, len(often))])
                     nodes.append(node)
                     keys.append(own)
                     held += len(own)
@@ -150,53 +150,67 @@ def _emit_keys(shingle: int, t: Threshold, shards: int, frequent):
     return run
 
 
-BUCKETS = 1 << 20
-"""Counters that shingles are hashed into to tell the frequent ones; the same table for every document."""
+COUNTERS = (1 << 16, 1 << 24)
+"""Fewest and most counters that shingles are hashed into to tell the frequent ones; 16 to 32 shingles a counter on average
+while that many counters suffice (about half a billion shingles), so that the bound of FREQUENT does not move with the table."""
 
 FREQUENT = 8
 """A shingle is frequent when its counter exceeds this times the mean counter, and 64. Any fixed choice keeps
 the keys complete; this one decides how large the blocks around common passages can get."""
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(40)) % np.uint64(BUCKETS)
+def counters_for(total: int) -> int:
+    """Number of counters (a power of two) for so many shingles."""
+    return min(max(1 << max(0, math.ceil(math.log2(max(total, 1) / 32))), COUNTERS[0]), COUNTERS[1])
 
 
-def _count_shingles(shingle: int):
+def _bucket(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s >> np.uint64(36)) & np.uint64(counters - 1)
+
+
+def _count_shingles(shingle: int, counters: int):
     """Counters of a task, those that are not 0."""
     def run(batches):
-        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        hashes, total = WordHashes(), np.zeros(counters, np.uint32)
         for _, texts in chunks(batches):
             for text in texts:
                 s = shingle_set(text, shingle, hashes)
                 if len(s):
-                    np.add.at(total, _bucket(s), 1)
-        # 256 counters travel as one row.
+                    np.add.at(total, _bucket(s, counters), 1)
+        # 256 counters travel as one row, a byte each where that holds them.
         rows = total.reshape(-1, 256)
         at = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in rows[at]], pa.binary())], ["at", "counts"])
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            packed = [(r if r.max() > 255 else r.astype(np.uint8)).tobytes() for r in rows[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["at", "counts"])
 
     return run
 
 
-def _add_counters(batches):
-    for (at,), rows in rows_by_key(batches):
-        total = np.zeros(256, np.int64)
-        for (packed,) in rows:
-            total += np.frombuffer(packed, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
+def _add_counters(least: float):
+    """(at, flags): for 256 counters whether their sums exceed ``least``, as bits; rows without one are left out."""
+    def run(batches):
+        for (at,), rows in rows_by_key(batches):
+            total = np.zeros(256, np.int64)
+            for (packed,) in rows:
+                total += np.frombuffer(packed, np.uint8 if len(packed) == 256 else np.uint32)
+            if (total > least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total > least).tobytes()], pa.binary())], ["at", "flags"])
+
+    return run
 
 
-def frequent_shingles(source: DataFrame, shingle: int) -> np.ndarray:
-    """For each counter whether its shingles are frequent, from all documents; BUCKETS flags reach the driver."""
-    counted = source.mapInArrow(_count_shingles(shingle), "at int, counts binary")
-    parts = partitions_for(source.sparkSession, 0, 1)
-    summed = counted.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_add_counters, "at int, counts binary").collect()
-    total = np.zeros((BUCKETS // 256, 256), np.int64)
+def frequent_shingles(source: DataFrame, shingle: int, total: int) -> np.ndarray:
+    """For each counter whether its shingles are frequent, from all documents; a bit for each counter reaches the driver."""
+    counters = counters_for(total)
+    counted = source.mapInArrow(_count_shingles(shingle, counters), "at int, counts binary")
+    parts, least = partitions_for(source.sparkSession, 0, 1), max(64, FREQUENT * total / counters)
+    summed = counted.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_add_counters(least), "at int, flags binary").collect()
+    often = np.zeros((counters // 256, 256), bool)
     for at, packed in summed:
-        total[at] = np.frombuffer(packed, np.int64)
-    total = total.ravel()
-    return total > max(64, FREQUENT * total.mean())
+        often[at] = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+    return often.ravel()
 
 
 def _sharded(nodes: list[int], keys: list[np.ndarray], shards: int) -> pa.RecordBatch:
@@ -221,8 +235,41 @@ def _sharded(nodes: list[int], keys: list[np.ndarray], shards: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "nodes", "rows", "keys"])
 
 
+class Forest:
+    """Disjoint sets of nodes, each named by its smallest; whole arrays of pairs are united at a time."""
+
+    def __init__(self):
+        self.nodes, self.roots = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        names, at = np.unique(np.concatenate([self.nodes, self.roots, a, b]), return_inverse=True)
+        n, m = len(self.nodes), len(a)
+        x = np.concatenate([at[:n], at[2 * n : 2 * n + m]])
+        y = np.concatenate([at[n : 2 * n], at[2 * n + m :]])
+        parent = np.arange(len(names))
+        while True:
+            p, q = parent[x], parent[y]
+            differ = p != q
+            if not differ.any():
+                break
+            x, y, p, q = x[differ], y[differ], p[differ], q[differ]
+            np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent = up
+        own = parent != np.arange(len(names))
+        self.nodes, self.roots = names[own], names[parent[own]]
+
+
+FOREST_NODES = 1 << 20
+"""Nodes of a forest that a task keeps before it sends it on."""
+
+
 def _candidate_edges(batches):
-    """Nodes with an equal key are tied to the smallest of them: edges as many as nodes, whatever the group."""
+    """Nodes with an equal key belong together: one edge for each node to the smallest it is tied to in the task's shards."""
+    forest = Forest()
     for _, rows in rows_by_key(batches):
         nodes, keys = [], []
         for names, places, packed in rows:
@@ -233,12 +280,18 @@ def _candidate_edges(batches):
         node, key = np.concatenate(nodes), np.concatenate(keys)
         order = np.lexsort((node, key))
         node, key = node[order], key[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        differ = hub != node
-        pair = np.unique(np.stack([node[differ], hub[differ]], 1), axis=0) if differ.any() else np.empty((0, 2), np.int64)
-        for a in range(0, len(pair), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[a : a + 50_000, 0]), pa.array(pair[a : a + 50_000, 1])], ["a", "b"])
+        same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
+        if same.any():
+            forest.unite(node[1:][same], node[:-1][same])
+        if len(forest.nodes) > FOREST_NODES:
+            yield from _forest_edges(forest)
+            forest = Forest()
+    yield from _forest_edges(forest)
+
+
+def _forest_edges(forest: Forest):
+    for a in range(0, len(forest.nodes), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(forest.nodes[a : a + 50_000]), pa.array(forest.roots[a : a + 50_000])], ["a", "b"])
 
 
 # ---------------------------------------------------------------- signature tree
@@ -418,17 +471,21 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _describe(shingle: int):
     def run(batches):
         hashes = WordHashes()
-        for keys, texts in chunks(batches):
-            sets = [shingle_set(x, shingle, hashes) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
+        for batch in batches:
+            at = 0
+            for keys, texts in chunks([batch]):
+                sets = [shingle_set(x, shingle, hashes) for x in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), batch.column(2).slice(at, len(sets))],
+                    ["doc_id", "n", "node", "digest"])
+                at += len(sets)
 
     return run
 
 
 def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int, sketched: bool = False) -> DataFrame:
-    """Rows of ``wanted`` (with a doc_id) with the shingle set of their document, made again from its text,
-    or with the set's parity sketch.
+    """Rows of ``wanted`` (with doc_id and node) with the shingle set of their document, made again from its text,
+    or with the set's parity sketch. Where an id names several texts, the one whose set is the node counts.
 
     The wanted ids are broadcast only up to BROADCAST_ROWS of them, counted; beyond, both sides are shuffled.
     """
@@ -441,9 +498,11 @@ def _with_sets(source: DataFrame, wanted: DataFrame, shingle: int, sketched: boo
         for batch in batches:
             at, keys = 0, batch.select(names)
             for _, texts in chunks([pa.RecordBatch.from_arrays([batch.column(0), batch.column("text")], ["k", "t"])]):
-                sets = [make(shingle_set(x, shingle, hashes)) for x in texts]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sets)) for c in keys.columns), pa.array(sets, pa.binary())], [*names, "shingles"])
-                at += len(sets)
+                part, sets = keys.slice(at, len(texts)), [shingle_set(x, shingle, hashes) for x in texts]
+                right = [_node(s) == node for s, node in zip(sets, part.column("node").to_pylist(), strict=True)]
+                chosen = part.filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([make(s) for s, ok in zip(sets, right, strict=True) if ok], pa.binary())], [*names, "shingles"])
+                at += len(texts)
 
     return joined.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in wanted.dtypes if c != "doc_id"), "shingles binary"]))
 
@@ -456,10 +515,13 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
     total = described.agg(F.sum("n")).first()[0] or 0
     rows = total * 3.0 * (t[1] - t[0]) / (t[1] + t[0])
     shards = partitions_for(spark, rows, 500_000)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(source, shingle))
-    keys = source.mapInArrow(_emit_keys(shingle, t, shards, frequent), _KEY_SCHEMA).repartition(shards, "shard").sortWithinPartitions("shard")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(source, shingle, total))
+    # A task goes through its shards one by one and sends one forest for all of them: the fewer tasks, the fewer times a node is sent.
+    dealt = min(shards, max(12, math.ceil(rows / (16 * 500_000))))
+    keys = source.mapInArrow(_emit_keys(shingle, t, shards, frequent), _KEY_SCHEMA).repartition(dealt, "shard").sortWithinPartitions("shard")
     candidates = materialise(keys.mapInArrow(_candidate_edges, "a bigint, b bigint").distinct(), "jaccard-candidates")
     blocks = components(candidates, "jaccard-blocks").withColumnRenamed("component", "block")
+    discard(candidates)
 
     # One document stands for each node. Tiles of a block: runs of similar size, cut further by hash so that
     # none outgrows TILE documents or TILE_SHINGLES shingles. All of this moves ids and sizes only.
@@ -469,7 +531,11 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
     cuts = F.ceil(F.greatest(F.count("*") / (TILE * 0.8), F.sum("n") / (TILE_SHINGLES * 0.8))).cast("int")
     runs = light.groupBy("block", "run").agg(cuts.alias("cuts")).join(whole, "block").filter("large").drop("large")
     tile = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.col("run") * 65536 + 1 + F.pmod(F.xxhash64("node"), F.col("cuts"))).cast("bigint")
+    if runs.count() <= BROADCAST_ROWS:  # at most a row for every TILE documents of large blocks
+        runs = F.broadcast(runs)
     tiled = materialise(light.join(runs, ["block", "run"], "left").select("doc_id", "block", tile.alias("tile"), "node", "n"), "jaccard-tiles")
+    discard(light)
+    discard(blocks)
 
     large = tiled.filter("tile > 0")
     hubs = large.groupBy("block").agg(F.min_by("doc_id", "node").alias("doc_id"), F.min("node").alias("node"))
@@ -481,7 +547,10 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
 
     if large.limit(1).count():
         found = found.unionAll(_across(source, large, found, shingle, t))
-    return components(found, "jaccard-classes")
+    classes = components(found, "jaccard-classes")
+    discard(found)
+    discard(tiled)
+    return classes
 
 
 def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int, t: Threshold) -> DataFrame:
@@ -492,6 +561,7 @@ def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int,
     per_label = named.groupBy("block", "label").agg(F.count("*").alias("n_label"))
     main = per_label.groupBy("block").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"))
     named = materialise(named.join(main, "block").withColumn("astray", F.col("label") != F.col("main")), "jaccard-named")
+    discard(classes)
     tiles = named.groupBy("block", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("astray").alias("astray"))
     other = tiles.select("block", *(F.col(c).alias(f"{c}2") for c in ("tile", "low", "high", "astray")))
     p, q = t
@@ -500,7 +570,7 @@ def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int,
     # A document of the main class is needed only where the other tile has one astray.
     left = named.join(pairs.select("block", "tile", "pair", F.col("astray2").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(0))
     right = named.join(pairs.select("block", F.col("tile2").alias("tile"), "pair", F.col("astray").alias("needed")), ["block", "tile"]).withColumn("side", F.lit(1))
-    sketches = materialise(_with_sets(source, large.select("doc_id", F.col("node").alias("sketched")), shingle, True).dropDuplicates(["sketched"]), "jaccard-sketches")
+    sketches = materialise(_with_sets(source, large.select("doc_id", "node"), shingle, True).dropDuplicates(["node"]).withColumnRenamed("node", "sketched"), "jaccard-sketches")
     sides = left.unionByName(right).filter("needed or astray").select("pair", "side", "label", "node", "doc_id", "n").join(sketches, F.col("node") == F.col("sketched"))
     parts = partitions_for(spark, pairs.count(), 8)
     sides = sides.select("pair", "side", "label", "node", "doc_id", "n", "shingles").repartition(parts, "pair").sortWithinPartitions("pair")
@@ -509,30 +579,61 @@ def _across(source: DataFrame, large: DataFrame, found: DataFrame, shingle: int,
     return _with_sets(source, sides, shingle).repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_cross_links(t), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: Threshold = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Words are cut at ASCII white space after lower-casing A-Z. Two documents link when
-    ``threshold[1] * intersection >= threshold[0] * union`` of their shingle sets. A document with fewer
-    words than ``shingle`` has its whole sequence as the only shingle. Null or empty texts have 0 shingles and
-    are linked with nothing; repeated rows are each returned. Names of shingles and sets are 64-bit hashes.
-    """
+def _classes_of_rows(docs: DataFrame, shingle: int, threshold: Threshold, key: str, text: str) -> DataFrame:
+    """doc_id, digest (of the text), n, component_id, component (the class itself: two may have the same smallest id), of every row."""
     if not 0 < threshold[0] <= threshold[1]:
         raise ValueError("threshold must be a fraction above 0 and at most 1")
     source = doc_columns(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    described = materialise(source.mapInArrow(_describe(shingle), "doc_id bigint, n bigint, node bigint"), "jaccard-described")
+    described = source.withColumn("digest", F.xxhash64("text")).mapInArrow(_describe(shingle), "doc_id bigint, n bigint, node bigint, digest bigint")
+    described = materialise(described, "jaccard-described")
     classes = _linked_nodes(source, described, shingle, threshold)
     least = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(smallest, "component").select("node", "component_id"), "jaccard-classes")
-    return described.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialise(named.join(smallest, "component").select("node", "component", "component_id"), "jaccard-named-classes")
+    discard(classes)
+    return described.join(named, "node", "left").select("doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+
 
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: Threshold = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class (the smallest id), all columns kept; rows without an id or text stay."""
-    classes = near_duplicates(docs, key=key, text=text, **options)
-    gone = materialise(classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[key].cast("bigint") == gone["__gone"], "left_anti")
+    Words are cut at ASCII white space after lower-casing A-Z. Two documents link when
+    ``threshold[1] * intersection >= threshold[0] * union`` of their shingle sets. A document with fewer
+    words than ``shingle`` has its whole sequence as the only shingle. Null or empty texts have 0 shingles and
+    are linked with nothing; repeated rows are each returned, and rows with equal ids and different texts are documents of
+    their own. Names of shingles and sets are 64-bit hashes.
+    """
+    rows = _classes_of_rows(docs, shingle, threshold, key, text)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: Threshold = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, all columns kept: the smallest id, of several texts under it the smallest digest.
+
+    Repeated rows of the chosen document are one document. Rows without an id or without words stay.
+    """
+    rows = materialise(_classes_of_rows(docs, shingle, threshold, key, text).filter("component is not null and doc_id is not null").select("doc_id", "digest", "component"), "jaccard-rows")
+    each = rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    first = each.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    judged = materialise(each.join(first, "component").select(
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "copies", (F.struct("doc_id", "digest") != F.col("first")).alias("goes")).filter("goes or copies > 1"), "jaccard-gone")
+    discard(rows)
+
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # columns may be named as these are
+    at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    marked = docs.toDF(*names)
+    digest = F.xxhash64(F.coalesce(at[text].cast("string"), F.lit("")).cast("binary"))
+
+    def matches(side: DataFrame):
+        small = side.count() <= BROADCAST_ROWS
+        return (F.broadcast(side) if small else side), (at[key].cast("bigint") == F.col("__id")) & (digest == F.col("__digest"))
+
+    gone, on = matches(judged.filter("goes").select("__id", "__digest"))
+    kept = marked.join(gone, on, "left_anti")
+    repeated = judged.filter("not goes").select("__id", "__digest")
+    if repeated.limit(1).count():
+        side, on = matches(repeated)
+        once = marked.join(side, on).dropDuplicates(["__id", "__digest"]).select(*names)
+        kept = kept.join(side, on, "left_anti").unionAll(once)
+    return kept.toDF(*docs.columns)

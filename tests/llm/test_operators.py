@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from propensia.llm import bpe, chat, decontaminate, fertility, graph, jaccard, language, licences, pages, personal, scoring
 from tests.llm import plain
@@ -259,7 +260,26 @@ def test_pair_index_equals_merging_one_by_one():
                     i += 1
             p = out
 
-    assert bpe.PairIndex(ranks).merge(pieces) == [alone(p) for p in pieces]
+    flat = np.array([-1] + [s for p in pieces for s in (*p, -1)])
+    done, out = bpe.PairIndex(ranks).merge(flat).tolist(), [[]]
+    for s in done[1:]:
+        if s == -1:
+            out.append([])
+        elif s >= 0:
+            out[-1].append(s)
+    assert out[:-1] == [alone(p) for p in pieces]
+    assert bpe.PairIndex({}).merge(np.array([-1, 3, -1])).tolist() == [-1, 3, -1]
+
+
+def test_bpe_keeps_a_bounded_memory_of_pieces(monkeypatch):
+    """Ids do not depend on what is remembered; the older half goes."""
+    theirs, ours = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 60)
+    rng = random.Random(5)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(2)]
+        assert [np.frombuffer(p, np.uint32).tolist() for p in ours.encode(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(ours.known) < 60 + 70
 
 
 def test_bpe_round_trip(odd_docs, no_docs):
@@ -499,3 +519,63 @@ def test_repeated_ids_keep_their_rows(odd_docs, odd_rows):
     n = len(odd_rows)
     assert personal.span_report(odd_docs).count() == licences.licence_report(odd_docs).count() == fertility.quality_report(odd_docs, PIECES).count() == n
     assert hashlib.sha256(b"").hexdigest() == plain.sha("")
+
+
+# ---- 9 and the pipeline: reused ids, repeated rows, common passages
+
+
+def _prose(rng, n):
+    return [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(4000)) for _ in range(n)]
+
+
+def test_jaccard_reused_ids_keep_their_links(spark):
+    rng = random.Random(8)
+    x, y = _prose(rng, 120), _prose(rng, 90)
+    near = x[:60] + ["changed"] + x[61:]
+    rows_ = [(1, " ".join(x)), (1, " ".join(y)), (2, " ".join(near)), (3, " ".join(y[:-1])), (2, " ".join(near)), (None, " ".join(x)), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows_)], "doc_id long, text string, __id int")
+    out = sorted((tuple(r) for r in jaccard.near_duplicates(docs, shingle=3, threshold=(90, 100)).collect()), key=str)
+    assert [r[2] for r in out if r[0] in (1, 2, 3)] == [1] * 5 and [r[1:] for r in out if r[0] == 4] == [(0, 4), (0, 4)]
+    kept = sorted((tuple(r)[:2] for r in jaccard.keep_one(docs, shingle=3, threshold=(90, 100)).collect()), key=str)
+    first = [t for i, t in kept if i == 1]  # two classes, both named by id 1
+    assert sorted(first) == sorted([" ".join(x), " ".join(y)]) and sorted(str(i) for i, _ in kept) == ["1", "1", "4", "4", "None"]
+
+
+def test_keep_one_drops_repeated_rows_only_of_the_chosen(spark):
+    rng = random.Random(9)
+    x, y = " ".join(_prose(rng, 80)), " ".join(_prose(rng, 80))
+    docs = spark.createDataFrame([(1, x), (1, x), (2, x), (5, y), (5, y), (6, "other words here")], "doc_id long, text string")
+    assert sorted(r[0] for r in jaccard.keep_one(docs).collect()) == [1, 5, 6]
+
+
+def test_jaccard_passage_in_half_of_the_documents(spark):
+    rng = random.Random(10)
+    passage = _prose(rng, 60)
+    docs = []
+    for i in range(160):
+        own = _prose(rng, 150)
+        docs.append((i, " ".join(own[:70] + (passage if i % 2 else []) + own[70:])))
+    docs += [(200 + k, docs[k][1].replace(" ", "  ", 1)) for k in range(0, 160, 16)] + [(300 + k, docs[k][1] + " more") for k in range(1, 160, 16)]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, threshold=(90, 100)).collect()}
+    assert got == plain.jaccard_classes(docs, 3, (90, 100))
+
+
+def test_candidate_forest_is_one_edge_a_node():
+    rng = np.random.default_rng(1)
+    forest = jaccard.Forest()
+    parent = list(range(3000))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for _ in range(6):
+        a, b = rng.integers(0, 3000, 400), rng.integers(0, 3000, 400)
+        forest.unite(a, b)
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(u), find(v)
+            parent[max(p, q)] = min(p, q)
+    want = {v: find(v) for v in range(3000) if find(v) != v}
+    assert dict(zip(forest.nodes.tolist(), forest.roots.tolist(), strict=True)) == want
+    assert jaccard.counters_for(10) == 1 << 16 and jaccard.counters_for(110_000_000) == 1 << 22 and jaccard.counters_for(10**13) == 1 << 24

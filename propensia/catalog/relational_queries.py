@@ -533,6 +533,19 @@ def split_balance(spark, sf):
     return ag.crosstab_row_share(sets.hash_split(roles.client_label(spark, sf), "c_custkey"), "split", "label")
 
 
+@query("sample_exact_sizes", roles.with_roles("client_label") + """,
+    n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM client_label GROUP BY label)),
+    placed AS (SELECT c_custkey, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(c_custkey AS VARCHAR) || 'a')) AS balanced,
+      row_number() OVER (PARTITION BY label ORDER BY md5(CAST(c_custkey AS VARCHAR) || 'b')) AS fixed FROM client_label)
+    SELECT 'balanced' AS sample, c_custkey, label FROM placed WHERE balanced <= (SELECT n FROM n)
+    UNION ALL SELECT 'fixed', c_custkey, label FROM placed WHERE fixed <= CASE label WHEN 0 THEN 40 WHEN 1 THEN 7 ELSE 0 END""")
+def sample_exact_sizes(spark, sf):
+    """Samples of exact size: every class as large as the smallest, and given sizes."""
+    clients = roles.client_label(spark, sf).select("c_custkey", "label")
+    balanced = sets.balanced_sample(clients, "label", "c_custkey", salt="a").select(F.lit("balanced").alias("sample"), "c_custkey", "label")
+    return balanced.unionByName(sets.exact_sample(clients, "label", {0: 40, 1: 7}, "c_custkey", salt="b").select(F.lit("fixed").alias("sample"), "c_custkey", "label"))
+
+
 @query("sample_stratified", roles.with_roles("client_label") + """,
     n AS (SELECT label, count(*) AS n_rows FROM client_label GROUP BY 1)
     SELECT label, n_rows, (SELECT min(n_rows) FROM n) AS wanted, 1 AS about_as_many, 1 AS known_rows FROM n""")

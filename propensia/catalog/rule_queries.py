@@ -252,13 +252,11 @@ def fn_recency_days(spark, sf):
 def fn_year_from_filename(spark, sf):
     columns = ["RADICAL", "CODE_PACK", "DATE_CHARG", "ETATC"]
     root = staging_path(spark, "yearly")
-    # Spark names part files itself, so the year sits in the folder name of each file.
+    # Spark names part files itself, so the year sits in the folder name; the files of the first years lack a column.
     for year, part in zip((2023, 2024, 2025), roles.opk_files(spark, sf)):
-        full = part if "ETATC" in part.columns else part.withColumn("ETATC", F.lit(None).cast("string"))
-        full.select(*columns).write.option("header", "true").option("sep", ";").csv(f"{root}/OPK{year}")
-    rows = delimited.read_delimited(spark, f"{root}/*", columns)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return rows.select(year_from_name(folder).alias("file_year")).groupBy("file_year").agg(F.count("*").alias("n"))
+        part.select(*[c for c in columns if c in part.columns]).write.option("header", "true").option("sep", ";").csv(f"{root}/OPK{year}")
+    rows = delimited.read_with_file_year(spark, f"{root}/*", columns, folder=True)
+    return rows.groupBy("file_year").agg(F.count("*").alias("n"))
 
 
 @query("fn_math_mix", """

@@ -49,7 +49,7 @@ def _gaps(a: np.ndarray, b: np.ndarray, n_codes: int, code_gap: float) -> np.nda
     return np.sqrt(out)
 
 
-def _closest(queries, query_ids, data, data_ids, k, n_codes=0, code_gap=0.0):
+def closest(queries, query_ids, data, data_ids, k, n_codes=0, code_gap=0.0):
     """Per query the k nearest other data rows: (query row, data id, distance).
 
     Ordered by (distance, id). The fast expanded distance only screens; the kept
@@ -96,7 +96,7 @@ def nearest_neighbours(
     lowest = Window.partitionBy("vec").orderBy("id")
     few = rows.withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= k + 1)
     spots = materialise(few.groupBy("vec").agg(F.min("id").alias("spot"), F.sort_array(F.collect_list("id")).alias("low")), "spots")
-    near = _between_positions(spots.select(F.col("spot").alias("id"), "vec"), k, block_rows, pivots, n_codes, code_gap)
+    near = nearest_positions(spots.select(F.col("spot").alias("id"), "vec"), k, block_rows, pivots, n_codes, code_gap)
     ids = spots.select(F.col("spot").alias("neighbour"), "low")
     others = near.join(ids, "neighbour").select(F.col("id").alias("spot"), F.explode(F.transform("low", _at("distance"))).alias("c"))
     best = Window.partitionBy("spot").orderBy("c")
@@ -115,8 +115,10 @@ def _at(distance):
     return lambda i: F.struct(d.alias("distance"), i.alias("neighbour"))
 
 
-def _between_positions(points: DataFrame, k: int, block_rows: int, pivots: int, n_codes: int, code_gap: float) -> DataFrame:
-    """(id, neighbour, distance, rank) among distinct vectors (id, vec)."""
+def nearest_positions(
+    points: DataFrame, k: int = 1, block_rows: int = BLOCK_ROWS, pivots: int = MAX_PIVOTS, n_codes: int = 0, code_gap: float = 0.0
+) -> DataFrame:
+    """(id, neighbour, distance, rank) among distinct vectors (id bigint, vec array<double>) of a written table."""
     spark = points.sparkSession
     # About one block per cell until the pivots run out; more cells than blocks only add pairs.
     centres = _pivots(points, "id", "vec", max(1, min(pivots, points.count() // block_rows)))
@@ -162,7 +164,7 @@ def _between_positions(points: DataFrame, k: int, block_rows: int, pivots: int,
             for cell, block, ids, blobs in pdf.itertuples(index=False):
                 ids = np.asarray(ids, dtype="int64")
                 x = stack(blobs)
-                rows, _, distance = _closest(x, ids, x, ids, k, n_codes, code_gap)
+                rows, _, distance = closest(x, ids, x, ids, k, n_codes, code_gap)
                 found = np.bincount(rows, minlength=len(ids))
                 bound = np.full(len(ids), np.inf)
                 full = found >= k
@@ -188,7 +190,7 @@ def _between_positions(points: DataFrame, k: int, block_rows: int, pivots: int,
         for pdf in batches:
             for q_ids, q_blob, ids, blobs in pdf.itertuples(index=False):
                 q_ids, ids = np.asarray(q_ids, dtype="int64"), np.asarray(ids, dtype="int64")
-                rows, near, distance = _closest(_matrix(q_blob, width), q_ids, stack(blobs), ids, k, n_codes, code_gap)
+                rows, near, distance = closest(_matrix(q_blob, width), q_ids, stack(blobs), ids, k, n_codes, code_gap)
                 yield pd.DataFrame({"id": q_ids[rows], "neighbour": near, "distance": distance})
 
     found = pairs.mapInPandas(search, "id bigint, neighbour bigint, distance double")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensia.operators.neighbours import nearest_neighbours
+from propensia.operators.neighbours import closest, nearest_neighbours, nearest_positions
 from propensia.operators.windows import row_numbers
 from propensia.session import materialise
 
@@ -28,6 +28,18 @@ def tomek_links(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     copies every point's nearest neighbour is the lowest other id. Groups of copies
     of any size therefore never reach the distance search.
     """
+    return _links(df, id_col, label, vec, nearest_positions)
+
+
+def tomek_links_lsh(
+    df: DataFrame, id_col: str, label: str, vec: str, bucket_length: float, tables: int = 4, radius: float | None = None, seed: int = 42, crowd: int = 2048
+) -> DataFrame:
+    """Approximate links: neighbours are searched among points sharing an LSH bucket (``hashed_neighbours``)."""
+    return _links(df, id_col, label, vec, lambda points: hashed_neighbours(points, bucket_length, tables, radius, seed, crowd))
+
+
+def _links(df: DataFrame, id_col: str, label: str, vec: str, nearest) -> DataFrame:
+    """Links by a search for the nearest neighbours of distinct vectors."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("label"),
                      F.col(vec).cast("array<double>").alias("vec"))
     first = F.min(F.struct("id", "label"))
@@ -44,7 +56,7 @@ def tomek_links(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     )
     # A position with copies has its nearest neighbour at distance 0 already, so a
     # link across positions joins two single points.
-    near = nearest_neighbours(spots.select(F.col("a.id").alias("id"), "vec"), "id", "vec", k=1)
+    near = nearest(spots.select(F.col("a.id").alias("id"), "vec"))
     single = spots.filter("n = 1").select(F.col("a.id").alias("id"), F.col("a.label").alias("label"))
     linked = near.join(single, "id").select("id", "neighbour", "distance", "label")
     back = linked.select(F.col("id").alias("neighbour"), F.col("neighbour").alias("id"), F.col("label").alias("other"))
@@ -56,29 +68,55 @@ def tomek_links(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     return across.unionByName(between_copies)
 
 
-def tomek_links_lsh(
-    df: DataFrame, id_col: str, label: str, vec: str, bucket_length: float, tables: int = 4, radius: float | None = None, seed: int = 42
-) -> DataFrame:
-    """Approximate links: neighbours are searched among points sharing an LSH bucket."""
-    radius = bucket_length if radius is None else radius
-    points = df.select(
-        F.col(id_col).alias("id"), F.col(label).alias("label"),
-        array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(points)
-    close = lsh.approxSimilarityJoin(points, points, radius, distCol="distance").select(
-        F.col("datasetA.id").alias("id"), F.col("datasetA.label").alias("label"),
-        F.col("datasetB.id").alias("neighbour"), F.col("datasetB.label").alias("other"), "distance",
-    ).filter(F.col("id") != F.col("neighbour"))
-    near = close.groupBy("id").agg(F.min(F.struct("distance", "neighbour", "label", "other")).alias("m")).select(
-        "id", "m.neighbour", "m.distance", "m.label", "m.other"
-    )
-    back = near.select(F.col("id").alias("neighbour"), F.col("neighbour").alias("id"))
-    return near.join(back, ["id", "neighbour"]).filter(
-        (F.col("label") != F.col("other")) & (F.col("id") < F.col("neighbour"))
-    ).select(F.col("id").alias("id_a"), F.col("neighbour").alias("id_b"), "distance")
+def hashed_neighbours(points: DataFrame, bucket_length: float, tables: int = 4, radius: float | None = None, seed: int = 42, crowd: int = 2048) -> DataFrame:
+    """(id, neighbour, distance): for distinct vectors (id, vec) the nearest other one that shares a bucket, within ``radius``.
+
+    A table's first hash is a random projection in steps of ``bucket_length``. A bucket of more than ``crowd`` points is cut
+    by a second one into strips of about ``crowd`` points; a point is sought in its own strip and the ones beside it. A
+    strip that is still four times too full (points alike in both projections) is cut by id. So no task holds more than
+    a few ``crowd`` points, work grows in proportion, and only the best of each point and table leaves a task.
+    """
+    first = points.select("vec").first()
+    schema = "id bigint, neighbour bigint, distance double"
+    if first is None:
+        return points.sparkSession.createDataFrame([], schema)
+    rng, reach = np.random.default_rng(seed), bucket_length if radius is None else radius
+    directions = rng.standard_normal((2 * tables, len(first["vec"])))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype("float64")
+                at, blobs = x @ directions.T, [row.tobytes() for row in x]
+                for t in range(tables):
+                    yield pd.DataFrame({"id": pdf["id"], "tab": t, "bucket": np.floor(at[:, t] / bucket_length).astype("int64"), "second": at[:, tables + t], "blob": blobs})
+
+    placed = materialise(points.mapInPandas(project, "id bigint, tab int, bucket bigint, second double, blob binary"), "hashed")
+    sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("n"), F.min("second").alias("low"), F.max("second").alias("high"))
+    cut = sizes.select("tab", "bucket", "low", F.ceil(F.col("n") / crowd).alias("strips"), (F.col("high") - F.col("low")).alias("span"))
+    strip = F.when(F.col("span") > 0, F.least(F.floor((F.col("second") - F.col("low")) / F.col("span") * F.col("strips")), F.col("strips") - 1)).otherwise(F.lit(0))
+    placed = placed.join(cut, ["tab", "bucket"]).withColumn("strip", strip.cast("bigint"))
+    crowds = placed.groupBy("tab", "bucket", "strip").agg(F.count("*").alias("m")).select("tab", "bucket", "strip", F.ceil(F.col("m") / (4 * crowd)).alias("parts"))
+    # As a candidate a point is in the strips on both sides too; a part of a crowded strip sees the same part beside it.
+    seen = placed.withColumn("to", F.explode(F.when(F.col("strips") > 1, F.array(F.col("strip") - 1, F.col("strip"), F.col("strip") + 1)).otherwise(F.array("strip"))))
+    seen = seen.join(crowds.withColumnRenamed("strip", "to"), ["tab", "bucket", "to"])
+    seen = seen.select("tab", "bucket", "to", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "blob", (F.col("to") == F.col("strip")).alias("asks"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf["blob"]), "<f8").reshape(len(pdf), -1)
+        ids, asks = pdf["id"].to_numpy(), pdf["asks"].to_numpy()
+        out = []
+        for a in range(0, int(asks.sum()), 512):  # rows of distances in bounded pieces
+            these = np.flatnonzero(asks)[a : a + 512]
+            rows, near, distance = closest(x[these], ids[these], x, ids, 1)
+            out.append(pd.DataFrame({"id": ids[these][rows], "neighbour": near, "distance": distance}))
+        found = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        return found[found["distance"] <= reach]
+
+    found = seen.groupBy("tab", "bucket", "to", "part").applyInPandas(best, schema)
+    nearest = found.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
+    return nearest.select("id", "m.neighbour", "m.distance")
 
 
 def smallest_class(df: DataFrame, label: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,31 @@ def stratified_sample(df: DataFrame, label: str, fractions: Mapping, seed: int =
     return df.sampleBy(label, fractions=dict(fractions), seed=seed)
 
 
+def exact_sample(df: DataFrame, label: str, sizes: Mapping | int, key: str, salt: str = "") -> DataFrame:
+    """Exactly ``sizes`` rows of every class (all where a class has fewer): those whose salted key hashes lowest.
+
+    A number for ``sizes`` holds for every class, a mapping for those it names; other classes have no row. Each map
+    task keeps only the lowest of what it reads, so a large class sends that many rows per task. A row keeps
+    its place when the data are re-read or grow; rows with equal keys follow their further columns.
+    """
+    order = [F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt))), *[F.xxhash64(*df.columns)]]
+    ranked = df.withColumn("__place", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    most = sizes if isinstance(sizes, int) else max(sizes.values(), default=0)
+    ranked = ranked.filter(F.col("__place") <= most)  # a constant bound is what Spark applies before the shuffle
+    if not isinstance(sizes, int):
+        own = F.lit(0)
+        for value, n in sizes.items():
+            own = F.when(F.col(label) == F.lit(value), F.lit(n)).otherwise(own)
+        ranked = ranked.filter(F.col("__place") <= own)
+    return ranked.drop("__place")
+
+
+def balanced_sample(df: DataFrame, label: str, key: str, salt: str = "") -> DataFrame:
+    """Every class cut down to exactly the size of the smallest."""
+    smallest = df.filter(F.col(label).isNotNull()).groupBy(label).count().agg(F.min("count")).first()[0]
+    return exact_sample(df.filter(F.col(label).isNotNull()), label, int(smallest or 0), key, salt)
+
+
 def balance_fractions(df: DataFrame, label: str) -> dict:
     """Fractions that bring every class down to about the size of the smallest.
 

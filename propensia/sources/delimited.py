@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propensia.functions.dates import year_from_name
+from propensia.sources.first_lines import can_open, first_lines
 
 # Dialect of the raw files.
 SEPARATOR = ";"
@@ -29,15 +29,18 @@ def _read_files(spark: SparkSession, path: str | list[str]) -> list[str]:
     return sorted(r[0] for r in listed.collect())  # one name per file
 
 
-def headers(spark: SparkSession, files: Sequence[str], encoding: str = ENCODING, threads: int = 8) -> dict[str, str]:
-    """First line of each file, decoded; a read stops after that line."""
-    def first_line(path: str) -> str:
-        reader = spark.read.option("header", "true").option("encoding", encoding).option("sep", "\u0001").option("quote", "")
-        columns = reader.csv(_literal(path)).columns
-        return columns[0] if columns else ""
+def headers(spark: SparkSession, files: Sequence[str], encoding: str = ENCODING) -> dict[str, str]:
+    """First line of each file, decoded: one job for all files, which reads their first bytes only."""
+    readable = [f for f in files if can_open(f)]
+    found = dict(first_lines(spark, readable, encoding).select("path", "line").collect()) if readable else {}  # one line per file
+    return {f: found[f] if f in found else _spark_first_line(spark, f, encoding) for f in files}
 
-    with ThreadPoolExecutor(threads) as pool:
-        return dict(zip(files, pool.map(first_line, files), strict=True))
+
+def _spark_first_line(spark: SparkSession, path: str, encoding: str) -> str:
+    """The same through Spark's reader, for stores that only it knows; a job of its own."""
+    reader = spark.read.option("header", "true").option("encoding", encoding).option("sep", "\u0001").option("quote", "")
+    columns = reader.csv(_literal(path)).columns
+    return columns[0] if columns else ""
 
 
 def _literal(path: str) -> str:
@@ -51,12 +54,13 @@ def read_delimited(
     columns: Sequence[str] | None = None,
     sep: str = SEPARATOR,
     encoding: str = ENCODING,
+    tags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Headered raw file(s), every column a string, bound by the names in each file's header.
 
     Files with equal headers are read together; different ones are united by name, a column
     that a file lacks being NULL there. ``columns`` picks and orders columns; one that no file
-    has is NULL throughout.
+    has is NULL throughout. ``tags`` are further columns made from the file's ``_metadata``.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
     for file, line in headers(spark, _read_files(spark, path), encoding).items():
@@ -64,11 +68,16 @@ def read_delimited(
         groups.setdefault(names, []).append(file)
     reader = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding).option("enforceSchema", "false")
     parts = [reader.schema(string_schema(names)).csv([_literal(f) for f in files]) for names, files in groups.items() if names]
+    tags = dict(tags or {})
     if not parts:
-        return spark.createDataFrame([], string_schema(columns or []))
+        empty = spark.createDataFrame([], string_schema(columns or []))
+        return empty.withColumns({t: F.lit(None) for t in tags})
+    # A union has no file metadata any more: every part is tagged before.
     if columns is None:
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    picked = [p.select(*[F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string").alias(c) for c in columns]) for p in parts]
+        tagged = [p.withColumns(tags) if tags else p for p in parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    own = [c.alias(t) for t, c in tags.items()]
+    picked = [p.select(*[F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string").alias(c) for c in columns], *own) for p in parts]
     return reduce(DataFrame.unionAll, picked)
 
 
@@ -224,8 +233,9 @@ def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.sparkSession.createDataFrame(rows, schema)
 
 
-def read_with_file_year(spark: SparkSession, path: str, columns: Sequence[str], sep: str = SEPARATOR) -> DataFrame:
-    """Raw rows tagged with the year in the name of the file they came from."""
-    return read_delimited(spark, path, columns, sep=sep).withColumn(
-        "file_year", year_from_name(F.col("_metadata.file_name"))
-    )
+def read_with_file_year(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, sep: str = SEPARATOR, encoding: str = ENCODING, folder: bool = False
+) -> DataFrame:
+    """Raw rows tagged with the year in the name of their file (or of its folder); headers may differ from year to year."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if folder else F.col("_metadata.file_name")
+    return read_delimited(spark, path, columns, sep, encoding, tags={"file_year": year_from_name(name)})

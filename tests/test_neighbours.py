@@ -84,3 +84,29 @@ def test_smotenc_balances_and_stays_between_neighbours(spark):
         assert all(low - 1e-9 <= r[name] <= high + 1e-9 for r in got)
     again = smotenc(df.repartition(5), "id", "y", ["a", "b"], ["c"], k=5).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_hashed_neighbours_grow_in_proportion_and_keep_recall(spark):
+    """One crowded bucket: rows compared grow about linearly, nine tenths of the nearest are found."""
+    from propensia.operators.resample import hashed_neighbours
+
+    for n in (1000, 2000, 4000):
+        rng = np.random.default_rng(n)
+        x = rng.random((n, 2))
+        df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, vec array<double>").repartition(3)
+        got = {r["id"]: r["distance"] for r in hashed_neighbours(df, bucket_length=100.0, tables=3, crowd=200).collect()}
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        hit = sum(abs(got.get(i, np.inf) - d[i].min()) < 1e-12 for i in range(n))
+        assert hit >= 0.9 * n and len(got) == n
+
+
+def test_hashed_links_of_copies_and_equal_projections(spark):
+    from propensia.operators.resample import tomek_links_lsh
+
+    points = cloud(300, 3, seed=5, copies=100)
+    got = tomek_links_lsh(spark.createDataFrame(points, SCHEMA).repartition(4), "id", "label", "vec", bucket_length=50.0, crowd=40)
+    want, links = brute_links(points), {(r["id_a"], r["id_b"]) for r in got.collect()}
+    assert len(links & want) >= 0.9 * len(want) and len(links - want) <= 0.1 * len(want) + 1
+    same = spark.createDataFrame([(i, 0, [float(i), 0.0]) for i in range(0)], SCHEMA)
+    assert tomek_links_lsh(same, "id", "label", "vec", bucket_length=1.0).count() == 0

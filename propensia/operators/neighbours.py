@@ -120,8 +120,11 @@ def nearest_positions(
 ) -> DataFrame:
     """(id, neighbour, distance, rank) among distinct vectors (id bigint, vec array<double>) of a written table."""
     spark = points.sparkSession
-    # About one block per cell until the pivots run out; more cells than blocks only add pairs.
-    centres = _pivots(points, "id", "vec", max(1, min(pivots, points.count() // block_rows)))
+    # About one block per cell; more cells than blocks only add pairs. More cells than one level of pivots names get a second one.
+    wanted = max(1, points.count() // block_rows)
+    if wanted > pivots:
+        return _best(_two_levels(points, wanted, k, block_rows, pivots, n_codes, code_gap), k)
+    centres = _pivots(points, "id", "vec", wanted)
     if not len(centres):
         return spark.createDataFrame([], "id bigint, neighbour bigint, distance double, rank int")
     width = centres.shape[1]
@@ -186,13 +189,124 @@ def nearest_positions(
     )
     pairs = visits.join(packed, ["cell", "block"]).select("q_ids", "q_blob", "ids", "blobs")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _best(pairs.mapInPandas(_search(width, k, n_codes, code_gap), _FOUND), k)
+
+
+_FOUND = "id bigint, neighbour bigint, distance double"
+
+
+def _search(width: int, k: int, n_codes: int, code_gap: float):
+    """The k best of every query point in the block it meets."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for q_ids, q_blob, ids, blobs in pdf.itertuples(index=False):
+            for q_ids, q_blob, ids, blobs in pdf[["q_ids", "q_blob", "ids", "blobs"]].itertuples(index=False):
                 q_ids, ids = np.asarray(q_ids, dtype="int64"), np.asarray(ids, dtype="int64")
-                rows, near, distance = closest(_matrix(q_blob, width), q_ids, stack(blobs), ids, k, n_codes, code_gap)
+                rows, near, distance = closest(_matrix(q_blob, width), q_ids, _stack(blobs, width), ids, k, n_codes, code_gap)
                 yield pd.DataFrame({"id": q_ids[rows], "neighbour": near, "distance": distance})
 
-    found = pairs.mapInPandas(search, "id bigint, neighbour bigint, distance double")
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _stack(blobs, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype="<f8").reshape(-1, width)
+
+
+def _bounds(x: np.ndarray, ids: np.ndarray, k: int, n_codes: int, code_gap: float) -> np.ndarray:
+    """Upper bound of each point's k-th neighbour distance, from its own block."""
+    rows, _, distance = closest(x, ids, x, ids, k, n_codes, code_gap)
+    bound = np.zeros(len(ids))
+    np.maximum.at(bound, rows, distance)
+    bound[np.bincount(rows, minlength=len(ids)) < k] = np.inf
+    return bound
+
+
+def _to_centres(x: np.ndarray, centres: np.ndarray, n_codes: int, code_gap: float) -> np.ndarray:
+    return np.stack([_gaps(x, np.broadcast_to(c, x.shape), n_codes, code_gap) for c in centres], axis=1)
+
+
+def _reachable(to_centre: np.ndarray, inner: np.ndarray, outer: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which cells the triangle inequality cannot exclude for each point."""
+    gap = np.maximum(to_centre - outer[None, :], inner[None, :] - to_centre)
+    return gap <= bound[:, None] + ROUNDING * (1.0 + to_centre)
+
+
+def _two_levels(points: DataFrame, wanted: int, k: int, block_rows: int, pivots: int, n_codes: int, code_gap: float) -> DataFrame:
+    """(id, neighbour, distance) candidates by a tree of pivots: cells of about ``block_rows`` points at any number of points.
+
+    The upper level has about the square root of the wanted cells (``pivots`` at most), is broadcast and rules out most of
+    the space; the cells below an upper one are a table of their own, joined by the upper cell. Lower pivots are the points
+    of an upper cell whose hash is 0 modulo ``block_rows``, so their number grows with the points.
+    """
+    top = _pivots(points, "id", "vec", max(1, min(pivots, round(wanted**0.5))))
+    width = top.shape[1]
+
+    def assign_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype("float64")
+                cell = _squares(x, top, n_codes, code_gap).argmin(1)
+                yield pd.DataFrame({"id": pdf["id"], "top": cell.astype("int32"), "far": _gaps(x, top[cell], n_codes, code_gap), "blob": [row.tobytes() for row in x]})
+
+    placed = materialise(points.mapInPandas(assign_top, "id bigint, top int, far double, blob binary"), "upper-cells")
+    rings = {r["top"]: r for r in placed.groupBy("top").agg(F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect()}
+    known = np.array(sorted(rings), dtype="int32")
+    inner, outer = (np.array([rings[c][name] for c in known]) for name in ("inner", "outer"))
+
+    # Lower pivots of an upper cell as one row; an upper cell without one is its own pivot.
+    own = placed.filter(F.pmod(F.xxhash64("id"), F.lit(block_rows)) == 0).select("top", F.struct("id", "blob").alias("p"))
+    spare = points.sparkSession.createDataFrame([(int(c), top[c].tobytes()) for c in known], "top int, blob binary")
+    spare = spare.join(own.select("top").distinct(), "top", "left_anti").select("top", F.struct(F.lit(-1).cast("bigint").alias("id"), "blob").alias("p"))
+    lower = own.unionAll(spare).groupBy("top").agg(F.array_sort(F.collect_list("p")).alias("p")).select("top", F.col("p.blob").alias("centres"))
+    lower = materialise(lower, "lower-pivots")
+
+    # Points travel in packs of about a block, so a pack meets its pivots once.
+    packs_of = F.create_map(*[x for c in known for x in (F.lit(int(c)), F.lit(max(1, -(-rings[c]["n"] // block_rows))))])
+    packs = placed.withColumn("pack", F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(packs_of, F.col("top")))).groupBy("top", "pack").agg(
+        F.collect_list(F.struct("id", "blob")).alias("rows")).select("top", F.col("rows.id").alias("ids"), F.col("rows.blob").alias("blobs"))
+
+    def assign_low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, ids, blobs, centres in pdf[["top", "ids", "blobs", "centres"]].itertuples(index=False):
+                x, c = _stack(blobs, width), _stack(centres, width)
+                cell = _squares(x, c, n_codes, code_gap).argmin(1)
+                yield pd.DataFrame({"id": ids, "top": np.int32(t), "low": cell.astype("int32"), "reach": _gaps(x, c[cell], n_codes, code_gap), "blob": list(blobs)})
+
+    placed = materialise(packs.join(lower, "top").mapInPandas(assign_low, "id bigint, top int, low int, reach double, blob binary"), "lower-cells")
+    cells = placed.groupBy("top", "low").agg(F.min("reach").alias("inner"), F.max("reach").alias("outer"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    cells = materialise(cells, "cells")
+    blocked = placed.join(cells.select("top", "low", "blocks"), ["top", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = materialise(blocked.groupBy("top", "low", "block").agg(F.sort_array(F.collect_list(F.struct("id", "blob"))).alias("rows")).select(
+        "top", "low", "block", F.col("rows.id").alias("ids"), F.col("rows.blob").alias("blobs")), "blocks")
+
+    def plan_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, blobs in pdf[["ids", "blobs"]].itertuples(index=False):
+                ids, x = np.asarray(ids, dtype="int64"), _stack(blobs, width)
+                bound = _bounds(x, ids, k, n_codes, code_gap)
+                visit = _reachable(_to_centres(x, top[known], n_codes, code_gap), inner, outer, bound)
+                for j in np.flatnonzero(visit.any(0)):
+                    who = np.flatnonzero(visit[:, j])
+                    yield pd.DataFrame({"top": [known[j]], "q_ids": [ids[who]], "q_blob": [x[who].tobytes()], "bound": [bound[who]]})
+
+    below = cells.groupBy("top").agg(F.sort_array(F.collect_list(F.struct("low", "inner", "outer", "blocks"))).alias("c"))
+    below = below.select("top", *[F.col(f"c.{name}").alias(f"c_{name}") for name in ("low", "inner", "outer", "blocks")]).join(lower, "top")
+
+    def plan_low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, ids, bound = _matrix(row.q_blob, width), np.asarray(row.q_ids), np.asarray(row.bound)
+                at = _to_centres(x, _stack(row.centres, width)[np.asarray(row.c_low)], n_codes, code_gap)
+                visit = _reachable(at, np.asarray(row.c_inner), np.asarray(row.c_outer), bound)
+                for j in np.flatnonzero(visit.any(0)):
+                    who = np.flatnonzero(visit[:, j])
+                    n = int(row.c_blocks[j])
+                    yield pd.DataFrame({"top": np.int32(row.top), "low": np.int32(row.c_low[j]), "block": np.arange(n, dtype="int32"), "q_ids": [ids[who]] * n, "q_blob": [x[who].tobytes()] * n})
+
+    visits = packed.select("ids", "blobs").mapInPandas(plan_top, "top int, q_ids array<bigint>, q_blob binary, bound array<double>").join(below, "top")
+    pairs = visits.mapInPandas(plan_low, "top int, low int, block int, q_ids array<bigint>, q_blob binary").join(packed, ["top", "low", "block"])
+    return pairs.mapInPandas(_search(width, k, n_codes, code_gap), _FOUND)

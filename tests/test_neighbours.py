@@ -110,3 +110,19 @@ def test_hashed_links_of_copies_and_equal_projections(spark):
     assert len(links & want) >= 0.9 * len(want) and len(links - want) <= 0.1 * len(want) + 1
     same = spark.createDataFrame([(i, 0, [float(i), 0.0]) for i in range(0)], SCHEMA)
     assert tomek_links_lsh(same, "id", "label", "vec", bucket_length=1.0).count() == 0
+
+
+@pytest.mark.parametrize("k,n,width,codes", [(1, 900, 2, 0), (3, 600, 3, 0), (2, 500, 3, 1)])
+def test_two_levels_of_pivots_match_brute_force(spark, k, n, width, codes):
+    """More cells than one level of pivots names: same neighbours."""
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, width)) + rng.integers(0, 3, size=(n, 1)) * 8, 3)
+    if codes:
+        x[:, -1] = rng.integers(0, 3, n)
+    df = spark.createDataFrame([(i, 0, [float(v) for v in row]) for i, row in enumerate(x)], SCHEMA).repartition(4)
+    got = nearest_neighbours(df, "id", "vec", k=k, block_rows=16, pivots=4, n_codes=codes, code_gap=2.5)
+    lone = nearest_neighbours(df, "id", "vec", k=k, block_rows=16, pivots=4096, n_codes=codes, code_gap=2.5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lone.collect()))
+    if not codes:
+        points = [(i, 0, list(row)) for i, row in enumerate(x.tolist())]
+        assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute(points, k)

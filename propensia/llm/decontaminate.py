@@ -5,14 +5,16 @@ ordered by rarity over the whole corpus; a window that is contained in a documen
 shingles along, so the rarest one alone (a prefix of length one under exact containment) finds
 every occurrence. A document position that holds such a shingle is a candidate; length and
 positional bounds drop windows that would start before or end behind the document, and the
-remaining ones are compared word by word.
+remaining ones are compared word by word. Equal windows of the items are one window, and a place of
+the text is looked up by the hash of its own window, so that time grows with the text alone, also where
+an item or a document repeats a word or a phrase throughout.
 
 The item side is handled in blocks of bounded size (``BLOCK_CHARS``); each block is one pass for
 rarity and one for the join over all documents, without a shuffle of text. With several blocks the documents
 are written once with a row number, by which the findings of a row are united.
 
 Defined results: a null or empty text has no words and no hits; an empty benchmark hits nothing; an
-item without words has no window; repeated items each count; repeated document rows each get their row.
+item without words has no window; rows with the same item id are one item; repeated document rows each get their row.
 """
 
 from __future__ import annotations
@@ -27,23 +29,34 @@ from propensia.session import materialise
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_CHARS = 32_000_000
-"""Benchmark characters sent to the executors at a time."""
+BLOCK_CHARS = 8_000_000
+"""Benchmark characters sent to the executors at a time; a block takes about 12 bytes a character (measured, 200-word items)."""
 
 _FILTER_BITS = 22
 
 
 class ItemBlock:
-    """Windows of a block of items and, once ranked, the rarest shingle of each."""
+    """Different windows of a block of items and, once ranked, the rarest shingle of each.
+
+    Words are numbers into a vocabulary; equal windows are one, with the items that hold it. All of it is arrays.
+    """
 
     def __init__(self, items: list[tuple], window: int, shingle: int):
         self.window, self.shingle = window, shingle
-        self.ids, self.words = [i for i, _ in items], [alnum_words((t or "").encode()) for _, t in items]
-        hashes = WordHashes()
-        self.own = [self._shingles(hashes.of(w)) if w else np.empty(0, np.uint64) for w in self.words]
-        self.sizes = sorted({min(shingle, len(w)) for w in self.words if w})
+        self.ids = [str(i) for i, _ in items]
+        numbers, hashes = {}, WordHashes()
+        words, self.own, windows = [], [], []
+        for _, text in items:
+            own = alnum_words((text or "").encode())
+            h = hashes.of(own)
+            length = min(window, len(own))
+            words.append(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int32))
+            self.own.append(self._shingles(h) if own else np.empty(0, np.uint64))
+            windows.append(window_hashes(h, length) ^ np.uint64(length) if own else np.empty(0, np.uint64))
+        self.vocabulary = list(numbers)
+        self.sizes = sorted({min(shingle, len(w)) for w in words if len(w)})
         self.tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *self.own]))
-        self.prefixes: dict[int, list[tuple[int, int, int]]] = {}
+        self._group(words, windows)
         self.prefix_keys = np.empty(0, np.uint64)
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
@@ -51,20 +64,75 @@ class ItemBlock:
         own = window_hashes(h, n)
         return own if n == self.shingle else own ^ np.uint64(n)
 
+    def _group(self, words: list[np.ndarray], windows: list[np.ndarray]) -> None:
+        """One window for all equal ones: ``keys`` (sorted hashes), ``starts`` and ``lengths`` in ``flat``, items of each."""
+        counts = np.array([len(w) for w in windows], np.int64)
+        begins = np.cumsum([0, *(len(w) for w in words)])[:-1]
+        self.flat = np.concatenate([np.empty(0, np.int32), *words])
+        keys = np.concatenate([np.empty(0, np.uint64), *windows])
+        items = np.repeat(np.arange(len(windows)), counts)
+        inner = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = begins[items] + inner if len(keys) else np.empty(0, np.int64)
+        lengths = np.minimum(self.window, np.array([len(w) for w in words], np.int64))[items] if len(keys) else np.empty(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, items, starts, lengths, inner = keys[order], items[order], starts[order], lengths[order], inner[order]
+        leader = np.searchsorted(keys, keys)
+        # Equal hashes of different words stay windows of their own.
+        same = lengths == lengths[leader]
+        for j in range(self.window):
+            at = np.flatnonzero(same & (lengths > j))
+            same[at] = self.flat[starts[at] + j] == self.flat[starts[leader[at]] + j]
+        first, number = np.unique(np.where(same, leader, np.arange(len(keys))), return_inverse=True)
+        self.keys, self.starts, self.lengths, self._place = keys[first], starts[first], lengths[first], (items[first], inner[first])
+        held = np.unique(np.stack([number, items]), axis=1) if len(keys) else np.empty((2, 0), np.int64)
+        self.item_numbers = held[1].astype(np.int32)
+        self.item_ends = np.searchsorted(held[0], np.arange(len(first) + 1))
+
     def rank(self, counts: np.ndarray) -> None:
-        """Choose each window's rarest shingle; ties fall to the smaller hash."""
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for k, (words, own) in enumerate(zip(self.words, self.own, strict=True)):
-            if not words:
-                continue
-            length = min(self.window, len(words))
-            inside = length - min(self.shingle, length) + 1
-            order = list(zip(counts[np.searchsorted(self.tokens, own)].tolist(), own.tolist(), strict=True))
-            for start in range(len(words) - length + 1):
-                best = min(range(start, start + inside), key=order.__getitem__)
-                found.setdefault(order[best][1], []).append((k, start, best - start))
-        self.prefixes = found
-        self.prefix_keys = np.array(sorted(found), np.uint64)
+        """Choose each window's rarest shingle; ties fall to the smaller hash, then to the first place."""
+        place = np.empty(len(counts), np.int64)
+        place[np.lexsort((self.tokens, counts))] = np.arange(len(counts))
+        tokens, offsets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for own in self.own:
+            if len(own):
+                at = np.searchsorted(self.tokens, own)
+                inside = min(len(own), self.window - self.shingle + 1)
+                best = np.lib.stride_tricks.sliding_window_view(place[at], inside).argmin(1)
+                tokens.append(at[np.arange(len(best)) + best])
+                offsets.append(best)
+        # A window's place among all windows of all items, in the order in which they were just made.
+        sizes = np.array([max(0, len(own) - min(len(own), self.window - self.shingle + 1) + 1) if len(own) else 0 for own in self.own], np.int64)
+        item, inner = self._place
+        at = (np.cumsum(sizes) - sizes)[item] + inner if len(item) else np.empty(0, np.int64)
+        found = np.stack([np.concatenate(tokens)[at], np.concatenate(offsets)[at], self.lengths]) if len(at) else np.empty((3, 0), np.int64)
+        found = np.unique(found, axis=1)
+        held = np.unique(found[0])
+        self.prefix_keys, self.offsets, self.sizes_at = self.tokens[held], found[1], found[2]
+        self.ends = np.searchsorted(found[0], np.append(held, len(self.tokens)))
+        self.own = []
+
+    def words_of(self, window: int) -> list[bytes]:
+        start = self.starts[window]
+        return [self.vocabulary[i] for i in self.flat[start : start + self.lengths[window]].tolist()]
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.ids[i] for i in self.item_numbers[self.item_ends[window] : self.item_ends[window + 1]].tolist()]
+
+    def candidates(self, h: np.ndarray, at: np.ndarray, where: np.ndarray):
+        """(starts, windows) in a text of word hashes ``h`` for prefixes number ``where`` at the positions ``at``.
+
+        A prefix names few pairs of (place inside a window, length of the window), whatever the number of its windows;
+        one look-up of the text's own window decides each, so repetition costs no more than other text.
+        """
+        n = self.ends[where + 1] - self.ends[where]
+        pair = _spread(self.ends[where], n)
+        start, size = np.repeat(at, n) - self.offsets[pair], self.sizes_at[pair]
+        inside = (start >= 0) & (start + size <= len(h))
+        for length in np.unique(size[inside]).tolist():
+            begin = np.unique(start[inside & (size == length)])
+            keys = window_hashes(h, length)[begin] ^ np.uint64(length)
+            low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+            yield np.repeat(begin, high - low), _spread(low, high - low)
 
     def positions(self, h: np.ndarray, among: np.ndarray, seen: np.ndarray):
         """(positions, keys, places) of the shingles of ``h`` that occur in the sorted array ``among``."""
@@ -80,6 +148,11 @@ class ItemBlock:
             yield at[same], keys[same], where[same]
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``begin[i], begin[i] + 1, ...`` (``n[i]`` of them) for every i, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _filter(keys: np.ndarray) -> np.ndarray:
     """First look: one bit per hash suffix that occurs among the keys."""
     seen = np.zeros(1 << _FILTER_BITS, bool)
@@ -114,16 +187,17 @@ class Matcher:
 
     def __call__(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
         """(number of words, word ranges of occurrences, sorted ids of their items)."""
-        own, words, found, ids = self.block, alnum_words(text), [], set()
+        own, words, found, known = self.block, alnum_words(text), [], {}
         if words:
-            for at, tokens, _ in own.positions(self.cache.of(words), own.prefix_keys, self.seen):
-                for p, token in zip(at.tolist(), tokens.tolist(), strict=True):
-                    for k, start, offset in own.prefixes[token]:
-                        length, s = min(own.window, len(own.words[k])), p - offset
-                        if s >= 0 and s + length <= len(words) and words[s : s + length] == own.words[k][start : start + length]:
-                            found.append((s, s + length))
-                            ids.add(str(own.ids[k]))
-        return len(words), _merged(found), sorted(ids)
+            h = self.cache.of(words)
+            for at, _, where in own.positions(h, own.prefix_keys, self.seen):
+                for starts, windows in own.candidates(h, at, where):
+                    for s, w in zip(starts.tolist(), windows.tolist(), strict=True):
+                        wanted = known.get(w) or own.words_of(w)
+                        if words[s : s + len(wanted)] == wanted:
+                            known[w] = wanted
+                            found.append((s, s + len(wanted)))
+        return len(words), _merged(found), sorted({i for w in known for i in own.items_of(w)})
 
 
 def _match(block, key_type: pa.DataType = pa.int64()):  # noqa: B008

@@ -3,7 +3,13 @@
 The layout of a record is recognised by a fingerprint: the hash of the set of its nested field paths (array
 steps written ``[]``), restricted to paths that any mapping mentions. Each mapping is declarative: where the
 turns are, which paths hold role and text, how roles are renamed. All fingerprints that a mapping can have
-(with and without its optional paths) are computed once, so recognising a record is one lookup.
+(with and without its optional paths) are computed once. A fingerprint beyond these belongs to a record that mixes
+fields of several layouts: the mapping whose required paths it contains is taken, the most specific one first (most
+required paths, then most list steps, then the order of the mappings), and remembered. Recognising is one lookup.
+
+Defined results: a null, no JSON object, JSON nested too deeply or an unknown layout gives no turns but a row with its
+fingerprint; a list item that is no object gives a row without a segment at its place; half of a surrogate pair becomes
+U+FFFD; a null text is empty; a system text beside a list of turns becomes the first turn.
 
 Turns are written as ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. Control
 strings inside roles and texts are made harmless reversibly: a backslash is put between ``<`` and ``|``, and
@@ -36,7 +42,8 @@ class Mapping:
     """How a layout's fields become turns.
 
     ``turns`` is the path of a list of turns with ``role`` and ``text`` inside it; without it ``fields`` lists
-    (role, paths of the record joined by a blank line). ``optional`` paths may be absent.
+    (role, paths of the record joined by a blank line). ``optional`` paths may be absent; ``lead`` ones hold
+    system texts that stand beside a list of turns.
     """
 
     name: str
@@ -46,6 +53,7 @@ class Mapping:
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: frozenset[str] = frozenset()
     rename: bool = True
+    lead: tuple[str, ...] = ()
 
     def paths(self) -> set[str]:
         if self.turns is not None:
@@ -53,13 +61,18 @@ class Mapping:
             return {inner + self.role, inner + self.text}
         return {p for _, paths in self.fields for p in paths}
 
+    def required(self) -> set[str]:
+        return self.paths() - self.optional
+
+
+LEAD = ("system", "system_prompt", "context")
 
 MAPPINGS = (
     Mapping("turn rows", turns="", role="role", text="text", rename=False),
-    Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("message parts", turns="messages", role="role", text="content[].text"),
-    Mapping("from and value", turns="conversations", role="from", text="value"),
-    Mapping("dialogue", turns="dialog", role="speaker", text="utterance"),
+    Mapping("messages", turns="messages", role="role", text="content", lead=LEAD),
+    Mapping("message parts", turns="messages", role="role", text="content[].text", lead=LEAD),
+    Mapping("from and value", turns="conversations", role="from", text="value", lead=LEAD),
+    Mapping("dialogue", turns="dialog", role="speaker", text="utterance", lead=LEAD),
     Mapping("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=frozenset({"system", "input"})),
     Mapping("prompt and completion", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt and response", fields=(("system", ("system_prompt",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=frozenset({"system_prompt"})),
@@ -69,13 +82,18 @@ MAPPINGS = (
 )
 
 
-def field_paths(value, at: str = "") -> set[str]:
+def field_paths(value) -> set[str]:
     """Paths of all leaves; an empty list or object is a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+    out, todo = set(), [(value, "")]
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            todo += [(v, f"{at}[]") for v in value]
+        else:
+            out.add(at)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -87,18 +105,23 @@ class Layouts:
 
     def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
         self.known = set().union(*(m.paths() for m in mappings))
-        self.by_print: dict[str, Mapping] = {}
+        # Most specific first; sorting keeps the order of the mappings among equals.
+        self.mappings = sorted(mappings, key=lambda m: (-len(m.required()), -sum(p.count("[]") for p in m.required())))
+        self.by_print: dict[str, Mapping | None] = {}
         for m in mappings:
             for k in range(len(m.optional) + 1):
                 for left_out in itertools.combinations(sorted(m.optional), k):
                     self.by_print.setdefault(fingerprint(m.paths() - set(left_out)), m)
 
     def recognise(self, record) -> tuple[str, Mapping | None]:
-        print_ = fingerprint(field_paths(record) & self.known)
-        return print_, self.by_print.get(print_)
-
-    def turns(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
-        """(fingerprint, name of the layout or None, turns); a layout that is not known has no turns."""
+        paths = field_paths(record) & self.known
+        print_ = fingerprint(paths)
+        if print_ not in self.by_print:
+            self.by_print[print_] = next((m for m in self.mappings if m.required() <= paths), None)
+        return print_, self.by_print[print_]
+
+    def turns(self, record) -> tuple[str, str | None, list[tuple[str, str] | None]]:
+        """(fingerprint, name of the layout or None, turns); a layout that is not known has no turns, None is no turn."""
         print_, m = self.recognise(record)
         if m is None:
             return print_, None, []
@@ -109,9 +132,14 @@ class Layouts:
                 if parts or not all(p in m.optional for p in paths):
                     out.append((role, "\n\n".join(parts)))
             return print_, m.name, out
-        items = record[m.turns] if m.turns else [record]
-        out = []
+        items = record.get(m.turns) if m.turns else [record]
+        if not isinstance(items, list):  # a dotted name that only looks like the path
+            return print_, None, []
+        out = [("system", t) for p in m.lead if (t := _text(record.get(p)))]
         for item in items:
+            if not isinstance(item, dict):
+                out.append(None)
+                continue
             role, text = _text(item.get(m.role)), item.get(m.text.split("[")[0])
             if "[]" in m.text:
                 leaf = m.text.split("[].")[1]
@@ -120,9 +148,13 @@ class Layouts:
         return print_, m.name, out
 
 
+_HALVES = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    """A null is an empty text; what is no text is written as JSON."""
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A null is an empty text; what is no text is written as JSON. Half of a surrogate pair becomes U+FFFD."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else _HALVES.sub("\ufffd", text)
 
 
 _RAW, _SAFE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -155,13 +187,15 @@ def _format(layouts: Layouts):
         for batch in batches:
             out = []
             for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                print_, name, turns = None, None, []
                 try:
                     value = json.loads(record) if record is not None else None
-                except ValueError:
-                    value = None
-                print_, name, turns = layouts.turns(value) if isinstance(value, dict) else (None, None, [])
-                for i, (role, text) in enumerate(turns):
-                    out.append((conv, turn, i, print_, name, *format_turn(role, text)))
+                    if isinstance(value, dict):
+                        print_, name, turns = layouts.turns(value)
+                except (ValueError, RecursionError):
+                    pass
+                for i, turn_ in enumerate(turns):
+                    out.append((conv, turn, i, print_, name, *(format_turn(*turn_) if turn_ else (None, None, None))))
                 if not turns:
                     out.append((conv, turn, None, print_, name, None, None, None))
             columns = list(zip(*out, strict=True)) if out else [()] * 8

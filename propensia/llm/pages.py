@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. The first pass looks at each bloc
 share of stop words, the share of its characters inside links, and the element it stands in. Blocks in menu
 and form elements, readers' comments and blocks of links are boilerplate; long enough prose is content; what is
 too short or has too few stop words stays undecided. Names that hint at boilerplate (class, id, role) are
-evidence: long dense prose with few links outvotes them, and so does an element that holds most of the page's
-prose. The second pass lets undecided blocks inherit from the nearest decided blocks on either side, first of
+evidence: long dense prose with few links outvotes them (not those of adverts and cookie or newsletter notices), and
+so does an element that holds most of the page's prose. The second pass lets undecided blocks inherit from the nearest decided blocks on either side, first of
 all those of the same article element. Article elements count only where they hold most of the page's prose;
 long dense prose outside of them is content even then.
 """
@@ -44,6 +44,10 @@ HINTS = set(
     "side footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social follow "
     "related recommended widget copyright legal disclaimer header".split())
 READERS = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"}
+# What stands in readers' comments besides.
+READER_PARTS = {"comment", "comments", "commentlist"}, set("author avatar body children content count date entry footer form header holder meta metadata text time title tree".split())
+# Hints that prose does not outvote, however long: only what holds most of the page's prose does.
+FIRM = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr newsletter popup".split())
 # Words that say nothing beside a hint: "related-posts" hints as "related" does, "page-header" or "has-sidebar" do not.
 NEUTRAL = set("area bar block bottom box button buttons container icons inner item items left links list module outer panel post posts right section site slot thread top unit user wrap wrapper".split())
 
@@ -62,25 +66,26 @@ MOST_HINTS = 16
 _STOP = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|title)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attr>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HINT_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 GOOD, BAD, OPEN = 1, 0, -1
 WEAK, STRONG = 1, 2
+_FOREIGN = {"svg", "math"}
 
 
 class Block:
-    __slots__ = ("text", "linked", "article", "hints", "label")
+    __slots__ = ("text", "linked", "article", "hints", "firm", "label")
 
-    def __init__(self, text: str, linked: int, article: int, boilerplate: bool, hints: tuple[int, ...] = ()):
-        self.text, self.linked, self.article, self.hints = text, linked, article, hints
+    def __init__(self, text: str, linked: int, article: int, boilerplate: bool, hints: tuple[int, ...] = (), firm: tuple[int, ...] = ()):
+        self.text, self.linked, self.article, self.hints, self.firm = text, linked, article, hints, firm
         self.label = BAD if boilerplate else OPEN
 
 
 def _hinted(attributes: str) -> str:
-    """What an element's class, id or role says: ``readers``, ``boilerplate`` or nothing. Whole names count, not parts of them."""
+    """What an element's class, id or role says: ``readers``, ``firm``, ``boilerplate`` or nothing. Whole names count, not parts of them."""
     said = ""
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
@@ -88,11 +93,23 @@ def _hinted(attributes: str) -> str:
             if words <= HINTS | READERS | NEUTRAL:
                 if words & READERS:
                     return "readers"
-                if words & HINTS:
-                    said = "boilerplate"
+                if words & FIRM:
+                    said = "firm"
+                elif words & HINTS:
+                    said = said or "boilerplate"
+            elif words & READER_PARTS[0] and words <= HINTS | READERS | NEUTRAL | READER_PARTS[1]:
+                return "readers"
     return said
 
 
+_UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(page: str) -> str:
+    """A-Z in lower case; every character keeps its place."""
+    return page.translate(_UPPER)
+
+
 def cut(page: str) -> list[Block]:
     """The blocks of a page in order, each with its white space as single spaces and references decoded."""
     blocks: list[Block] = []
@@ -100,14 +117,17 @@ def cut(page: str) -> list[Block]:
     linked, in_link, articles, hinted = 0, 0, 0, 0
     # Open elements: (name, inside boilerplate, number of the article or 0, what the element says, numbers of the hinting elements around).
     stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
-    hidden = 0
+    # Open elements that hide their text: (name, open elements around). They end with the element around them at the latest.
+    hidden: list[tuple[str, int]] = []
+    last_end: dict[str, int] = {}
+    firm: set[int] = set()
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             top = stack[-1] if stack else ("", False, 0, "", ())
-            blocks.append(Block(joined, linked, top[2], top[1], top[4]))
+            blocks.append(Block(joined, linked, top[2], top[1], top[4], tuple(h for h in top[4] if h in firm)))
         text.clear()
         linked = 0
 
@@ -119,6 +139,7 @@ def cut(page: str) -> list[Block]:
                 linked += len("".join(html.unescape(part).split()))
 
     at = 0
+    lowered = ""
     for m in _TAG.finditer(page):
         data(page[at : m.start()])
         at = m.end()
@@ -135,22 +156,34 @@ def cut(page: str) -> list[Block]:
             if name == "a":
                 in_link = 0
             elif name in HIDDEN:
-                hidden = max(0, hidden - 1)
+                for i in range(len(hidden) - 1, -1, -1):
+                    if hidden[i][0] == name:
+                        del hidden[i:]
+                        break
             elif name in BLOCKS or name in BOILERPLATE:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
+            while hidden and hidden[-1][1] > len(stack):
+                hidden.pop()
             continue
         if name == "br":
             text.append(" ")
         elif name == "a":
             in_link = 1
-        elif name in HIDDEN:
-            hidden += 1
+        elif name == "head" or (name in HIDDEN and not (name in _FOREIGN and m["attr"].endswith("/"))):
+            # An element that never ends hides nothing; a head needs no end, its first block ends it.
+            if name != "head" and name not in last_end:
+                lowered = lowered or _lower(page)
+                last_end[name] = lowered.rfind(f"</{name}")
+            if name == "head" or last_end[name] > at:
+                hidden.append((name, len(stack)))
         elif name in ("body", "article", "main"):
-            hidden = 0  # a head or object left open does not hide the page
+            hidden.clear()  # a head or object left open does not hide the page
+        elif hidden and hidden[0][0] == "head" and name != "html" and (name in BLOCKS or name in BOILERPLATE):
+            hidden.clear()
         if name not in BLOCKS and name not in BOILERPLATE:
             continue
         close()
@@ -169,9 +202,11 @@ def cut(page: str) -> list[Block]:
             own = _hinted(m["attr"])
         if own == "readers" and not bad:
             bad, said = True, own
-        elif own == "boilerplate" and len(hints) < MOST_HINTS:
+        elif own in ("boilerplate", "firm") and len(hints) < MOST_HINTS:
             hinted += 1
             hints = (*hints, hinted)
+            if own == "firm":
+                firm.add(hinted)
         if name in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):
             # These end where the next one begins, whether they were closed or not.
             for i in range(len(stack) - 1, -1, -1):
@@ -213,7 +248,7 @@ def decide(blocks: list[Block]) -> list[int]:
     for b, k, gone in zip(blocks, kinds, out, strict=True):
         if gone:
             labels.append(BAD)
-        elif k != STRONG and not most.issuperset(b.hints):
+        elif not most.issuperset(b.firm if k == STRONG else b.hints):
             labels.append(BAD)
         else:
             labels.append(GOOD if k else OPEN)

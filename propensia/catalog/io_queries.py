@@ -15,6 +15,7 @@ from propensia.operators.learned import BOUNDS_SCHEMA, fit_iqr_bounds
 from propensia.session import staging_path
 from propensia.sources import delimited, store
 from propensia.streaming.ingest import ingest_landed_files
+from propensia.streaming.ledger import ASIDE, ingest_with_ledger, read_ledger
 
 
 def _land(df: DataFrame, folder: str, append: bool = False) -> None:
@@ -199,3 +200,20 @@ def stream_ingest_files(spark, sf):
     return ingested.groupBy("event_type").agg(
         F.count("*").alias("n"), F.sum(minor_units(fr_decimal("value"))).alias("cents")
     )
+
+
+@query("stream_ingest_ledger", """
+    SELECT event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents, 'columns missing: value' AS reason_aside
+    FROM events WHERE event_type <> 'error' GROUP BY 1""")
+def stream_ingest_ledger(spark, sf):
+    """Files with three headers: as wanted, in another order with one column more, and without the amount (set aside)."""
+    landing, state = staging_path(spark, "landing"), staging_path(spark, "ledger")
+    events = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), "event_type", to_fr_text("value").alias("value"), F.col("ts").cast("string").alias("ts"))
+    _land(events.filter("event_type = 'view'").drop("ts"), landing)
+    _land(events.filter("event_type NOT IN ('view', 'error')").select("ts", "value", "event_type", "event_id"), landing, append=True)
+    _land(events.filter("event_type = 'error'").select("event_id", "event_type"), landing, append=True)
+    rows = ingest_with_ledger(
+        spark, landing, f"{state}/table", f"{state}/ledger", f"{state}/checkpoint", ["event_id", "event_type", "value"], max_files_per_batch=3)
+    aside = read_ledger(spark, f"{state}/ledger").filter(F.col("status") == ASIDE).agg(F.array_join(F.collect_set("reason"), "; ")).scalar()
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(minor_units(fr_decimal("value"))).alias("cents")).withColumn("reason_aside", aside)

@@ -39,11 +39,11 @@ def headers(spark: SparkSession, files: Sequence[str], encoding: str = ENCODING)
 def _spark_first_line(spark: SparkSession, path: str, encoding: str) -> str:
     """The same through Spark's reader, for stores that only it knows; a job of its own."""
     reader = spark.read.option("header", "true").option("encoding", encoding).option("sep", "\u0001").option("quote", "")
-    columns = reader.csv(_literal(path)).columns
+    columns = reader.csv(literal_path(path)).columns
     return columns[0] if columns else ""
 
 
-def _literal(path: str) -> str:
+def literal_path(path: str) -> str:
     """A path that is not taken for a glob."""
     return "".join(f"\\{c}" if c in "*?[]{}" else c for c in path)
 
@@ -67,7 +67,7 @@ def read_delimited(
         names = tuple(c.strip().strip('"') for c in line.split(sep)) if line else ()
         groups.setdefault(names, []).append(file)
     reader = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding).option("enforceSchema", "false")
-    parts = [reader.schema(string_schema(names)).csv([_literal(f) for f in files]) for names, files in groups.items() if names]
+    parts = [reader.schema(string_schema(names)).csv([literal_path(f) for f in files]) for names, files in groups.items() if names]
     tags = dict(tags or {})
     if not parts:
         empty = spark.createDataFrame([], string_schema(columns or []))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.ml.feature import Imputer, ImputerModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from propensia.catalog import roles
 from propensia.catalog.registry import query, table
 from propensia.functions import fr_date, fr_decimal, minor_units, to_fr_text
+from propensia.operators import sketches
+from propensia.operators.aggregates import distinct_counts
 from propensia.operators.learned import BOUNDS_SCHEMA, fit_iqr_bounds
+from propensia.operators.quantiles import long_values
 from propensia.session import staging_path
 from propensia.sources import delimited, store
 from propensia.streaming.ingest import ingest_landed_files
@@ -217,3 +221,40 @@ def stream_ingest_ledger(spark, sf):
         spark, landing, f"{state}/table", f"{state}/ledger", f"{state}/checkpoint", ["event_id", "event_type", "value"], max_files_per_batch=3)
     aside = read_ledger(spark, f"{state}/ledger").filter(F.col("status") == ASIDE).agg(F.array_join(F.collect_set("reason"), "; ")).scalar()
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(minor_units(fr_decimal("value"))).alias("cents")).withColumn("reason_aside", aside)
+
+
+_PROFILED = ("l_quantity", "l_extendedprice", "l_partkey", "l_returnflag", "l_tax")
+_PROFILE_QUARTERS = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def _profile_sql(column: str) -> str:
+    number = f"{column}::DOUBLE" if column != "l_returnflag" else "NULL::DOUBLE"
+    return (f"SELECT '{column}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({column} IS NULL) AS n_null, min({number}) AS low, "
+            f"max({number}) AS high, 1 AS distinct_near, 1 AS quantiles_near, 2 AS n_updates FROM lineitem")
+
+
+@query("profile_sketch_store", " UNION ALL ".join(map(_profile_sql, _PROFILED)))
+def profile_sketch_store(spark, sf):
+    """Profiles of files that arrive in two deliveries, united, beside the whole table: exact counts, sketches within their bounds."""
+    landing, profiles = staging_path(spark, "deliveries"), staging_path(spark, "profiles")
+    lines = table(spark, sf, "lineitem").select(*_PROFILED, "l_linenumber")
+    updates = 0
+    for odd in (1, 0, None):
+        if odd is not None:
+            lines.filter(F.col("l_linenumber") % 2 == odd).select(*_PROFILED).write.mode("append").parquet(landing)
+        files = [unquote(f) for f in spark.read.schema(lines.drop("l_linenumber").schema).parquet(landing).inputFiles()]
+        read = spark.read.schema(lines.drop("l_linenumber").schema).parquet
+        updates += sketches.update_profiles(spark, profiles, files, lambda paths: read(*paths), _PROFILED) > 0  # the third delivery is empty
+    found = sketches.estimates(sketches.unite(sketches.read_profiles(spark, profiles)), _PROFILE_QUARTERS)
+    exact = distinct_counts(lines, _PROFILED).withColumnRenamed("n_distinct", "n_exact")
+    numbers = [c for c in _PROFILED if c != "l_returnflag"]
+    ranks = long_values(lines, numbers).join(F.broadcast(found), "column").groupBy("column").agg(*[
+        e for q in _PROFILE_QUARTERS for e in (F.count_if(F.col("value") < F.col(q)).alias(f"{q}_below"), F.count_if(F.col("value") <= F.col(q)).alias(f"{q}_upto"))])
+    near = F.lit(True)
+    for q, p in _PROFILE_QUARTERS.items():
+        near = near & (F.col(f"{q}_below") <= (p + 0.01) * F.col("n_rows") + 1) & (F.col(f"{q}_upto") >= (p - 0.01) * F.col("n_rows") - 1)
+    both = found.join(exact, "column").join(ranks, "column", "left")
+    return both.select(
+        "column", "n_rows", "n_null", "low", "high",
+        (F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * 0.01625 * F.col("n_exact") + 1).cast("int").alias("distinct_near"),
+        F.coalesce(near, F.col("q50").isNull()).cast("int").alias("quantiles_near"), F.lit(updates).alias("n_updates"))

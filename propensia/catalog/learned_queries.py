@@ -13,10 +13,13 @@ from propensia.functions import fr_decimal
 from propensia.operators import association as assoc
 from propensia.operators import learned, quality, rules
 from propensia.operators.aggregates import balance_summary, channel_summary, operations_summary
+from propensia.operators.gates import key_report, observe_keys
 from propensia.operators.sets import union_by_name
 from propensia.plans.cleaning import clean_score, clean_train
+from propensia.plans.curated import curate, join_curated
 from propensia.plans.dataset import KEY, REFERENCE_DATE, build_dataset, client_base, feature_tables
-from propensia.session import materialise
+from propensia.session import materialise, staging_path
+from propensia.sources.store import bucket_number
 
 TOTALS = ["montant_total_gab", "montant_total_retraits", "c_acctbal", "n_orders"]
 
@@ -424,6 +427,20 @@ def dq_unique_keys(spark, sf):
     return quality.unique_keys(tables, KEY)
 
 
+_GATED = ("base", "cible", "pack", "digital", "solde", "depot", "flux", "gab", "retrait", "payfac", "vignette", "dataset")
+
+
+@query("dq_gates_observed", roles.with_roles(*_GATED) + " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS n_rows, count(DISTINCT radical) AS n_keys, 0 AS n_extra FROM {t}" for t in _GATED))
+def dq_gates_observed(spark, sf):
+    """Both gates of the feature table as counted by the writes themselves."""
+    raw, folder = roles.raw_tables(spark, sf), staging_path(spark, "curated")
+    curated = curate(raw, folder, bucket_number(raw["perimetre"].count()), codes=roles.CODES)
+    dataset, seen = observe_keys(join_curated(curated), KEY, "dataset", 8)
+    dataset.write.parquet(f"{folder}/dataset")
+    return key_report(spark, {**curated.gates, "dataset": seen})
+
+
 @query("dq_row_conservation", roles.with_roles("base", "dataset") + """
     SELECT b AS n_base, d AS n_result, CAST(b = d AS INTEGER) AS conserved FROM (SELECT (SELECT count(*) FROM base) AS b, (SELECT count(*) FROM dataset) AS d)""")
 def dq_row_conservation(spark, sf):

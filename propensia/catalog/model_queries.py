@@ -10,15 +10,18 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from propensia.catalog import roles
-from propensia.catalog.registry import query, table
+from propensia.catalog.registry import ORACLES, query, table
 from propensia.functions import exact_mean, exact_sum
 from propensia.operators import encode, models, resample, rules
 from propensia.operators import evaluate as ev
 from propensia.operators.sets import hash_split
+from propensia.plans.curated import curate, write_dataset
 from propensia.plans.dataset import build_dataset, savings_target
 from propensia.plans.small_job import train_small
 from propensia.plans.training import score_table, train_select_save
+from propensia.plans.yearly import YearlyDataset
 from propensia.session import materialise, staging_path
+from propensia.sources.store import bucket_number
 
 _DATASET_TEXT = "derniere_operation_gab"
 
@@ -39,6 +42,25 @@ def build_dataset_final(spark, sf):
     return dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("build_dataset_bucketed", ORACLES["build_dataset_final"])
+def build_dataset_bucketed(spark, sf):
+    """Through curated tables in buckets of clients, with the blocking gates counted while they are written."""
+    raw, folder = roles.raw_tables(spark, sf), staging_path(spark, "curated")
+    curated = curate(raw, folder, bucket_number(raw["perimetre"].count()), codes=roles.CODES)
+    dataset = write_dataset(curated, f"{folder}/dataset")
+    return dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("build_dataset_incremental", ORACLES["build_dataset_final"])
+def build_dataset_incremental(spark, sf):
+    """File after file, each merged into the buckets of its own clients; one file comes twice, which changes nothing."""
+    kept = YearlyDataset(spark, staging_path(spark, "yearly"), codes=roles.CODES, buckets=8)
+    kept.take_all({name: [(f"{name}-{i}", raw) for i, raw in enumerate(files)] for name, files in roles.raw_files(spark, sf).items()})
+    kept.take("gab", "gab-0", roles.gab_files(spark, sf)[0])
+    dataset = kept.dataset()
+    return dataset.withColumn(_DATASET_TEXT, F.date_format(_DATASET_TEXT, "yyyy-MM-dd HH:mm:ss"))
+
+
 # ---- the table the models learn from -------------------------------------------
 
 SPEC = models.FeatureSpec(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from propensia.catalog import roles
-from propensia.catalog.registry import query, table
+from propensia.catalog.registry import ORACLES, query, table
 from propensia.functions import exact_sum, fr_date
 from propensia.operators import aggregates as ag
 from propensia.operators import joins, sets, windows
@@ -14,6 +16,8 @@ from propensia.operators.evaluate import cumulative_confusion
 from propensia.operators.learned import class_weights
 from propensia.operators.quantiles import approx_quantiles, exact_quantiles, long_values
 from propensia.plans.dataset import REFERENCE_DATE, current_pack, savings_target
+from propensia.session import staging_path
+from propensia.sources import store
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -43,6 +47,21 @@ def join_left_chain(spark, sf):
     return joins.left_join_chain(base, [orders, events], "c_custkey")
 
 
+@query("join_bucketed_chain", ORACLES["join_left_chain"])
+def join_bucketed_chain(spark, sf):
+    """The same chain over curated tables in buckets of clients: no side of a join is shuffled."""
+    base = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n_orders"), exact_sum("o_totalprice").alias("total"))
+    events = _events(spark, sf).groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n_events"))
+    buckets = store.bucket_number(base.count())
+    saved = [
+        store.save_bucketed(df, f"curated_{name}_{uuid.uuid4().hex}", staging_path(spark, name), "c_custkey", buckets)
+        for name, df in (("clients", base), ("orders", orders), ("events", events))
+    ]
+    return joins.left_join_chain(saved[0], saved[1:], "c_custkey")
+
+
 @query("join_left_anti", """
     SELECT o_custkey AS k, count(*) AS n_orders FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1""")
 def join_left_anti(spark, sf):

@@ -176,6 +176,15 @@ def raw_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
+def raw_files(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]]:
+    """The raw tables as the single files they arrive in."""
+    return {
+        "perimetre": [perimetre(spark, sf)], "assi": [assi(spark, sf)], "opk": opk_files(spark, sf), "digitaux": [digitaux(spark, sf)],
+        "solde": solde_files(spark, sf), "depot": depot_files(spark, sf), "flux": flux_files(spark, sf), "gab": gab_files(spark, sf),
+        "retrait": retrait_files(spark, sf), "payfac": payfac_files(spark, sf), "vignette": vignette_files(spark, sf),
+    }
+
+
 def client_label(spark: SparkSession, sf: str) -> DataFrame:
     """(c_custkey, label): 1 for clients with a product in scope."""
     holders = assi(spark, sf).filter(F.col("CODE_PRODUIT").isin(*CODES)).select("RADICAL").distinct()

@@ -34,9 +34,19 @@ def _parts(c: ColumnOrName, scale: int) -> tuple[Column, Column]:
     return units, F.round((amount - units) * float(10 ** scale)).cast("bigint")
 
 
+def partial_sums(c: ColumnOrName, scale: int = 6) -> dict[str, Column]:
+    """What an exact sum or mean is finished from; each part of two row sets adds up to that of both."""
+    units, rest = _parts(c, scale)
+    return {"n_amounts": F.count(units), "units": F.sum(units), "rest": F.sum(rest)}
+
+
+def total_of_parts(units: ColumnOrName, rest: ColumnOrName, scale: int = 6) -> Column:
+    return (_col(units).cast("decimal(38,9)") + _col(rest).cast("decimal(38,9)") / F.lit(10 ** scale)).cast("double")
+
+
 def _total(c: ColumnOrName, scale: int) -> Column:
     units, rest = _parts(c, scale)
-    return (F.sum(units).cast("decimal(38,9)") + F.sum(rest).cast("decimal(38,9)") / F.lit(10 ** scale)).cast("double")
+    return total_of_parts(F.sum(units), F.sum(rest), scale)
 
 
 def exact_sum(c: ColumnOrName, scale: int = 6) -> Column:

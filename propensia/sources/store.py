@@ -53,3 +53,22 @@ def save_table(df: DataFrame, name: str, path: str, partition_by: Sequence[str]
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)
     return df.sparkSession.table(name)
+
+
+def bucket_number(rows: int, rows_per_bucket: int = 2_000_000, at_least: int = 8) -> int:
+    """A power of two, so that tables of one generation can share the number and a later one can double it."""
+    number = at_least
+    while number * rows_per_bucket < rows:
+        number *= 2
+    return number
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Curated table cut into ``buckets`` files by key, each sorted by it: later joins and groupings by the key need no shuffle.
+
+    Meant for tables with one row per key, where no bucket can be hot. The rows are dealt by the same
+    hash that the table is cut by, so every task writes one file.
+    """
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    return df.sparkSession.table(name)

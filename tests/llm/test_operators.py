@@ -323,6 +323,36 @@ def test_predictions_sum_to_one():
         assert seating.predict(seating.totals(), base, every, np.full(41, context)).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("level, others, parent", [(0, 50, 0.01), (0, 0, 0.2), (0, 20_000, 0.01), (1, 300, 0.02), (2, 20_000, 1e-5)])
+@pytest.mark.parametrize("customers, many", [(1, 100), (2, 20_000), (40, 20_000), (700, 6_000)])
+def test_seating_in_blocks_equals_one_by_one(level, others, parent, customers, many):
+    rng = np.random.default_rng([level, customers])
+    d, strength = scoring.DISCOUNT[level], scoring.STRENGTH[level]
+    tables = np.ones(many)
+    for i in range(1, customers):
+        new = (strength + d * (others + tables)) * parent
+        tables += rng.random(many) < new / (i - d * tables + new)
+    drawn = scoring._seat(np.full(many, customers), level, np.full(many, others), np.full(many, parent), rng)
+    assert drawn.min() >= 1 and drawn.max() <= customers
+    # Both means are of random draws: four standard errors of their difference, and half a percent for the blocks.
+    assert abs(drawn.mean() - tables.mean()) <= 4 * tables.std() * (2 / many) ** 0.5 + 0.005 * tables.mean()
+    assert drawn.std() == pytest.approx(tables.std(), rel=0.08, abs=0.02)
+
+
+def test_leaving_customers_close_their_tables():
+    rng = np.random.default_rng(3)
+    customers = rng.integers(1, 60, 5000)
+    tables = rng.integers(1, customers + 1)
+    leaving = rng.integers(0, customers + 1)
+    closed = scoring._leave(customers, tables, leaving, rng)
+    left, kept = customers - leaving, tables - closed
+    assert (closed >= 0).all() and (closed[leaving == 0] == 0).all() and (kept[left == 0] == 0).all()
+    assert (kept[left > 0] >= 1).all() and (kept <= left).all()
+    # Half of 1,000 customers at 400 tables leave: half of the tables close.
+    many = scoring._leave(np.full(4000, 1000), np.full(4000, 400), np.full(4000, 500), rng)
+    assert many.mean() == pytest.approx(200, abs=1)
+
+
 def test_model_beats_counting_on_held_out_text(spark):
     out = scoring.score_report(spark.read.parquet(f"{TABLES}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]

@@ -21,7 +21,7 @@ from propensia.operators.encode import encoder, feature_names, tree_bins
 from propensia.operators.evaluate import best_threshold, weighted_metrics
 from propensia.operators.learned import THRESHOLD_SCHEMA, class_weights
 from propensia.operators.resample import smotenc
-from propensia.operators.search import Search, class_one_f1, draw_candidates, every_candidate, search
+from propensia.operators.search import Search, class_one_f1, draw_candidates, every_candidate, search, without_summary
 from propensia.operators.sets import balance_fractions, stratified_sample
 from propensia.session import materialise
 from propensia.sources.store import load_params, params_frame, save_params
@@ -114,7 +114,7 @@ def with_class_weights(df: DataFrame, label: str, softened: bool = True) -> Data
 def fit_model(train: DataFrame, spec: FeatureSpec, classifier, softened: bool = True) -> PipelineModel:
     """Encoders, assembler and weighted classifier in one fitted pipeline."""
     weighted = with_class_weights(train, spec.label, softened)
-    return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted)
+    return without_summary(Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted))
 
 
 def fit_all(train: DataFrame, spec: FeatureSpec, classifiers: Mapping[str, object], softened: bool = True) -> dict[str, PipelineModel]:
@@ -122,7 +122,7 @@ def fit_all(train: DataFrame, spec: FeatureSpec, classifiers: Mapping[str, objec
     weighted = with_class_weights(train, spec.label, softened)
     shared = spec.encoder().fit(weighted)
     encoded = materialise(shared.transform(weighted).select("label_idx", "features", WEIGHT), "encoded")
-    return {name: PipelineModel(stages=[*shared.stages, classifier.fit(encoded)]) for name, classifier in classifiers.items()}
+    return {name: without_summary(PipelineModel(stages=[*shared.stages, classifier.fit(encoded)])) for name, classifier in classifiers.items()}
 
 
 def fit_oversampled(train: DataFrame, spec: FeatureSpec, classifier, key: str, k: int = 5) -> PipelineModel:
@@ -135,7 +135,7 @@ def fit_oversampled(train: DataFrame, spec: FeatureSpec, classifier, key: str, k
     synthetic = smotenc(train, key, spec.label, list(spec.numeric), categories, k=k, seed=SEED)
     columns = [spec.label, *spec.numeric, *categories]
     balanced = train.select(*columns).unionByName(synthetic.select(*columns)).withColumn(WEIGHT, F.lit(1.0))
-    return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(materialise(balanced, "balanced"))
+    return without_summary(Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(materialise(balanced, "balanced")))
 
 
 def encoder_of(model: PipelineModel) -> PipelineModel:
@@ -188,7 +188,7 @@ def fit_undersampled(train: DataFrame, spec: FeatureSpec, classifier, seed: int
     """Fit on a sample in which every class is about as large as the smallest, without class weights."""
     fractions = balance_fractions(train, spec.label)
     sampled = materialise(stratified_sample(train, spec.label, fractions, seed).withColumn(WEIGHT, F.lit(1.0)), "undersampled")
-    return Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(sampled)
+    return without_summary(Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(sampled))
 
 
 def search_imbalance_weight(
@@ -200,7 +200,7 @@ def search_imbalance_weight(
     rows = []
     for weight in [1.0, *[ratio * s for s in shares]]:
         weighted = train.withColumn(WEIGHT, F.when(F.col(spec.label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
-        model = Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted)
+        model = without_summary(Pipeline(stages=[*spec.encoder().getStages(), classifier]).fit(weighted))
         rows.append((weight, class_one_f1().evaluate(model.transform(valid))))
     return train.sparkSession.createDataFrame(rows, "positive_weight double, f1_classe1 double")
 

@@ -127,6 +127,18 @@ def class_one_f1() -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
 
 
+def without_summary(model):
+    """The same model (or pipeline of models) without the summaries of its training.
+
+    The summary of a binary classifier refers to the session and travels with the model to the tasks; a session
+    in which a query was observed (``Observation``) cannot travel, so every use of such a model would fail.
+    """
+    for stage in getattr(model, "stages", [model]):
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def _set(classifier, candidate: Candidate):
     return classifier.copy({classifier.getParam(name): value for name, value in candidate.items()})
 
@@ -168,7 +180,7 @@ def search(
     def judge(job):
         k, (chosen, which) = job
         fit, held = tables[k].filter("NOT held_out"), tables[k].filter("held_out")
-        model = _set(classifier, chosen).fit(fit)
+        model = without_summary(_set(classifier, chosen).fit(fit))
         if isinstance(classifier, GBTClassifier):
             rounds = [candidates[i].get(LENGTH, classifier.getMaxIter()) for i in which]
             f1 = prefix_f1(model, held, sorted(set(rounds)))
@@ -184,7 +196,7 @@ def search(
     chosen = candidates[max(range(len(means)), key=lambda i: (means[i], -i))]
     shared = encoder.fit(rows)
     whole = materialise(shared.transform(rows).select("label_idx", "features", *keep), "encoded")
-    best = PipelineModel(stages=[*shared.stages, _set(classifier, chosen).fit(whole)])
+    best = without_summary(PipelineModel(stages=[*shared.stages, _set(classifier, chosen).fit(whole)]))
     for table in (*tables, whole):
         discard(table)
     drawn = [i < n_drawn for i in range(len(candidates))]

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from propensia.catalog import model_queries as mq
@@ -109,3 +110,18 @@ def test_a_model_of_a_shuffled_label_turns_the_row_red(spark, monkeypatch):
     assert compare(mq.ml_rule_recovered(spark, SF), con, ORACLES["ml_rule_recovered"])
     monkeypatch.setattr(mq, "ruled_rows", lambda s, sf: honest(s, sf).withColumn("label", F.when(F.col("split") == "fit", F.col("c_custkey").isin(1, 2, 4, 5).cast("int")).otherwise(F.col("label"))))
     assert compare(mq.ml_bayes_closed_form(spark, SF), con, ORACLES["ml_bayes_closed_form"])
+
+
+def test_models_serve_in_a_session_that_has_observed_a_query(spark, planted):
+    """A training summary names the session, which cannot travel once an observation was made in it."""
+    seen = Observation("rows")
+    planted.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 400
+    for classifier in (models.logistic(), models.random_forest(trees=3)):
+        fitted = models.fit_all(planted, SPEC, {"one": classifier})["one"]
+        for model in (models.fit_model(planted, SPEC, classifier), fitted):
+            assert not model.stages[-1].hasSummary
+            assert model.transform(planted).select("prediction").count() == 400
+            assert len(model.transform(planted).select("prediction").collect()) == 400
+    found = models.cross_validate(planted, SPEC, models.logistic(), {"regParam": [0.01, 0.1]}, folds=2)
+    assert len(found.best.transform(planted).select("prediction").collect()) == 400

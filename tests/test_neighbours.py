@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from propensia.operators.neighbours import nearest_neighbours
-from propensia.operators.resample import smotenc, tomek_clean, tomek_links
+from propensia.operators.resample import hashed_neighbours, smotenc, tomek_clean, tomek_links
 
 SCHEMA = "id bigint, label int, vec array<double>"
 
@@ -126,3 +126,53 @@ def test_two_levels_of_pivots_match_brute_force(spark, k, n, width, codes):
     if not codes:
         points = [(i, 0, list(row)) for i, row in enumerate(x.tolist())]
         assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute(points, k)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k,pivots", [(1, 64), (3, 64), (1, 8)])
+def test_vectors_without_structure_are_not_sent_to_every_block(spark, k, pivots):
+    """Two levels of pivots and one: tasks read packs side by side, the answer is that of brute force."""
+    rng = np.random.default_rng(k)
+    points = [(i * 2, 0, [float(v) for v in row]) for i, row in enumerate(rng.normal(size=(600, 24)))]
+    got = nearest_neighbours(spark.createDataFrame(points, SCHEMA).repartition(3), "id", "vec", k=k, block_rows=16, pivots=pivots)
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute(points, k)
+    assert "CartesianProduct" in plan_of(got)
+
+
+def test_vectors_with_structure_are_still_sent_to_few_blocks(spark):
+    points = cloud(900, 2, seed=4)
+    got = nearest_neighbours(spark.createDataFrame(points, SCHEMA).repartition(3), "id", "vec", block_rows=16, pivots=64)
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute(points, 1)
+    assert "CartesianProduct" not in plan_of(got)
+
+
+def test_packs_side_by_side_with_codes(spark, monkeypatch):
+    """Categories count as equal or different there too."""
+    from propensia.operators import neighbours
+
+    rng = np.random.default_rng(7)
+    points = [(i, [float(v) for v in rng.normal(size=3)] + [float(rng.integers(0, 3))]) for i in range(120)]
+    want = {}
+    for i, x in points:
+        want[i] = min((np.sqrt(sum((a - b) ** 2 for a, b in zip(x[:3], y[:3], strict=True)) + 0.5 * (x[3] != y[3])), j) for j, y in points if j != i)[1]
+    monkeypatch.setattr(neighbours, "MOST_COPIES", 0)
+    got = nearest_neighbours(spark.createDataFrame(points, "id bigint, vec array<double>"), "id", "vec", block_rows=16, n_codes=1, code_gap=0.5)
+    assert {r["id"]: r["neighbour"] for r in got.collect()} == want
+
+
+def test_hashed_places_are_settled_without_the_vectors(spark):
+    """Strips and parts of crowded buckets move ids; the answer keeps to points that share a strip or lie beside it."""
+    rng = np.random.default_rng(3)
+    points = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(400)]
+    df = spark.createDataFrame(points, "id bigint, vec array<double>")
+    got = {r["id"]: (r["neighbour"], r["distance"]) for r in hashed_neighbours(df, 50.0, tables=4, crowd=500).collect()}
+    x = np.array([v for _, v in points])
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(len(x), np.inf))
+    assert all(abs(got[i][1] - gaps[i, got[i][0]]) < 1e-9 for i in got)
+    found = sum(got.get(i, (None,))[0] == int(gaps[i].argmin()) for i, _ in points)
+    assert found >= 390  # buckets of both signs: a neighbour is missed only if all tables part them
+    cut = {r["id"]: r["distance"] for r in hashed_neighbours(df, 50.0, tables=4, crowd=40).collect()}
+    assert all(d >= gaps[i].min() - 1e-9 for i, d in cut.items()) and sum(abs(d - gaps[i].min()) < 1e-9 for i, d in cut.items()) >= 200

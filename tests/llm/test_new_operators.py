@@ -1,5 +1,6 @@
 """Phrase collocations, packing and whitening beside plain versions."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from propensia.llm import collocations, packing, whitening
+from propensia.session import materialise
 from tests.llm.conftest import TABLES
 from tests.llm.plain import LOWER
 
@@ -291,3 +293,25 @@ def check_eigen(m):
     assert np.abs(np.sort(values) - np.linalg.eigvalsh(m)).max() < 1e-13 * scale
     assert (np.diff(values) <= 0).all() and np.linalg.norm(m @ vectors - vectors * values) < 1e-13 * len(m) * scale
     assert np.abs(vectors.T @ vectors - np.eye(len(m))).max() < 1e-13
+
+
+def test_components_of_stars_need_no_round_and_paths_few(spark, monkeypatch):
+    """Each round is one written table; what is settled is seen without running a round."""
+    from propensia.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (written.append(name), materialise(df, name))[1])
+    star = spark.createDataFrame([(7, 1), (1, 9), (9, 1), (4, 4), (5, 2), (None, 3)], "a bigint, b bigint")
+    assert {(r["node"], r["component"]) for r in graph.components(star).collect()} == {(1, 1), (7, 1), (9, 1), (2, 2), (5, 2)}
+    assert len(written) == 1
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
+    lowest = {x: x for e in edges for x in e}
+    for _ in lowest:
+        for a, b in edges:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    want = {(x, c) for x, c in lowest.items() if any(x in e and e[0] != e[1] for e in edges)}
+    for most in (400_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+        got = [(r["node"], r["component"]) for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -19,6 +19,7 @@ No pair list of a group is ever written: a task emits spanning links only.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,10 @@ class KeyPlan:
             self._parts[c] = (math.ceil(1.12 * (differ + 1)) + 2, differ)
         return self._parts[c]
 
+    def differ(self, n: int, c: int) -> int:
+        """Most shingles in which a set of ``n`` differs from a linked one, neither above class ``c``."""
+        return _differ(n + min(_bounds(c, self.t)[1], n * self.t[1] // self.t[0]), self.t)
+
     def keys(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
         """64-bit keys; two linked sets share at least one. ``common`` marks frequent shingles.
 
@@ -100,22 +105,29 @@ class KeyPlan:
         a pair a document also takes part in the next class. Parts that are empty in both sets prove nothing.
         A set with more filled parts than can differ vouches for all its pairs alone; one without adds the
         single shingles of its prefix (rare ones first, then hash order), so that two such sets meet there.
+
+        A set that vouches shares ``filled - differ`` parts with each of its partners, so all but one of these may go
+        if every set drops its last ones in the same order. Equal parts hold equally many shingles: those that hold
+        fewest, on which documents agree by chance, are the last. Their number is the top of a key.
         """
         n = len(s)
         c, out = _classes(n, self.t), []
         rare = s[~common]
         for k in (c, c + 1):
-            parts, differ = self.parts(k)
+            parts, differ = self.parts(k)[0], self.differ(n, k)
             tag = np.uint64(mix(np.array([k + 1], np.uint64))[0])
             filled = 0
             if len(rare):
                 part = (rare >> np.uint64(20)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.uint16 if parts <= 65_536 else np.uint64), kind="stable")
                 own = part[order]
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 filled = len(first)
                 with np.errstate(over="ignore"):
-                    out.append(mix(np.add.reduceat(mix(rare[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag)
+                    keys = mix(np.add.reduceat(mix(rare[order]), first) + own[first] * np.uint64(0x9E3779B97F4A7C15)) ^ tag
+                held = np.minimum(np.diff(np.r_[first, len(own)]), 63).astype(np.uint64)
+                keys = (np.uint64(63) - held) << np.uint64(58) | keys >> np.uint64(6)
+                out.append(np.partition(keys, differ)[: differ + 1] if filled - differ >= 2 else keys)
             # Equal parts are at least parts - differ; empty ones among them at most parts - filled.
             if filled - differ >= 1:
                 continue
@@ -125,10 +137,10 @@ class KeyPlan:
         return np.concatenate(out)
 
 
-_KEY_SCHEMA = "shard int, nodes binary, rows binary, keys binary"
+_KEY_SCHEMA = "part int, nodes binary, rows binary, keys binary, cuts binary"
 
 
-def _emit_keys(shingle: int, t: Threshold, shards: int, frequent):
+def _emit_keys(shingle: int, t: Threshold, dealt: int, shards: int, frequent):
     def run(batches):
         plan, hashes, often = KeyPlan(t), WordHashes(), frequent.value
         nodes, keys, seen, held = [], [], set(), 0
@@ -142,18 +154,23 @@ def _emit_keys(shingle: int, t: Threshold, shards: int, frequent):
                     keys.append(own)
                     held += len(own)
             if held > 500_000:
-                yield _sharded(nodes, keys, shards)
+                yield _sharded(nodes, keys, dealt, shards)
                 nodes, keys, seen, held = [], [], set(), 0
         if held:
-            yield _sharded(nodes, keys, shards)
+            yield _sharded(nodes, keys, dealt, shards)
 
     return run
 
 
+KEYS_A_TASK = 6_000_000
+"""Keys that one task brings together, of about 8 bytes each."""
+
 COUNTERS = (1 << 16, 1 << 24)
 """Fewest and most counters that shingles are hashed into to tell the frequent ones; 16 to 32 shingles a counter on average
 while that many counters suffice (about half a billion shingles), so that the bound of FREQUENT does not move with the table."""
 
+COUNTERS_A_ROW = 4096
+
 FREQUENT = 8
 """A shingle is frequent when its counter exceeds this times the mean counter, and 64. Any fixed choice keeps
 the keys complete; this one decides how large the blocks around common passages can get."""
@@ -177,24 +194,25 @@ def _count_shingles(shingle: int, counters: int):
                 s = shingle_set(text, shingle, hashes)
                 if len(s):
                     np.add.at(total, _bucket(s, counters), 1)
-        # 256 counters travel as one row, a byte each where that holds them.
-        rows = total.reshape(-1, 256)
+        # COUNTERS_A_ROW travel together, a byte each where that holds them, compressed: most are 0 or 1.
+        rows = total.reshape(-1, COUNTERS_A_ROW)
         at = np.flatnonzero(rows.any(1))
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
-            packed = [(r if r.max() > 255 else r.astype(np.uint8)).tobytes() for r in rows[part]]
+        for i in range(0, len(at), 256):
+            part = at[i : i + 256]
+            packed = [zlib.compress((r if r.max() > 255 else r.astype(np.uint8)).tobytes(), 1) for r in rows[part]]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["at", "counts"])
 
     return run
 
 
 def _add_counters(least: float):
-    """(at, flags): for 256 counters whether their sums exceed ``least``, as bits; rows without one are left out."""
+    """(at, flags): for COUNTERS_A_ROW counters whether their sums exceed ``least``, as bits; rows without one are left out."""
     def run(batches):
         for (at,), rows in rows_by_key(batches):
-            total = np.zeros(256, np.int64)
+            total = np.zeros(COUNTERS_A_ROW, np.int64)
             for (packed,) in rows:
-                total += np.frombuffer(packed, np.uint8 if len(packed) == 256 else np.uint32)
+                counts = zlib.decompress(packed)
+                total += np.frombuffer(counts, np.uint8 if len(counts) == COUNTERS_A_ROW else np.uint32)
             if (total > least).any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total > least).tobytes()], pa.binary())], ["at", "flags"])
 
@@ -207,32 +225,37 @@ def frequent_shingles(source: DataFrame, shingle: int, total: int) -> np.ndarray
     counted = source.mapInArrow(_count_shingles(shingle, counters), "at int, counts binary")
     parts, least = partitions_for(source.sparkSession, 0, 1), max(64, FREQUENT * total / counters)
     summed = counted.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_add_counters(least), "at int, flags binary").collect()
-    often = np.zeros((counters // 256, 256), bool)
+    often = np.zeros((counters // COUNTERS_A_ROW, COUNTERS_A_ROW), bool)
     for at, packed in summed:
         often[at] = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
     return often.ravel()
 
 
-def _sharded(nodes: list[int], keys: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """One row per shard: its nodes, and 40-bit keys with the place of their node in that list.
+def _sharded(nodes: list[int], keys: list[np.ndarray], dealt: int, shards: int) -> pa.RecordBatch:
+    """One row per task (``dealt`` of them): its nodes, and 40-bit keys with the place of their node in that list, cut into ``shards``.
 
     Keys only nominate candidates, so the few that agree by chance cost a comparison and no result.
     """
     row = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(k) for k in keys])
     key = np.concatenate(keys)
-    shard = (key % np.uint64(shards)).astype(np.int32)
+    shard = (key % np.uint64(dealt * shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
-    row, key, shard = row[order], key[order], shard[order]
-    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-    names, columns = np.array(nodes, np.int64), [[], [], [], []]
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+    row, key = row[order], key[order] // np.uint64(dealt * shards)
+    cuts = np.searchsorted(shard[order], np.arange(dealt * shards + 1))
+    names, columns = np.array(nodes, np.int64), [[], [], [], [], []]
+    for part in range(dealt):
+        own = cuts[part * shards : (part + 1) * shards + 1]
+        a, b = int(own[0]), int(own[-1])
+        if a == b:
+            continue
         used, place = np.unique(row[a:b], return_inverse=True)
-        rest = key[a:b] // np.uint64(shards)
-        columns[0].append(int(shard[a]))
+        rest = key[a:b]
+        columns[0].append(part)
         columns[1].append(names[used].tobytes())
         columns[2].append(place.astype(np.uint32 if len(used) > 65_535 else np.uint16).tobytes())
         columns[3].append((rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "nodes", "rows", "keys"])
+        columns[4].append((own - a).astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "nodes", "rows", "keys", "cuts"])
 
 
 class Forest:
@@ -271,21 +294,22 @@ def _candidate_edges(batches):
     """Nodes with an equal key belong together: one edge for each node to the smallest it is tied to in the task's shards."""
     forest = Forest()
     for _, rows in rows_by_key(batches):
-        nodes, keys = [], []
-        for names, places, packed in rows:
-            n = len(packed) // 5
-            place = np.frombuffer(places, np.uint32 if len(places) == 4 * n else np.uint16)
-            nodes.append(np.frombuffer(names, np.int64)[place])
-            keys.append(np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
-        node, key = np.concatenate(nodes), np.concatenate(keys)
-        order = np.lexsort((node, key))
-        node, key = node[order], key[order]
-        same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
-        if same.any():
-            forest.unite(node[1:][same], node[:-1][same])
-        if len(forest.nodes) > FOREST_NODES:
-            yield from _forest_edges(forest)
-            forest = Forest()
+        for shard in range(len(rows[0][3]) // 4 - 1):
+            nodes, keys = [], []
+            for names, places, packed, cuts in rows:
+                n, (a, b) = len(packed) // 5, np.frombuffer(cuts, np.uint32)[shard : shard + 2].tolist()
+                place = np.frombuffer(places, np.uint32 if len(places) == 4 * n else np.uint16)[a:b]
+                nodes.append(np.frombuffer(names, np.int64)[place])
+                keys.append(np.frombuffer(packed, np.uint32, b - a, 4 * a).astype(np.uint64) | np.frombuffer(packed, np.uint8, b - a, 4 * n + a).astype(np.uint64) << np.uint64(32))
+            node, key = np.concatenate(nodes), np.concatenate(keys)
+            order = np.lexsort((node, key))
+            node, key = node[order], key[order]
+            same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
+            if same.any():
+                forest.unite(node[1:][same], node[:-1][same])
+            if len(forest.nodes) > FOREST_NODES:
+                yield from _forest_edges(forest)
+                forest = Forest()
     yield from _forest_edges(forest)
 
 
@@ -513,12 +537,13 @@ def _linked_nodes(source: DataFrame, described: DataFrame, shingle: int, t: Thre
     if t[0] == t[1]:  # only equal sets are linked, and those are one node
         return spark.createDataFrame([], "node bigint, component bigint")
     total = described.agg(F.sum("n")).first()[0] or 0
-    rows = total * 3.0 * (t[1] - t[0]) / (t[1] + t[0])
-    shards = partitions_for(spark, rows, 500_000)
+    rows = total * 4.5 * (t[1] - t[0]) / (t[1] + t[0])
     frequent = spark.sparkContext.broadcast(frequent_shingles(source, shingle, total))
-    # A task goes through its shards one by one and sends one forest for all of them: the fewer tasks, the fewer times a node is sent.
-    dealt = min(shards, max(12, math.ceil(rows / (16 * 500_000))))
-    keys = source.mapInArrow(_emit_keys(shingle, t, shards, frequent), _KEY_SCHEMA).repartition(dealt, "shard").sortWithinPartitions("shard")
+    # A task holds its packed keys, goes through its shards of them one by one and sends one forest: the fewer tasks, the fewer
+    # times a node is sent, both with its keys and in forests.
+    dealt = max(12, math.ceil(rows / KEYS_A_TASK))
+    shards = max(1, math.ceil(rows / dealt / 700_000))
+    keys = source.mapInArrow(_emit_keys(shingle, t, dealt, shards, frequent), _KEY_SCHEMA).repartition(dealt, "part").sortWithinPartitions("part")
     candidates = materialise(keys.mapInArrow(_candidate_edges, "a bigint, b bigint").distinct(), "jaccard-candidates")
     blocks = components(candidates, "jaccard-blocks").withColumnRenamed("component", "block")
     discard(candidates)

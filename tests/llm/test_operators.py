@@ -609,3 +609,48 @@ def test_candidate_forest_is_one_edge_a_node():
     want = {v: find(v) for v in range(3000) if find(v) != v}
     assert dict(zip(forest.nodes.tolist(), forest.roots.tolist(), strict=True)) == want
     assert jaccard.counters_for(10) == 1 << 16 and jaccard.counters_for(110_000_000) == 1 << 22 and jaccard.counters_for(10**13) == 1 << 24
+
+
+def near_pairs(rng, t):
+    """Pairs of sets that reach the threshold, many of them barely."""
+    for _ in range(1500):
+        n = int(np.exp(rng.uniform(0.7, 6.5)))
+        base = rng.permutation(rng.integers(0, 2**63, 3 * n + 4).astype(np.uint64))
+        gone, new = int(rng.integers(0, (1 - t[0] / t[1]) * n + 2)), int(rng.integers(0, (1 - t[0] / t[1]) * 1.3 * n + 2))
+        a, b = np.unique(base[:n]), np.unique(np.concatenate([base[gone:n], base[n : n + new]]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and t[1] * both >= t[0] * (len(a) + len(b) - both):
+            yield a, b
+
+
+@pytest.mark.parametrize("t", [(80, 100), (90, 100), (1, 2)])
+def test_jaccard_keys_left_out_cost_no_link(t):
+    rng, plan, tried = np.random.default_rng(9), jaccard.KeyPlan(t), 0
+    for a, b in near_pairs(rng, t):
+        share = np.uint64(rng.choice([0, 20, 50, 100]))  # shingles in a hundred that are frequent
+        x, y = (plan.keys(s, s % np.uint64(100) < share) for s in (a, b))
+        assert len(np.intersect1d(x, y))
+        if not share and t == (80, 100):  # no more parts than can differ and one, in either class
+            assert len(x) <= sum(plan.differ(len(a), jaccard._classes(len(a), t) + k) + 1 for k in (0, 1)) or len(a) < 30
+        tried += 1
+    assert tried > 300
+
+
+def test_jaccard_long_documents_do_not_meet_by_chance():
+    """A chain of long sets, each with fifty shingles of the one before, far from the threshold."""
+    rng, plan = np.random.default_rng(4), jaccard.KeyPlan((80, 100))
+    sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(101)]
+    sets = [np.unique(np.concatenate([a, rng.permutation(b)[:50]])) for a, b in zip(sets[1:], sets, strict=False)]
+    keys = [plan.keys(s, np.zeros(len(s), bool)) for s in sets]
+    assert sum(bool(len(np.intersect1d(a, b))) for a, b in zip(keys, keys[1:], strict=False)) <= 1
+
+
+def test_jaccard_a_node_is_sent_once_to_a_task():
+    """However many shards a task goes through, the names of the nodes do not come with each of them."""
+    rng = np.random.default_rng(2)
+    nodes, keys = list(range(1, 301)), [rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(300)]
+    keys[7] = keys[250].copy()
+    few, many = jaccard._sharded(nodes, keys, 4, 1), jaccard._sharded(nodes, keys, 4, 32)
+    assert sum(map(len, few["nodes"].to_pylist())) == sum(map(len, many["nodes"].to_pylist())) <= 4 * 300 * 8
+    for batch in (few, many):
+        assert [(e["a"], e["b"]) for b in jaccard._candidate_edges([batch]) for e in b.to_pylist()] == [(251, 8)]

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -358,6 +359,64 @@ def test_model_beats_counting_on_held_out_text(spark):
     assert out[0] > out[1]
 
 
+def test_contexts_are_words(spark):
+    """Words that end alike are contexts of their own."""
+    texts = [f"{first} {second}" for first, second in (("walking", "home"), ("talking", "loud"), ("baking", "bread")) for _ in range(40)]
+    learned = scoring.learn(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, f"{first} {second}") for i, (first, second) in enumerate((a, b) for a in ("walking", "talking", "baking") for b in ("home", "loud", "bread"))], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in scoring.score_texts(asked, learned).collect()}
+    for i in range(3):
+        assert all(score[3 * i + i] > score[3 * i + j] + 1 for j in range(3) if j != i)
+
+
+def test_scores_in_shards_equal_plain_sums(spark, odd_docs, odd_rows, monkeypatch):
+    """Contexts in many shards, some dealt over all of them, common pairs and words left to the root, beside one dictionary."""
+    monkeypatch.setattr(scoring, "SHARD_CHARS", 10_000)
+    monkeypatch.setattr(scoring, "COMMON", 40)
+    learned = scoring.learn(odd_docs.filter("doc_id % 3 != 0"))
+    model, named = learned.model, lambda w: xxhash.xxh3_64_intdigest(b" " if w is None else w.encode())
+    assert len(model.frequent.hot) > 1 and 0 < len(model.common) <= 40
+
+    def followed(text):
+        words = [named(w) for w in [None, *plain.spaced(text), None]]
+        return list(zip(words[:-1], words[1:], strict=True))
+
+    counts = Counter(pair for i, t, _ in odd_rows if i % 3 for pair in followed(t))
+    seats = {r["shard"]: r.asDict() for r in learned.seats.collect()}
+    found, tables = {}, [{}, {}]
+    for row in learned.pairs.collect():
+        shard, contexts = scoring._pairs(row.asDict(), model.frequent), np.frombuffer(row["contexts"], np.uint64)
+        pairs = list(zip(contexts[shard.context].tolist(), shard.words[shard.owner].tolist(), strict=True))
+        found |= dict(zip(pairs, shard.count.tolist(), strict=True))
+        for kept, name in zip(tables, ("tables", "tables_before"), strict=True):
+            drawn = iter(scoring._ints(seats[row["shard"]][name]).tolist())
+            kept |= {pair: next(drawn) if n > 1 else 1 for pair, n in zip(pairs, shard.count.tolist(), strict=True)}
+    assert found == counts and all(1 <= t <= counts[pair] for kept in tables for pair, t in kept.items())
+    root = [{}, {}]
+    for row in learned.words.collect():
+        values = [scoring._ints(row[name]).tolist() for name in scoring._ANSWER_NAMES]
+        for word, n, *seen in zip(np.frombuffer(row["words"], np.uint64).tolist(), *values, strict=True):
+            assert n == sum(c for (_, w), c in counts.items() if w == word)
+            for i in (0, 1):
+                root[i][word] = tuple(seen[2 * i : 2 * i + 2])
+    for kept, of_word in zip(tables, root, strict=True):
+        assert {w: c for w, (c, _) in of_word.items()} == {w: sum(t for (_, x), t in kept.items() if x == w) for w in of_word}
+
+    def predict(i, context, word):
+        all_customers, all_tables = (sum(v[j] for v in root[i].values()) for j in (0, 1))
+        p = scoring._predict(*root[i].get(word, (0, 0)), all_customers, all_tables, 2, 1 / (len(root[i]) + 1))
+        of_context = [sum(x[pair] for pair in counts if pair[0] == context) for x in (counts, tables[i])]
+        return scoring._predict(counts[context, word], tables[i].get((context, word), 0), *of_context, 0, p)
+
+    assert sum(predict(0, named("the"), w) for w in [*root[0], -1]) == pytest.approx(1.0)
+    known = {}
+    for r in scoring.score_texts(odd_docs, learned).collect():
+        pairs = followed(next(t for i, t, _ in odd_rows if i == r.doc_id))
+        for pair in set(pairs) - set(known):
+            known[pair] = math.log10((predict(0, *pair) + predict(1, *pair)) / 2)
+        assert r.score == pytest.approx(sum(known[pair] for pair in pairs), rel=1e-9) and r.n_known == sum(w in root[0] for _, w in pairs)
+
+
 # ---- 7 language
 
 
